@@ -69,4 +69,4 @@ if __name__ == "__main__":
             n, problem, took = compare(spark, con, sf, fn, sql.get(name))
             print(f"{'OK ' if problem is None else 'BAD'} {name:28s} rows={n} {took:.1f}s {problem or ''}"[:900], flush=True)
         except Exception as error:  # noqa: BLE001
-            print(f"ERR {name}: {str(error)[:1200]}", flush=True)
+            print(f"ERR {name}: {str(error)[:400]}", flush=True)
