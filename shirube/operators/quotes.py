@@ -7,47 +7,89 @@ without a sampled gram use shorter, unsampled grams, so no quote is missed.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 # (gram length, keep one hash in ...) from selective to exhaustive; the last level covers any length.
-LEVELS = ((16, 8), (4, 1), (1, 1))
-
-
-def grams(text: Column, size: int, keep: int) -> Column:
-    """Hashes of the text's character grams that the content sampling keeps."""
-    chars = F.split(text, "")
-    count = F.length(text) - size + 1
-    starts = F.when(count >= 1, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(chars, i, size), "")))
-    return F.array_distinct(F.filter(hashes, lambda h: F.pmod(h, F.lit(keep)) == 0) if keep > 1 else hashes)
-
-
-def _anchored(quotes: DataFrame) -> DataFrame:
+LEVELS = ((12, 4), (4, 1), (1, 1))
+# 64-bit words of the fixed-size map that tells pages which grams are asked for.
+WORDS = 16
+
+
+def _gram_hashes(texts: pd.Series, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct grams of an Arrow batch that the content sampling keeps."""
+    size, keep = LEVELS[level]
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    if len(points) < size:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    count = len(points) - size + 1
+    value = np.full(count, level + 1, dtype=np.uint64)
+    for offset in range(size):
+        value = value * np.uint64(0x9E3779B97F4A7C15) + points[offset:offset + count]
+    value ^= value >> np.uint64(29)
+    value *= np.uint64(0xBF58476D1CE4E5B9)
+    value ^= value >> np.uint64(32)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    same_text = row[:count] == row[size - 1:size - 1 + count]
+    kept = same_text & (value % np.uint64(keep) == 0)
+    row, value = row[:count][kept], value[kept]
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    first = np.ones(len(row), dtype=bool)
+    first[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return row[first], value[first]
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _page_grams(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+    masks = np.stack(wanted.to_numpy()).astype(np.int64).view(np.uint64)
+    rows, values = [], []
+    for level in range(len(LEVELS)):
+        row, value = _gram_hashes(texts, level)
+        word = masks[row, ((value >> np.uint64(6)) % np.uint64(WORDS)).astype(np.int64)]
+        hit = (word >> (value % np.uint64(64))) & np.uint64(1) == 1
+        rows.append(row[hit])
+        values.append(value[hit].view(np.int64))
+    row, value = np.concatenate(rows), np.concatenate(values)
+    order = np.argsort(row, kind="stable")
+    cuts = np.searchsorted(row[order], np.arange(1, len(texts)))
+    return pd.Series(np.split(value[order], cuts))
+
+
+@F.pandas_udf(T.LongType())
+def _anchor(texts: pd.Series) -> pd.Series:
     """One gram per quote: the first level that offers one, smallest hash."""
-    anchor = level = F.lit(None)
-    for i, (size, keep) in reversed(list(enumerate(LEVELS))):
-        gram = F.array_min(grams(F.col("folded"), size, keep))
-        anchor = F.when(gram.isNotNull(), gram).otherwise(anchor)
-        level = F.when(gram.isNotNull(), F.lit(i)).otherwise(level)
-    return quotes.withColumn("_gram", anchor.cast("long")).withColumn("_level", level.cast("int"))
+    gram = np.zeros(len(texts), dtype=np.int64)
+    open_ = np.ones(len(texts), dtype=bool)
+    for level in range(len(LEVELS)):
+        row, value = _gram_hashes(texts, level)
+        head, at = np.unique(row, return_index=True)  # the smallest hash of a text comes first
+        fresh = open_[head]
+        gram[head[fresh]] = value[at[fresh]].view(np.int64)
+        open_[head] = False
+    return pd.Series(gram)
 
 
 def locate(quotes: DataFrame, pages: DataFrame, keys: list[str], page_cols: list[str]) -> DataFrame:
     """Distinct (keys, quote, page) where the page's folded text contains the quote's.
 
     Both sides have ``keys`` and ``folded``; pages also ``page_cols``. Equal quotes are located once.
-    Shorter grams are only cut from pages whose keys have a quote that needs them.
+    A small fixed-size bit map per key drops most page grams nobody asks for before they are shuffled.
     """
-    distinct = _anchored(quotes.filter(F.coalesce("folded", F.lit("")) != "").select(*keys, "folded").dropDuplicates())
-    candidates = None
-    for i, (size, keep) in enumerate(LEVELS):
-        asked = distinct.filter(F.col("_level") == i).drop("_level")
-        source = pages
-        if i > 0 and keys:
-            source = source.join(asked.select(*keys).dropDuplicates(), keys, "left_semi")
-        cut = source.select(*keys, *page_cols, F.explode(grams(F.col("folded"), size, keep)).alias("_gram"))
-        hit = asked.join(cut, [*keys, "_gram"]).select(*keys, "folded", *page_cols)
-        candidates = hit if candidates is None else candidates.unionByName(hit)
+    distinct = quotes.filter(F.coalesce("folded", F.lit("")) != "").select(*keys, "folded").dropDuplicates()
+    distinct = distinct.withColumn("_gram", _anchor("folded"))
+    bit = F.expr("shiftleft(1L, cast(_gram & 63 as int))")
+    slot = F.expr(f"cast(shiftright(_gram, 6) & {WORDS - 1} as int)")
+    words = [F.coalesce(F.bit_or(F.when(slot == i, bit)), F.lit(0)).alias(f"_w{i}") for i in range(WORDS)]
+    asked = distinct.groupBy(*keys).agg(*words).select(*keys, F.array(*[f"_w{i}" for i in range(WORDS)]).alias("_want"))
+    if keys:
+        source = pages.join(asked, keys)
+    else:
+        source = pages.withColumn("_want", asked.scalar())
+    cut = source.select(*keys, *page_cols, F.explode(_page_grams("folded", "_want")).alias("_gram"))
+    candidates = distinct.join(cut, [*keys, "_gram"]).select(*keys, "folded", *page_cols)
     text = pages.select(*keys, *page_cols, F.col("folded").alias("_page_text"))
     return (candidates.join(text, [*keys, *page_cols])
             .filter(F.contains("_page_text", "folded")).drop("_page_text"))
@@ -69,17 +111,16 @@ def correct_pages(quotes: DataFrame, pages: DataFrame, keys: list[str]) -> DataF
     """JN-17: a quote missing on its page but standing on exactly one other moves there, else review.
 
     ``quotes``: keys, page_no, folded (and any id columns); ``pages``: keys, page_no, folded.
-    Adds ``on_page``, ``found_pages``, ``corrected_page`` and ``needs_review``.
+    Adds ``on_page``, ``found_pages`` (other pages, when missing), ``corrected_page`` and ``needs_review``.
     """
-    found = locate(quotes, pages, keys, ["page_no"])
-    spread = found.groupBy(*keys, "folded").agg(F.count(F.lit(1)).alias("found_pages"), F.min("page_no").alias("_only"))
-    named = found.withColumn("_on", F.lit(True))
-    joined = (quotes.join(named, [*keys, "folded", "page_no"], "left").join(spread, [*keys, "folded"], "left"))
-    on_page = F.coalesce(F.col("_on"), F.lit(False))
-    pages_n = F.coalesce(F.col("found_pages"), F.lit(0))
-    return (joined.withColumn("on_page", on_page).withColumn("found_pages", pages_n)
-            .withColumn("corrected_page", F.when(on_page, F.col("page_no")).when(pages_n == 1, F.col("_only")))
-            .withColumn("needs_review", F.col("corrected_page").isNull()).drop("_on", "_only"))
+    checked = check_quotes(quotes, pages, keys).drop("page_exists")
+    spread = locate(checked.filter(~F.col("on_page")), pages, keys, ["page_no"]).groupBy(*keys, "folded").agg(
+        F.count(F.lit(1)).alias("_pages"), F.min("page_no").alias("_only"))
+    joined = checked.join(spread, [*keys, "folded"], "left")
+    pages_n = F.when(~F.col("on_page"), F.coalesce(F.col("_pages"), F.lit(0)))
+    return (joined.withColumn("found_pages", pages_n)
+            .withColumn("corrected_page", F.when(F.col("on_page"), F.col("page_no")).when(pages_n == 1, F.col("_only")))
+            .withColumn("needs_review", F.col("corrected_page").isNull()).drop("_pages", "_only"))
 
 
 def page_forms(pages: DataFrame) -> DataFrame:
