@@ -17,8 +17,8 @@ LEVELS = ((12, 4), (4, 1), (1, 1))
 WORDS = 16
 
 
-def _gram_hashes(texts: pd.Series, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct grams of an Arrow batch that the content sampling keeps."""
+def _gram_hashes(texts: pd.Series, level: int, masks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct grams of some texts that the sampling, and the bit maps, keep."""
     size, keep = LEVELS[level]
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
@@ -32,9 +32,12 @@ def _gram_hashes(texts: pd.Series, level: int) -> tuple[np.ndarray, np.ndarray]:
     value *= np.uint64(0xBF58476D1CE4E5B9)
     value ^= value >> np.uint64(32)
     row = np.repeat(np.arange(len(lengths)), lengths)
-    same_text = row[:count] == row[size - 1:size - 1 + count]
-    kept = same_text & (value % np.uint64(keep) == 0)
+    kept = (row[:count] == row[size - 1:size - 1 + count]) & (value % np.uint64(keep) == 0)
     row, value = row[:count][kept], value[kept]
+    if masks is not None:
+        word = masks[row, ((value >> np.uint64(6)) % np.uint64(WORDS)).astype(np.int64)]
+        asked = (word >> (value % np.uint64(64))) & np.uint64(1) == 1
+        row, value = row[asked], value[asked]
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
     first = np.ones(len(row), dtype=bool)
@@ -42,34 +45,45 @@ def _gram_hashes(texts: pd.Series, level: int) -> tuple[np.ndarray, np.ndarray]:
     return row[first], value[first]
 
 
+def _slices(texts: pd.Series, chars: int = 1 << 17):
+    """Cut a batch into runs of rows with a bounded number of characters (one long text is its own run)."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > chars:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(text)
+    yield slice(start, len(texts))
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _page_grams(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-    masks = np.stack(wanted.to_numpy()).astype(np.int64).view(np.uint64)
-    rows, values = [], []
-    for level in range(len(LEVELS)):
-        row, value = _gram_hashes(texts, level)
-        word = masks[row, ((value >> np.uint64(6)) % np.uint64(WORDS)).astype(np.int64)]
-        hit = (word >> (value % np.uint64(64))) & np.uint64(1) == 1
-        rows.append(row[hit])
-        values.append(value[hit].view(np.int64))
-    row, value = np.concatenate(rows), np.concatenate(values)
-    order = np.argsort(row, kind="stable")
-    cuts = np.searchsorted(row[order], np.arange(1, len(texts)))
-    return pd.Series(np.split(value[order], cuts))
+    out = []
+    for part in _slices(texts):
+        some = texts.iloc[part]
+        masks = np.stack(wanted.iloc[part].to_numpy()).astype(np.int64).view(np.uint64)
+        found = [_gram_hashes(some, level, masks) for level in range(len(LEVELS))]
+        row, value = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(row, kind="stable")
+        out.extend(np.split(value[order].view(np.int64), np.searchsorted(row[order], np.arange(1, len(some)))))
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.LongType())
 def _anchor(texts: pd.Series) -> pd.Series:
     """One gram per quote: the first level that offers one, smallest hash."""
-    gram = np.zeros(len(texts), dtype=np.int64)
-    open_ = np.ones(len(texts), dtype=bool)
-    for level in range(len(LEVELS)):
-        row, value = _gram_hashes(texts, level)
-        head, at = np.unique(row, return_index=True)  # the smallest hash of a text comes first
-        fresh = open_[head]
-        gram[head[fresh]] = value[at[fresh]].view(np.int64)
-        open_[head] = False
-    return pd.Series(gram)
+    out = []
+    for part in _slices(texts):
+        some = texts.iloc[part]
+        gram, open_ = np.zeros(len(some), dtype=np.int64), np.ones(len(some), dtype=bool)
+        for level in range(len(LEVELS)):
+            row, value = _gram_hashes(some, level)
+            head, at = np.unique(row, return_index=True)  # the smallest hash of a text comes first
+            fresh = open_[head]
+            gram[head[fresh]] = value[at[fresh]].view(np.int64)
+            open_[head] = False
+        out.append(pd.Series(gram))
+    return pd.concat(out, ignore_index=True)
 
 
 def locate(quotes: DataFrame, pages: DataFrame, keys: list[str], page_cols: list[str]) -> DataFrame:
