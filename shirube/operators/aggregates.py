@@ -134,7 +134,7 @@ def job_state(events: DataFrame, job: str = "job_id") -> DataFrame:
 def stalled_jobs(events: DataFrame, now: Column, job: str = "job_id", minutes: int = 25, live: tuple[str, ...] = ("queued", "running")) -> DataFrame:
     """STR-4: a live job that has been silent too long counts as failed."""
     silent = F.col("status").isin(*live) & (F.col("updated_at") + F.expr(f"interval {minutes} minutes") < now)
-    return job_state(events, job).withColumn("status", F.when(silent, "failed").otherwise(F.col("status"))).withColumn("stalled", silent)
+    return job_state(events, job).withColumn("stalled", silent).withColumn("status", F.when(F.col("stalled"), "failed").otherwise(F.col("status")))
 
 
 def match_grants(events: DataFrame, keys: list[str], bucket: Column, order: list[str], minutes: int = 30) -> DataFrame:
