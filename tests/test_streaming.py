@@ -1,7 +1,6 @@
 """Streaming results equal the batch results, also after a replay."""
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from shirube.streaming import jobs
