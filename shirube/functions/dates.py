@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import nfkc_compact
+from .text import let, nfkc_compact
 
 # ---- fixed values: first day of each era ---------------------------------------------------
 ERA_STARTS = {
@@ -30,13 +30,15 @@ def iso_date(col: Column) -> Column:
     return F.when(col.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(col, "yyyy-MM-dd"))
 
 
-def _era_parts(col: Column, pattern: str, eras: dict[str, str]):
-    era, year, month, day = (F.regexp_extract(col, pattern, i) for i in range(1, 5))
-    number = F.when(year == "元", F.lit(1)).otherwise(year.try_cast("int"))
-    base = F.lit(None).cast("int")
-    for name, start in eras.items():
-        base = F.when(era == name, F.lit(int(start[:4]))).otherwise(base)
-    return era, number, civil_date(base + number - 1, month.try_cast("int"), day.try_cast("int"))
+def _era_parts(text: Column, pattern: str, eras: dict[str, str]) -> Column:
+    """Struct of era, year number and day by the era's offset."""
+    names = F.create_map(*[F.lit(x) for name, start in eras.items() for x in (name, int(start[:4]))])
+    get = lambda t, i: F.regexp_extract(t, pattern, i)
+    parts = let(text, lambda t: F.struct(
+        get(t, 1).alias("era"), F.when(get(t, 2) == "元", F.lit(1)).otherwise(get(t, 2).try_cast("int")).alias("year"),
+        get(t, 3).try_cast("int").alias("month"), get(t, 4).try_cast("int").alias("day")))
+    return let(parts, lambda p: F.struct(p["era"].alias("era"), p["year"].alias("year"),
+                                         civil_date(F.try_element_at(names, p["era"]) + p["year"] - 1, p["month"], p["day"]).alias("actual")))
 
 
 def era_to_date(col: Column, strict: bool = True) -> Column:
@@ -46,16 +48,18 @@ def era_to_date(col: Column, strict: bool = True) -> Column:
     """
     if not strict:
         pattern = rf"({ERA_NAMES})\s*(元|\d+)年\s*(\d+)月\s*(\d+)日"
-        return _era_parts(col, pattern, ERA_STARTS)[2]
-    text = F.regexp_replace(nfkc_compact(col), "新築$", "")
-    pattern = rf"^({ERA_NAMES})(元|\d+)年(\d+)月(\d+)日$"
-    era, number, actual = _era_parts(text, pattern, ERA_STARTS)
+        return _era_parts(col, pattern, ERA_STARTS)["actual"]
     starts = list(ERA_STARTS.items())
-    inside = F.lit(False)
-    for i, (name, start) in enumerate(starts):
-        last = starts[i + 1][1] if i + 1 < len(starts) else "9999-12-31"
-        inside = F.when(era == name, (actual >= F.lit(start).cast("date")) & (actual < F.lit(last).cast("date"))).otherwise(inside)
-    return F.coalesce(iso_date(text), F.when((number > 0) & inside, actual))
+    first = F.create_map(*[F.lit(x) for x in sum(([n, d] for n, d in starts), [])])
+    after = F.create_map(*[F.lit(x) for x in sum(([n, starts[i + 1][1] if i + 1 < len(starts) else "9999-12-31"] for i, (n, _) in enumerate(starts)), [])])
+    pattern = rf"^({ERA_NAMES})(元|\d+)年(\d+)月(\d+)日$"
+
+    def read(text: Column) -> Column:
+        inside = lambda p: F.when((p["year"] > 0) & (p["actual"] >= F.try_element_at(first, p["era"]).cast("date"))
+                                  & (p["actual"] < F.try_element_at(after, p["era"]).cast("date")), p["actual"])
+        return F.coalesce(iso_date(text), let(_era_parts(text, pattern, ERA_STARTS), inside))
+
+    return let(F.regexp_replace(nfkc_compact(col), "新築$", ""), read)
 
 
 def printed_date(col: Column) -> Column:
@@ -68,7 +72,7 @@ def printed_date(col: Column) -> Column:
 
 def current_era_date(col: Column) -> Column:
     """SC-6: first date of the current era in the text."""
-    return _era_parts(col, r"(令和)\s*(\d+|元)年\s*(\d+)月\s*(\d+)日", {"令和": ERA_STARTS["令和"]})[2]
+    return _era_parts(col, r"(令和)\s*(\d+|元)年\s*(\d+)月\s*(\d+)日", {"令和": ERA_STARTS["令和"]})["actual"]
 
 
 def date_to_era(col: Column) -> Column:

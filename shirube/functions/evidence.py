@@ -119,8 +119,8 @@ def cast_by_catalog(value: Column, data_type: Column) -> Column:
 def parcel_key(lands: Column) -> Column:
     """NST-3: parcels compare as a set of (location, lot); area and category do not count."""
     from .text import match_text
-    pairs = F.transform(F.coalesce(lands, F.array().cast("array<struct<location:string,lot_number:string>>")),
-                        lambda l: F.struct(match_text(l["location"]).alias("location"), match_text(l["lot_number"]).alias("lot")))
+    pairs = F.transform(lands, lambda l: F.struct(match_text(l["location"]).alias("location"), match_text(l["lot_number"]).alias("lot")))
+    pairs = F.coalesce(pairs, F.array().cast("array<struct<location:string,lot:string>>"))
     return F.array_join(F.transform(F.array_sort(F.array_distinct(pairs)),
                                     lambda p: F.concat(p["location"], F.lit("\u0002"), p["lot"])), "\u0003")
 

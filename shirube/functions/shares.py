@@ -3,32 +3,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import nfkc_compact
+from .text import let, nfkc_compact
 
 SHARE_TYPE = "struct<n:decimal(38,0),d:decimal(38,0)>"
-GROUPED = r"^(?:(\d+)億)?(?:(\d+)万)?(\d*)$"
+GROUPED = r"(?:(\d+)億)?(?:(\d+)万)?(\d*)"
+SHARE = f"^{GROUPED}分の{GROUPED}$"
 
 
-def grouped_number(col: Column) -> Column:
-    """Integer with 億 / 万 groups: "32万7285" is 327285."""
-    def part(i: int) -> Column:
-        text = F.regexp_extract(col, GROUPED, i)
-        return F.when(text == "", F.lit("0")).otherwise(text).try_cast("decimal(20,0)")
+def _grouped(text: Column, pattern: str, first: int) -> Column:
+    """Integer with 億 / 万 groups starting at a regex group: "32万7285" is 327285."""
+    part = lambda i: F.coalesce(F.regexp_extract(text, pattern, first + i).try_cast("decimal(20,0)"), F.lit(0))
+    return (part(0) * 100000000 + part(1) * 10000 + part(2)).cast("decimal(38,0)")
+
 
-    total = part(1) * 100000000 + part(2) * 10000 + part(3)
-    return F.when(col.rlike(GROUPED) & (col != ""), total).cast("decimal(38,0)")
+def grouped_number(col: Column) -> Column:
+    whole = f"^{GROUPED}$"
+    return let(col, lambda t: F.when(t.rlike(whole) & (t != ""), _grouped(t, whole, 1)))
 
 
 def parse_share(col: Column) -> Column:
     """``d分のn`` or ``n/d`` with 0 < n <= d, else null."""
     text = F.replace(nfkc_compact(col.cast("string")), F.lit(","), F.lit(""))
-    of = r"^([\d万億]+)分の([\d万億]+)$"
-    slash = r"^([\d万億]+)/([\d万億]+)$"
-    first = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in (of, slash)])
-    second = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 2), F.lit("")) for p in (of, slash)])
-    a, b = grouped_number(first), grouped_number(second)
-    n, d = F.when(text.rlike(of), b).otherwise(a), F.when(text.rlike(of), a).otherwise(b)
-    return F.when((n > 0) & (n <= d), F.struct(n.alias("n"), d.alias("d")))
+    text = F.regexp_replace(text, r"^(\d+)/(\d+)$", "$2分の$1")
+    pair = let(text, lambda t: F.when(t.rlike(SHARE), F.struct(_grouped(t, SHARE, 4).alias("n"), _grouped(t, SHARE, 1).alias("d"))))
+    return let(pair, lambda p: F.when((p["n"] > 0) & (p["n"] <= p["d"]), p))
 
 
 def share_text(n: Column, d: Column) -> Column:

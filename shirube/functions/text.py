@@ -27,6 +27,11 @@ NUMBER_UNITS = {
 }
 # ------------------------------------------------------------------------------------------
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 SPACES = r"(?U)[\s\x{1c}-\x{1f}]+"
 
 

@@ -121,7 +121,8 @@ def seller_shares(parcels: DataFrame, owners: DataFrame, sellers: DataFrame, gro
     counts = owners.groupBy(*group, "parcel_id").agg(F.count(F.lit(1)).alias("_owners"))
     hits = by_name.filter("_same = 1").join(sellers, [*group, "name"]).join(counts, [*group, "parcel_id"])
     whole = F.col("n").isNull() & F.col("share_text").isNull() & (F.col("_owners") == 1)
-    hits = hits.withColumn("n", F.when(whole, F.lit(1)).otherwise(F.col("n"))).withColumn("d", F.when(whole, F.lit(1)).otherwise(F.col("d")))
+    hits = (hits.withColumn("_whole", whole).withColumn("n", F.when(F.col("_whole"), F.lit(1)).otherwise(F.col("n")))
+            .withColumn("d", F.when(F.col("_whole"), F.lit(1)).otherwise(F.col("d"))).drop("_whole"))
     found = hits.groupBy(*group, "parcel_id").agg(
         F.count(F.lit(1)).alias("_found"), F.bool_and(F.col("n").isNotNull()).alias("_readable"),
         F.bool_or("_doubt").alias("_doubt"), F.min("printed_d").alias("_printed"), F.min("share_text").alias("_text"))

@@ -114,10 +114,11 @@ def match_entities(incoming: DataFrame, buildings: DataFrame, units: DataFrame,
         found, refused = _apply_choice(found, choice, buildings, units)
     owner = units.select(F.col("unit_id"), F.col("building_id").alias("_unit_building"))
     found = found.join(owner, "unit_id", "left")
-    lots = F.coalesce(F.col("land_lots"), F.array().cast("array<struct<location:string,lot_number:string>>"))
+    lots = F.col("land_lots")
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    incomplete = (blank("house_number") | blank("unit_name") | blank("registry_location") | (F.size(lots) == 0)
+    incomplete = (blank("house_number") | blank("unit_name") | blank("registry_location") | lots.isNull() | (F.size(lots) == 0)
                   | F.exists(lots, lambda l: (F.coalesce(l["location"], F.lit("")) == "") | (F.coalesce(l["lot_number"], F.lit("")) == "")))
+    incomplete = F.coalesce(incomplete, F.lit(True))
     allowed = F.coalesce(F.col("property_type").isin(*CONDOMINIUM_KINDS), F.lit(False))
     status = (F.when(~allowed, "blocked").when(refused.isNotNull(), "blocked")
               .when(F.col("unit_matches") > 1, "ambiguous").when(F.col("unit_matches") == 1, "existing")

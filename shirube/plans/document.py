@@ -52,13 +52,14 @@ def table_values(pages: DataFrame, facts: DataFrame) -> DataFrame:
     units = typed.filter("kind = 'unit'")
     lands = typed.filter("kind = 'land' and not closed and land_titles = 1")
     labels = registry.label_fields(labelled_values(carry_labels(typed.filter("kind in ('unit', 'land')"))))
-    land_rows = labels.filter(F.col("path").startswith("lands.")).unionByName(registry.land_title_fields(lands))
+    labels = cut_lineage(labels)
+    land_rows = cut_lineage(labels.filter(F.col("path").startswith("lands.")).unionByName(registry.land_title_fields(lands)))
     # A land title replaces the reading only when all four columns are settled.
     settled = land_rows.groupBy("file_hash").agg(F.count_distinct("path").alias("_n")).filter("_n = 4")
     unit_rows = labels.filter(~F.col("path").startswith("lands.")).unionByName(registry.title_fields(units))
     absent = facts.filter("full_text and kind = 'unit' and not has_right_section").select(
         "file_hash", F.lit("land_right.exists").alias("path"), F.lit("false").alias("value"),
-        F.array(F.struct(F.lit(1).alias("page"), F.lit(UNIT_HEAD).alias("text"))).alias("sources"), F.lit(False).alias("needs_review"))
+        F.array(F.struct(F.lit(1).alias("page"), F.lit(UNIT_HEAD).alias("text"))).alias("sources"))
     tag = lambda df, category: df.withColumn("category", F.lit(category))
     return (tag(unit_rows, C_TABLE).withColumn("category", F.when(F.contains("path", F.lit("area")), C_AREA).otherwise(F.col("category")))
             .unionByName(tag(land_rows.join(settled.select("file_hash"), "file_hash", "left_semi"), C_LAND)).unionByName(tag(absent, C_RIGHT)))
@@ -100,7 +101,8 @@ def normalize_document(fields: DataFrame, pages: DataFrame, reviewed: DataFrame
     table = table.unionByName(kind.select(*table.columns))
     merged = clean.join(table, ["file_hash", "path"], "full_outer")
     merged = (merged.withColumn("value", F.coalesce("_v", "value"))
-              .withColumn("sources", F.when(F.col("_v").isNotNull(), F.col("_s").cast(fields.schema["sources"].dataType)).otherwise(F.col("sources")))
+              .withColumn("sources", F.when(F.col("_v").isNotNull(), F.transform("_s", lambda s: F.struct(
+                  s["page"].alias("page"), s["text"].alias("text"), F.lit(None).cast("string").alias("source_pdf"), F.col("file_hash").alias("file_hash")))).otherwise(F.col("sources")))
               .withColumn("needs_review", F.when(F.col("_v").isNotNull(), False).otherwise(F.coalesce("needs_review", F.lit(False)))))
     merged = split_lot_from_place(merged.select("file_hash", "path", "value", "sources", "needs_review", "category"))
     joined = merged.join(facts.select("file_hash", "full_text", "kind"), "file_hash", "left")

@@ -12,6 +12,7 @@ from ..operators.aggregates import values_per_document
 from ..operators.lands import common_share, outside_site, seller_shares
 from ..operators.ordered import newest
 from ..operators.views import provenance_guard
+from ..session import cut_lineage
 
 # ---- fixed values: reasons that stop a registration ---------------------------------------------------
 BLOCK_LAND = "土地の謄本だけでは登録できません。建物（専有部分）の謄本も一緒に入れてください。"
@@ -55,9 +56,10 @@ def integrate_group(documents: DataFrame, fields: DataFrame) -> dict[str, DataFr
         value("building.location").alias("_loc"), value("building.lot_number").alias("_lot"), value("main_building.location").alias("_house_loc"),
         value("unit.house_number").alias("_unit"), value("main_building.house_number").alias("_house"), value("land_right.exists").alias("_right"),
         value("land_right.type").alias("_right_type"), value("owner.name").alias("_owner"))
-    facts = base.join(facts, "group_id", "left")
+    facts = cut_lineage(base.join(facts, "group_id", "left"))
     parcels = _parcels(fields).join(docs.select("group_id", "file_hash", "document_type", "ord", "buildings"), ["group_id", "file_hash"])
-    keyed = (parcels.withColumn("_k1", canonical_address(F.col("location"))).withColumn("_k2", canonical_address(F.col("lot_number"))))
+    # Checkpoints keep the folded parcels and the settled land rows from being worked out once per output.
+    keyed = cut_lineage(parcels.withColumn("_k1", canonical_address(F.col("location"))).withColumn("_k2", canonical_address(F.col("lot_number"))))
     from_building = keyed.filter("document_type = 'building'")
     from_land = keyed.filter("document_type = 'land'")
     # One row per parcel and side; the first land document of a parcel fills, later ones only confirm.
@@ -75,7 +77,7 @@ def integrate_group(documents: DataFrame, fields: DataFrame) -> dict[str, DataFr
     sites = facts.select("group_id", F.concat(F.coalesce("_loc", F.lit("")), F.coalesce("_lot", F.lit(""))).alias("location_text"))
     marked = outside_site(merged, sites, ["group_id"])
     house = facts.select("group_id", canonical_address(F.col("_house_loc")).alias("_house_key"))
-    marked = marked.join(house, "group_id").withColumn("outside", F.col("outside") & F.col("_only_land") & (F.replace("parcel_id", F.lit("\u0002"), F.lit("")) != F.col("_house_key")))
+    marked = cut_lineage(marked.join(house, "group_id").withColumn("outside", F.col("outside") & F.col("_only_land") & (F.replace("parcel_id", F.lit("\u0002"), F.lit("")) != F.col("_house_key"))))
 
     pattern = r"^owners\.(\d+)\.(name|share)$"
     owner_rows = fields.filter(F.col("path").rlike(pattern)).withColumn("_no", F.regexp_extract("path", pattern, 1)).withColumn("_part", F.regexp_extract("path", pattern, 2))
@@ -87,12 +89,11 @@ def integrate_group(documents: DataFrame, fields: DataFrame) -> dict[str, DataFr
         "group_id", "parcel_id", nfkc_compact(F.coalesce("_name", F.lit(""))).alias("name"), F.col("_s.n").alias("n"), F.col("_s.d").alias("d"),
         F.col("_s.d").alias("printed_d"), "share_text", "needs_review")
     sellers = facts.select("group_id", F.explode(F.split(F.coalesce("_owner", F.lit("")), r"\R")).alias("_n")).select("group_id", nfkc_compact(F.col("_n")).alias("name")).filter("name <> ''")
-    with_buildings = marked.filter(F.col("group_id").isNotNull())
-    shares = seller_shares(with_buildings.select("group_id", "parcel_id", "outside", "land_right_exists"), owners, sellers, ["group_id"])
+    shares = seller_shares(marked.select("group_id", "parcel_id", "outside", "land_right_exists"), owners, sellers, ["group_id"])
     shares = shares.select("group_id", "parcel_id", F.col("right_type").alias("_rt"), F.col("right_share").alias("_rs"), "warnings")
     land = (marked.join(shares, ["group_id", "parcel_id"], "left").withColumn("right_share", F.when(F.col("_rt").isNotNull(), F.col("_rs")).otherwise(F.col("right_share")))
             .withColumn("right_type", F.coalesce("_rt", "right_type")))
-    land = land.withColumn("_pair", parse_share(F.col("right_share")))
+    land = cut_lineage(land.withColumn("_pair", parse_share(F.col("right_share"))))
     parcels_out = land.select("group_id", "parcel_id", "_at", *PARCEL_FIELDS, "right_type", "right_share", F.col("_pair.n").alias("share_numerator"), F.col("_pair.d").alias("share_denominator"),
                               "outside", (F.size("mismatches") > 0).alias("needs_review"), "mismatches", "warnings")
 
@@ -187,7 +188,7 @@ def registration_rows(integrated: dict[str, DataFrame], all_fields: DataFrame, f
     ``files``: group_id, file_hash, ord. A group that cites a file outside its set is refused.
     """
     blocked = blocked_reason(integrated["types"], integrated["group_review"])
-    values = to_field_codes(integrated["fields"]).unionByName(special_values(all_fields, integrated["parcels"]))
+    values = cut_lineage(to_field_codes(integrated["fields"]).unionByName(special_values(all_fields, integrated["parcels"])))
     foreign = provenance_guard(values, files, "group_id").withColumn("reason", F.lit("根拠資料とPDFの対応を確認してください。"))
     stop = blocked.filter("reason is not null").select("group_id", "reason").unionByName(foreign.select("group_id", "reason"))
     open_values = values.join(stop.select("group_id").distinct(), "group_id", "left_anti")
