@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import strip_ideographic
+from .text import let, strip_ideographic
 
 RULE_CHARS = "┃┏┓┗┛┠┨├┤━─┯┷┬┴┼┳┻│┝┥┿"
 
@@ -19,14 +19,16 @@ def is_rule_line(text: Column) -> Column:
 
 def split_cells(text: Column, flags: Column) -> Column:
     """SC-20: pieces between column bars, each with its slice of the flags."""
-    pieces = F.split(text, "[┃│]")
-    inner = F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
+    def cells_of(pieces: Column) -> Column:
+        inner = F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0)))
 
-    def cut(piece: Column, index: Column) -> Column:
-        before = F.aggregate(F.slice(pieces, 1, index + 1), F.lit(0), lambda acc, p: acc + F.length(p) + 1)
-        return F.struct(piece.alias("text"), F.slice(flags, before + 1, F.length(piece)).alias("flags"))
+        def cut(piece: Column, index: Column) -> Column:
+            before = F.aggregate(F.slice(pieces, 1, index + 1), F.lit(0), lambda acc, p: acc + F.length(p) + 1)
+            return F.struct(piece.alias("text"), F.slice(flags, before + 1, F.length(piece)).alias("flags"))
 
-    return F.transform(inner, cut)
+        return F.transform(inner, cut)
+
+    return let(F.split(text, "[┃│]"), cells_of)
 
 
 def _kept(text: Column, flags: Column, struck: bool) -> Column:
@@ -38,7 +40,8 @@ def _kept(text: Column, flags: Column, struck: bool) -> Column:
 def current_text(text: Column, flags: Column) -> Column:
     """SC-19: characters that are still in effect."""
     plain = ~F.exists(flags, lambda u: u)
-    return F.when(plain, text).otherwise(F.array_join(F.transform(_kept(text, flags, False), lambda p: p["c"]), ""))
+    gone = ~F.exists(flags, lambda u: ~u) & (F.size(flags) >= F.length(text))
+    return F.when(plain, text).when(gone, F.lit("")).otherwise(F.array_join(F.transform(_kept(text, flags, False), lambda p: p["c"]), ""))
 
 
 def is_struck(text: Column, flags: Column) -> Column:

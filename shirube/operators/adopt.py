@@ -164,19 +164,20 @@ def confirm_batch(candidates: DataFrame, selections: DataFrame, keys: list[str],
 
     A selection whose choice is no longer a candidate fails only its own group.
     """
-    sel = selections.withColumnsRenamed({k: f"_s_{k}" for k in keys})
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-    joined = candidates.join(sel, on).drop(*[f"_s_{k}" for k in keys])
-    hit = F.col(candidate).eqNullSafe(F.col("chosen"))
-    present = joined.groupBy(*keys).agg(F.bool_or(hit | F.col("chosen").isNull()).alias("_present")).withColumnsRenamed({k: f"_p_{k}" for k in keys})
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
-    return (joined.join(present, same)
-            .withColumn("action", F.when(~F.col("_present"), "reload").when(F.coalesce(F.col(candidate) == F.col("chosen"), F.lit(False)), "adopt").otherwise("hold"))
-            .drop("_present", *[f"_p_{k}" for k in keys]))
+    def equal(prefix: str, cols: list[str]) -> Column:
+        on = F.lit(True)
+        for c in cols:
+            on = on & F.col(c).eqNullSafe(F.col(f"{prefix}{c}"))
+        return on
+
+    offered = candidates.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col(candidate).alias("_o_chosen"))
+    picked = selections.filter("chosen is not null").join(offered, equal("_o_", [*keys, "chosen"]), "left_semi")
+    known = selections.filter("chosen is null").unionByName(picked).withColumn("_known", F.lit(True))
+    lost = selections.filter("chosen is not null").join(offered, equal("_o_", [*keys, "chosen"]), "left_anti").withColumn("_known", F.lit(False))
+    settled = known.unionByName(lost).withColumnsRenamed({k: f"_s_{k}" for k in keys})
+    joined = candidates.join(settled, equal("_s_", keys))
+    action = F.when(~F.col("_known"), "reload").when(F.coalesce(F.col(candidate) == F.col("chosen"), F.lit(False)), "adopt").otherwise("hold")
+    return joined.withColumn("action", action).drop("_known", *[f"_s_{k}" for k in keys])
 
 
 def review_route(affected_field: Column, document_type: Column) -> Column:

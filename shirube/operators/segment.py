@@ -4,7 +4,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.cells import current_text, is_rule_line, is_struck, is_table_line, split_cells
+from ..functions.cells import current_text, is_rule_line, is_table_line, split_cells
 from ..functions.text import nfkc_compact, strip_ideographic
 from .ordered import Last, Running, scan
 
@@ -70,8 +70,9 @@ def record_cells(segments: DataFrame) -> DataFrame:
     pieces = segments.select("file_hash", "record_id", "section", "heading", "width", "page_no", "line_no", F.posexplode("cells").alias("col", "_c"))
     pieces = pieces.select("*", F.col("_c.text").alias("raw"), F.col("_c.flags").alias("flags")).drop("_c")
     visible = F.col("raw").rlike("[^　 ]")
-    pieces = (pieces.withColumn("_current", nfkc_compact(current_text(F.col("raw"), F.col("flags")))).withColumn("_full", nfkc_compact(F.col("raw")))
-              .withColumn("_struck", is_struck(F.col("raw"), F.col("flags"))).withColumn("_visible", visible).withColumn("_raw", strip_ideographic(F.col("raw"))))
+    pieces = pieces.withColumn("_visible", visible).withColumn("_kept", current_text(F.col("raw"), F.col("flags")))
+    pieces = (pieces.withColumn("_struck", F.col("_visible") & ~F.col("_kept").rlike("[^　 ]")).withColumn("_full", nfkc_compact(F.col("raw")))
+              .withColumn("_current", F.when(F.col("_kept") == F.col("raw"), F.col("_full")).otherwise(nfkc_compact(F.col("_kept")))).withColumn("_raw", strip_ideographic(F.col("raw"))))
     at = F.struct("page_no", "line_no", F.col("_current").alias("current"), F.col("_full").alias("full"), F.col("_raw").alias("raw"), F.col("_visible").alias("visible"))
     grouped = pieces.groupBy("file_hash", "record_id", "col").agg(
         F.first("section").alias("section"), F.first("heading").alias("heading"), F.first("width").alias("width"),

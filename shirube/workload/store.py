@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.evidence import content_key
 from ..operators import adopt, versions
+from ..session import cut_lineage
 from .adapter import VALUES_SQL, order_values, table
 
 
@@ -136,7 +137,7 @@ FROM f"""
 
 def confirm_batch(spark, sf_dir):
     """The recommended candidate of each group adopts, the others hold."""
-    sides = _queue_sides(spark, sf_dir)
+    sides = cut_lineage(_queue_sides(spark, sf_dir))
     chosen = versions.recommend(sides, GROUP_KEYS, "new_version").select(*GROUP_KEYS, F.col("recommended").alias("chosen"))
     return adopt.confirm_batch(sides, chosen, GROUP_KEYS, "new_version").select("document_id", "field_code", "new_version", "action")
 
