@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cells import current_text, is_rule_line, is_table_line, split_cells
 from ..functions.text import nfkc_compact, strip_ideographic
+from ..session import cut_lineage
 from .ordered import Last, Running, scan
 
 # ---- fixed values: headings of a ledger and the section each one opens, in order -----------------
@@ -53,7 +54,8 @@ def segment_records(lines: DataFrame) -> DataFrame:
     folded = nfkc_compact(F.array_join(F.transform(F.coalesce("cells", F.array().cast("array<struct<text:string,flags:array<boolean>>>")), lambda c: c["text"]), ""))
     table = table.withColumn("_opens", F.when(~F.col("is_rule"), _heading_section(folded))).withColumn("heading", F.col("_opens").isNotNull())
     shape = F.struct(F.col("is_rule").alias("rule"), F.col("heading").alias("heading"), F.coalesce(F.size("cells"), F.lit(0)).alias("width"))
-    before = scan(table, ["file_hash"], F.col("page_no"), LINE_ORDER, {"_before": Last(shape, inclusive=False)})
+    # Checkpointed, since the second scan reads it twice.
+    before = cut_lineage(scan(table, ["file_hash"], F.col("page_no"), LINE_ORDER, {"_before": Last(shape, inclusive=False)}))
     starts = ~F.col("is_rule") & (F.col("heading") | F.col("_before").isNull() | F.col("_before.rule") | F.col("_before.heading")
                                   | (F.col("_before.width") != F.size("cells")))
     rows = before.withColumn("_start", F.when(starts, 1).otherwise(0)).filter(~F.col("is_rule"))
