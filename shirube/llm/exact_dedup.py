@@ -56,7 +56,8 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     second = _repeated(heads.select(head_key.alias("_key")), words)
     # rows that level 1 has settled have a unique length, so their (length, head) is unique as well
     full = _survivors(base.withColumn("_key", head_key), second, words).select("_id", "_key", "_hit", F.when(F.col("_hit") | F.lit(hash_all), F.sha2(fold_case(F.col("_text")), 256)).alias("_hash"))
-    groups = full.where("_hit").groupBy("_hash").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1").withColumnRenamed("_hash", "_group")
+    # equal texts have equal keys; grouping by both leaves the join a shuffle of its own, so that Spark can split a hot group
+    groups = full.where("_hit").groupBy("_hash", "_key").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1").select(F.col("_hash").alias("_group"), "_keep", "_size")
     settled = F.concat_ws(":", F.lit("id"), "_id", "_key")  # spread, where a null key would meet in one task
     joined = full.withColumn("_join", F.when(F.col("_hit"), F.col("_hash")).otherwise(settled)).join(groups, F.col("_join") == F.col("_group"), "left")
     keep = F.when(F.col("_group").isNull(), F.col("_id")).otherwise(F.col("_keep"))
