@@ -1,10 +1,13 @@
 """The registered queries: each applies one operator, with production parameters, to its whole table."""
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, pii, secret_scan
-from .common import table
+from . import exact_dedup, packing, pii, secret_scan, token_files
+from .common import shared_folder, table
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +18,17 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_personal(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packing.pack(pieces)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/llm-tokens-{uuid.uuid4().hex}"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_token_files(spark, path)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"), hash_all=True).withColumnRenamed("full_hash", "text_sha256")
 
@@ -31,5 +45,7 @@ FROM d
 QUERIES = {
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_pii": (op4_pii, None),
+    "op7_packing": (op7_packing, None),
+    "op8_token_files": (op8_token_files, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
 }
