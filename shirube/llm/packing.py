@@ -85,8 +85,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = WI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {name: [] for name, _ in fields}
-            texts = (t.as_py() for t in batch.column(1))
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(texts, tokenizer, end_id)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1), tokenizer, end_id)):
                 ids = ids.astype("<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start:start + window]

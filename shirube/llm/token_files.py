@@ -45,8 +45,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
             return pa.RecordBatch.from_pydict(row, schema=_FRAME_SCHEMA)
 
         for batch in batches:
-            texts = (t.as_py() for t in batch.column(1))
-            for doc_id, coded in zip(batch.column(0).to_pylist(), encoded(texts, tokenizer, end_id)):
+            for doc_id, coded in zip(batch.column(0).to_pylist(), encoded(batch.column(1), tokenizer, end_id)):
                 ids.append(doc_id)
                 held.append(coded)
                 size += len(coded)

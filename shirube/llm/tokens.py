@@ -1,65 +1,123 @@
-"""Token ids of whole texts, through the tokenizers library with a cache of the words that a worker has met."""
+"""Token ids of whole texts, through the tokenizers library, each distinct word encoded once per worker."""
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
-_CHUNK = re.compile(r"[ \n]*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+(?=[.,])|[ \n]*[^ \n]+|[ \n]+\Z")
-#: White space besides blank and line feed: there the split rules of a tokenizer look further than one word.
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Not used in a text that is cut into words, as it is white space of the kind in ``_WHOLE``.
+_CUT = "\x1f"
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]")
+_LETTERED = re.compile(r"[ \n]?[A-Za-zÀ-ÖØ-öø-ſ]+")
+#: Where a tokenizer's split rules look further than one word: white space other than blank and line feed, or two in a row.
+_WHOLE = r"[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]"
+#: Characters of a batch that are handled at once, which bounds the arrays.
+_SLICE = 6_000_000
 
 
 class WordEncoder:
-    """Encodes as the tokenizer does, but each distinct word only once as long as it stays in the cache.
+    """Encodes as the tokenizer does, but each distinct word only once as long as it is remembered.
 
     The tokenizers meant here split at white space, and between a letter and a full stop or comma, before they look for
-    merges. So a text's ids are those of its chunks: a word with the blanks and line feeds before it, or the punctuation behind
-    a word. Texts with other white space, or with what may be the name of a special token, go to the tokenizer as a whole.
+    merges. So a text's ids are those of its words, each with the blank or line feed before it. Texts with other or doubled
+    white space, or with what may be the name of a special token, go to the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, max_cached: int = 600_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.max_cached = max_cached
-        self.names = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-
-    def _learn(self, new: set[str]) -> None:
-        """Words with white space before them are encoded many at a time, as one text, and told apart by their offsets."""
-        joined = [c for c in new if c[0] in " \n" and c[-1] not in " \n"]
-        for at in range(0, len(joined), 1000):
-            part = joined[at:at + 1000]
-            coded = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            begins = np.cumsum([0, *map(len, part)])
-            owner = np.searchsorted(begins, np.array([s for s, _ in coded.offsets]), side="right") - 1
-            cuts, ids = np.searchsorted(owner, np.arange(len(part) + 1)).tolist(), coded.ids
-            self.cache.update((c, tuple(ids[b:e])) for c, b, e in zip(part, cuts, cuts[1:]))
-        alone = list(new.difference(joined))
-        self.cache.update((c, tuple(e.ids)) for c, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)))
-
-    def encode(self, text: str) -> np.ndarray:
-        if _OTHER_SPACE.search(text) or ("<" in text and self.names.search(text)):
-            return self._whole(text)
-        chunks = _CHUNK.findall(text)
-        cache = self.cache
-        new = {c for c in chunks if c not in cache}
+        self.max_words = max_words
+        names = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.whole = _WHOLE + (f"|(?i:{names})" if names else "")
+        (self.stop,) = self.tokenizer.encode(".", add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.begins = np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def _remember(self, words: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        first, held = len(self.index), self.used
+        if held + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(held + len(ids), np.uint32)])
+        if first + len(words) + 1 > len(self.begins):
+            self.begins = np.concatenate([self.begins, np.zeros(first + len(words) + 1, np.int64)])
+        self.ids[held:held + len(ids)] = ids
+        self.used = held + len(ids)
+        self.begins[first + 1:first + 1 + len(words)] = held + np.cumsum(lengths)
+        self.index.update(zip(words, range(first, first + len(words))))
+
+    def _word(self, word: str) -> np.ndarray:
+        at = self.index[word]
+        return self.ids[self.begins[at]:self.begins[at + 1]]
+
+    def _learn(self, words: list[str]) -> None:
+        ends = {w for w in words if len(w) > 2 and w[-1] in ".," and _LETTERS.match(w[-2])}
+        plain = list(({w[:-1] for w in ends} | {w[-1] for w in ends} | set(words).difference(ends)).difference(self.index))
+        lettered = [w for w in plain if _LETTERED.fullmatch(w)]
+        for at in range(0, len(lettered), 20_000):  # many at a time, with full stops between: no letters give the stop's id
+            part = lettered[at:at + 20_000]
+            texts = [".".join(part[i:i + 500]) + "." for i in range(0, len(part), 500)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            stops = np.flatnonzero(ids == self.stop)
+            self._remember(part, np.diff(stops, prepend=-1) - 1, ids[ids != self.stop])
+        for word in set(plain).difference(lettered):
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            self._remember([word], np.array([len(ids)]), np.array(ids, np.uint32))
+        ends = list(ends)
+        if ends:
+            pairs = [np.concatenate([self._word(w[:-1]), self._word(w[-1])]) for w in ends]
+            self._remember(ends, np.array([len(p) for p in pairs]), np.concatenate(pairs))
+
+    def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        apart = {int(i): np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32) for i in np.flatnonzero(whole)}
+        if apart:
+            texts = pc.if_else(pa.array(whole), "", texts)
+        words = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", _CUT + " "), "\n", _CUT + "\n"), _CUT)
+        coded = words.values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.index]
         if new:
-            if len(cache) + len(new) > self.max_cached:
-                cache.clear()
-                new = set(chunks)
+            if len(self.index) + len(new) > self.max_words:
+                self._forget()
+                new = distinct
             self._learn(new)
-        return np.fromiter(chain.from_iterable(map(cache.__getitem__, chunks)), dtype=np.uint32)
+        own = np.fromiter((self.index[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        begins = self.begins[own]
+        sizes = self.begins[own + 1] - begins
+        ends = np.cumsum(sizes)
+        place = np.repeat((begins - (ends - sizes)).astype(np.int32), sizes)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = self.ids[place]
+        offsets = np.concatenate([[0], ends])[words.offsets.to_numpy()]
+        if apart:
+            parts = [apart.get(i, ids[offsets[i]:offsets[i + 1]]) for i in range(len(texts))]
+            ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return ids, offsets
+
+    def encode_texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; null counts as empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        sizes = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            before = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + _SLICE, side="right")))
+            ids, offsets = self._encode_slice(pa.concat_arrays([texts.slice(at, end - at)]))
+            for b, e in zip(offsets.tolist(), offsets[1:].tolist()):
+                yield ids[b:e]
+            at = end
 
 
 @lru_cache(maxsize=4)
@@ -68,8 +126,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encoded(texts: Iterable[str | None], path: str, end_id: int) -> Iterator[np.ndarray]:
+def encoded(texts: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
     """The ids of each text with the end id behind them; null counts as empty."""
-    own = encoder(path)
-    for text in texts:
-        yield np.append(own.encode(text or ""), np.uint32(end_id))
+    for ids in encoder(path).encode_texts(texts):
+        yield np.append(ids, np.uint32(end_id))
