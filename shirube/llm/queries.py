@@ -6,7 +6,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, pii, secret_scan, token_files
+from . import exact_dedup, packing, pii, secret_scan, simhash, token_files
 from .common import shared_folder, table
 
 
@@ -18,6 +18,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_personal(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return packing.pack(pieces)
@@ -45,6 +49,7 @@ FROM d
 QUERIES = {
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_pii": (op4_pii, None),
+    "op6_simhash": (op6_simhash, None),
     "op7_packing": (op7_packing, None),
     "op8_token_files": (op8_token_files, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
