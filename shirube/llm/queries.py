@@ -6,7 +6,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, pii, secret_scan, simhash, token_files
+from . import exact_dedup, html_text, packing, pii, secret_scan, simhash, token_files
 from .common import shared_folder, table
 
 
@@ -37,6 +37,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"), hash_all=True).withColumnRenamed("full_hash", "text_sha256")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 OP9_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -53,4 +57,5 @@ QUERIES = {
     "op7_packing": (op7_packing, None),
     "op8_token_files": (op8_token_files, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
+    "op10_html_text": (op10_html_text, None),
 }
