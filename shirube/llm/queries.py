@@ -6,7 +6,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, packing, pii, secret_scan, simhash, token_files
+from . import exact_dedup, html_text, packing, pii, resampling, secret_scan, simhash, token_files
 from .common import shared_folder, table
 
 
@@ -18,6 +18,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan_personal(table(spark, sf_dir, "documents"))
 
 
+def op5_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ FROM d
 QUERIES = {
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_pii": (op4_pii, None),
+    "op5_resampling": (op5_resampling, None),
     "op6_simhash": (op6_simhash, None),
     "op7_packing": (op7_packing, None),
     "op8_token_files": (op8_token_files, None),
