@@ -6,10 +6,14 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, packing, pii, resampling, secret_scan, simhash, token_files
+from . import decontaminate, exact_dedup, html_text, packing, pii, resampling, secret_scan, simhash, token_files
 from .common import shared_folder, table
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ FROM d
 """
 
 QUERIES = {
+    "op2_decontaminate": (op2_decontaminate, None),
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_pii": (op4_pii, None),
     "op5_resampling": (op5_resampling, None),
