@@ -6,10 +6,49 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, packing, pii, resampling, secret_scan, simhash, token_files
+from . import decontaminate, exact_dedup, html_text, line_dedup, packing, pii, resampling, secret_scan, simhash, token_files
 from .common import shared_folder, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_exact", "n_near")
+
+
+OP1_SQL = """
+WITH lines AS (
+  SELECT doc_id, i - 1 AS line_no, parts[i] AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents) d, unnest(generate_series(1, len(parts))) AS u(i)),
+sets AS (
+  SELECT *, len(words) AS size FROM (
+    SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split(lower(line), ' '), lambda w: w <> ''))) AS words FROM lines)
+  WHERE len(words) >= 5),
+classes AS (
+  SELECT row_number() OVER (ORDER BY first_doc, first_line) AS class, words, size, first_doc, first_line FROM (
+    SELECT words, any_value(size) AS size, min((doc_id, line_no))[1] AS first_doc, min((doc_id, line_no))[2] AS first_line FROM sets GROUP BY words)),
+tokens AS (SELECT class, size, unnest(words) AS w FROM classes),
+rarity AS (SELECT w, count(*) AS n FROM tokens GROUP BY w),
+prefix AS (
+  SELECT class, size, w FROM (
+    SELECT class, size, w, row_number() OVER (PARTITION BY class ORDER BY n, w) AS pos FROM tokens JOIN rarity USING (w) WHERE n > 0)
+  WHERE pos <= size - CAST(ceil(size * 0.8 - 1e-9) AS BIGINT) + 1),
+pairs AS (
+  SELECT DISTINCT x.class AS later, y.class AS earlier FROM prefix x JOIN prefix y ON x.w = y.w AND y.class < x.class
+  WHERE x.size * 4 <= y.size * 5 AND y.size * 4 <= x.size * 5),
+near AS (
+  SELECT DISTINCT later FROM (
+    SELECT later, len(list_intersect(x.words, y.words)) AS both_have, x.size + y.size AS total
+    FROM pairs JOIN classes x ON x.class = later JOIN classes y ON y.class = earlier)
+  WHERE both_have * 9 >= total * 4),
+marked AS (
+  SELECT s.doc_id, s.line_no, (s.doc_id, s.line_no) <> (c.first_doc, c.first_line) AS exact, later IS NOT NULL AS close
+  FROM sets s JOIN classes c ON s.words = c.words LEFT JOIN near ON near.later = c.class)
+SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.line_no) FILTER (WHERE NOT coalesce(exact OR close, false)), '') AS text,
+  count(*) AS n_lines, count(*) FILTER (WHERE exact) AS n_exact, count(*) FILTER (WHERE close AND NOT exact) AS n_near
+FROM lines l LEFT JOIN marked m ON l.doc_id = m.doc_id AND l.line_no = m.line_no
+GROUP BY l.doc_id
+"""
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +98,7 @@ FROM d
 """
 
 QUERIES = {
+    "op1_line_dedup": (op1_line_dedup, OP1_SQL),
     "op2_decontaminate": (op2_decontaminate, None),
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_pii": (op4_pii, None),
