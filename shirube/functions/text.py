@@ -78,21 +78,18 @@ def arabic_numerals(col: Column) -> Column:
     """SC-10: positional kanji digits to arabic ones, one character for one.
 
     A run counts as a number when a counter follows it or a lot word precedes it; a lone digit in
-    a spaced personal name is left alone. Each convertible digit is first marked, then replaced.
+    a spaced personal name is left alone. Whole runs are marked, however long, then translated.
     """
-    run = f"[{KANJI_DIGITS}]"
+    run = f"[{KANJI_DIGITS}]+"
     mark = "\u0001"
-    in_number = (f"({run})(?={run}*(?:番|号|年|月|日|階|の|分|$))"
-                 f"|(?<=[番の第地]{run}{{0,60}})({run})")
-    room_name = f"(?<=建物の名称[　 ]{{0,40}}│[　 ]{{0,40}}{run}{{0,20}})({run})(?={run}*[　 ]*[│┃])"
+    in_number = f"(?<=[番の第地]){run}|{run}(?=番|号|年|月|日|階|の|分|$)"
+    room_name = f"(建物の名称[　 ]*│[　 ]*)({run})(?=[　 ]*[│┃])"
 
-    def convert(text: Column, pattern: str, groups: str) -> Column:
-        marked = F.regexp_replace(text, pattern, mark + groups)
-        for kanji, digit in zip(KANJI_DIGITS, KANJI_DIGIT_VALUES):
-            marked = F.replace(marked, F.lit(mark + kanji), F.lit(digit))
-        return marked
+    def convert(text: Column, pattern: str, marked: str) -> Column:
+        parts = F.split(F.regexp_replace(text, pattern, marked), mark)
+        return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.translate(x, KANJI_DIGITS, KANJI_DIGIT_VALUES)).otherwise(x)), "")
 
-    return convert(convert(col, in_number, "$1$2"), room_name, "$1")
+    return convert(convert(F.replace(col, F.lit(mark), F.lit("")), in_number, f"{mark}$0{mark}"), room_name, f"$1{mark}$2{mark}")
 
 
 def old_numerals(col: Column) -> Column:

@@ -112,13 +112,14 @@ def locate(quotes: DataFrame, pages: DataFrame, keys: list[str], page_cols: list
 def check_quotes(quotes: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """JN-16: is each quote on the page it names? One equi-join on (keys, page_no).
 
-    ``pages`` may hold several folded forms of one page (whole text and each table column).
+    ``pages`` may hold several folded forms of one page (whole text and each table column); a page's forms are brought
+    together first, so each quote stays one row, equal ones included.
     """
-    text = pages.select(*keys, "page_no", F.col("folded").alias("_page_text"), F.lit(True).alias("_page"))
-    id_cols = [c for c in quotes.columns]
-    joined = quotes.join(text, [*keys, "page_no"], "left")
-    hit = F.coalesce(F.contains("_page_text", "folded") & (F.col("folded") != ""), F.lit(False))
-    return joined.groupBy(*id_cols).agg(F.bool_or(hit).alias("on_page"), F.bool_or(F.coalesce("_page", F.lit(False))).alias("page_exists"))
+    forms = pages.groupBy(*keys, "page_no").agg(F.collect_set("folded").alias("_forms"))
+    joined = quotes.join(forms, [*keys, "page_no"], "left")
+    hit = F.exists("_forms", lambda f: F.contains(f, F.col("folded"))) & (F.col("folded") != "")
+    columns = [*quotes.columns, F.coalesce(hit, F.lit(False)).alias("on_page"), F.col("_forms").isNotNull().alias("page_exists")]
+    return joined.select(*columns)
 
 
 def correct_pages(quotes: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:

@@ -283,7 +283,7 @@ def ambiguous_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def resolve_case_refs(refs: DataFrame, cases: DataFrame, units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JN-31: a reference is a case id or ``unit-<id>``; returns (resolved, rejects)."""
-    by_unit = (refs.filter(F.col("ref").startswith("unit-")).withColumn("unit_id", F.substring("ref", 6, 1 << 20))
+    by_unit = (refs.filter(F.col("ref").startswith("unit-")).withColumn("unit_id", F.expr("substring(ref, 6)"))
                .join(units.select(F.col("unit_id").cast("string").alias("unit_id"), "building_id"), "unit_id")
                .select("ref", F.lit(None).cast("string").alias("case_id"), "unit_id", "building_id"))
     by_case = (refs.filter(~F.col("ref").startswith("unit-"))
@@ -316,15 +316,31 @@ NAME_RULES = [
 # -----------------------------------------------------------------------------------------------
 
 
-def title_kind(text: Column, head: Column) -> Column:
-    kind = F.lit(None).cast("string")
-    for scope, pattern, name in reversed(TITLE_RULES):
-        hit = text.rlike(pattern)
+def title_flags(pages: DataFrame, key: str = "file_hash", head_chars: int | None = None) -> DataFrame:
+    """SRT-4: per file, which title patterns its pages show (flags t0, t1, ... in the order of ``TITLE_RULES``).
+
+    Every page is read. ``head_chars`` restricts where the first page counts as head; by default all of it does.
+    """
+    from ..functions.text import strip_spaces
+    text = strip_spaces(F.coalesce("text", F.lit("")))
+    first = F.col("page_no") == 1
+    head = F.substring(text, 1, head_chars) if head_chars else text
+    flags = []
+    for i, (scope, pattern, _) in enumerate(TITLE_RULES):
+        seen = F.bool_or(text.rlike(pattern)) if scope == "text" else F.bool_or(first & head.rlike(pattern))
         if scope == "rules":
-            hit = head.rlike(pattern) & text.rlike(ARTICLE_ONE)
+            seen = seen & F.bool_or(text.rlike(ARTICLE_ONE))
         elif scope == "zoning":
-            hit = head.rlike(pattern) | text.rlike(ZONING_NOTE)
-        kind = F.when(hit, name).otherwise(kind)
+            seen = seen | F.bool_or(text.rlike(ZONING_NOTE))
+        flags.append(seen.alias(f"t{i}"))
+    return pages.groupBy(key).agg(*flags)
+
+
+def title_kind() -> Column:
+    """The kind of the first title pattern that a file shows, from its flags."""
+    kind = F.lit(None).cast("string")
+    for i, (_, _, name) in reversed(list(enumerate(TITLE_RULES))):
+        kind = F.when(F.col(f"t{i}"), name).otherwise(kind)
     return kind
 
 
@@ -342,19 +358,10 @@ def settle_kind(by_text: Column, by_name: Column, supported: tuple[str, ...] = D
     return F.when(~clash & kind.isin(*supported), kind)
 
 
-def head_text(pages: DataFrame, key: str = "file_hash", pages_read: int = 3, head_chars: int = 300) -> DataFrame:
-    """SRT-4: text of the first pages, spaces removed, and the head of the first page."""
-    from ..functions.text import strip_spaces
-    early = pages.filter(F.col("page_no") <= pages_read).withColumn("_t", strip_spaces(F.col("text")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "_t"))), lambda p: p["_t"]), "")
-    return early.groupBy(key).agg(joined.alias("text"), F.max(F.when(F.col("page_no") == 1, F.substring("_t", 1, head_chars))).alias("head"))
-
-
-def classify(files: DataFrame, pages: DataFrame) -> DataFrame:
-    """FLT-5: kind of each file from its first pages and its name."""
-    texts = head_text(pages)
-    joined = files.join(texts, "file_hash", "left").na.fill("", ["text", "head"])
-    return joined.withColumn("kind", settle_kind(title_kind(F.col("text"), F.col("head")), name_kind(F.col("name")))).drop("text", "head")
+def classify(files: DataFrame, pages: DataFrame, head_chars: int | None = None) -> DataFrame:
+    """FLT-5: kind of each file from the titles on its pages and its name."""
+    joined = files.join(title_flags(pages, head_chars=head_chars), "file_hash", "left")
+    return joined.withColumn("kind", settle_kind(title_kind(), name_kind(F.col("name")))).drop(*[f"t{i}" for i in range(len(TITLE_RULES))])
 
 
 def route_kinds(kinds: DataFrame, choices: DataFrame, active: tuple[str, ...]) -> DataFrame:

@@ -69,6 +69,7 @@ def input_cells(cases: DataFrame) -> DataFrame:
     """JOB-18, input sheet. Every input cell is written, so old template text never survives.
 
     ``cases``: case_id, building and unit columns (land_lots, floor_areas arrays), sale_price, earnest_money, handover_date.
+    The form has rows for 6 parcels and 17 floors; ``overflow`` lists the further ones.
     """
     folded = (cases.withColumn("_house", split_house_number(F.col("house_number")))
               .withColumn("_loc_text", nfkc_compact(F.coalesce("registry_location", F.lit(""))))
@@ -81,7 +82,7 @@ def input_cells(cases: DataFrame) -> DataFrame:
     folded = folded.withColumn("_place", place).withColumn("_prefix", F.coalesce(prefix, F.lit("")))
     fits = (F.size("_places") > 0) & F.col("_first_lot").isNotNull() & (F.col("_first_loc") == F.col("_place"))
     folded = folded.withColumn("_fits", F.coalesce(fits, F.lit(False))).withColumn(
-        "_more_lots", F.array_join(F.transform(F.slice("land_lots", 2, 1000000), lambda l: F.concat(l["location"], l["lot_number"])), "　"))
+        "_more_lots", F.array_join(F.transform(F.slice("land_lots", F.lit(2), F.greatest(F.size("land_lots") - 1, F.lit(0))), lambda l: F.concat(l["location"], l["lot_number"])), "　"))
     ok, lots = F.col("_fits"), F.coalesce(F.size("land_lots"), F.lit(0))
     house_fits = (F.col("_house.place") == F.col("_prefix")) & (F.col("_house.main") == F.col("_first_lot.main")) & (F.col("_house.branch") == F.col("_first_lot.branch"))
     c = F.col
@@ -119,6 +120,19 @@ def input_cells(cases: DataFrame) -> DataFrame:
     return out.filter((F.col("value") != "") | ~kept_when_empty)
 
 
+def overflow(cases: DataFrame) -> DataFrame:
+    """WIN-16: parcels and floors that the form has no row for: case_id, list, position (from 1), values. Nothing is dropped silently."""
+    lists = {"land_lots": (len(PARCEL_ROWS), ("location", "lot_number", "land_category")), "floor_areas": (len(FLOOR_ROWS), ("floor",))}
+    out = None
+    for name, (rows, texts) in lists.items():
+        item = F.col("_item")
+        values = F.array(*[item[t].cast("string") for t in texts], _plain(item["area"]))
+        one = (cases.select("case_id", F.posexplode(name).alias("_pos", "_item")).filter(F.col("_pos") >= rows)
+               .select("case_id", F.lit(name).alias("list"), (F.col("_pos") + 1).alias("position"), values.alias("values")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def zoning_cells(zones: DataFrame) -> DataFrame:
     """JOB-18, disclosure sheet. Equal values share a box and a combined marker; values beyond the slots go to the note.
 

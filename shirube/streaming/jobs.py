@@ -10,13 +10,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..sources.sinks import append_absent
 
 
-def stream_documents(spark: SparkSession, path: str, schema: str, delay: str = "1 hour", fmt: str = "parquet") -> DataFrame:
-    """STR-1: arriving documents, each content once within the watermark. ``arrived_at`` is the event time.
-
-    Duplicates after the watermark are dropped by the sink (``append_documents``).
-    """
-    arriving = spark.readStream.schema(schema).format(fmt).load(path)
-    return arriving.withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(["file_hash"])
+def stream_documents(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """STR-1: arriving documents. None is dropped for being late; the sink (``append_documents``) keeps each content once."""
+    return spark.readStream.schema(schema).format(fmt).load(path)
 
 
 def append_documents(stream: DataFrame, target: str, checkpoint: str):
@@ -52,17 +48,18 @@ def latest_by_asof(values: DataFrame, keys: list[str]) -> DataFrame:
 JOB_STATE = "status string, runs int, updated_at timestamp"
 
 
-def job_states(events: DataFrame, minutes: int = 25, live: tuple[str, ...] = ("queued", "running")) -> DataFrame:
+def job_states(events: DataFrame, delay: str, minutes: int = 25, live: tuple[str, ...] = ("queued", "running")) -> DataFrame:
     """STR-4, STR-5: latest status and run count per job; a live job silent for 25 minutes turns failed.
 
-    One small state row per job; late events never replace a newer status.
+    One small state row per job; late events never replace a newer status. The state outlives a silence, so a job that
+    resumes goes on counting its runs. ``delay``: how late an event may be before it is left out of the count.
     """
     schema = "job_id string, status string, runs int, updated_at timestamp, stalled boolean"
 
     def advance(key, batches, state: GroupState):
         status, runs, at = state.get if state.exists else (None, 0, None)
         if state.hasTimedOut:
-            state.remove()
+            state.update((status, runs, at))
             yield pd.DataFrame([(key[0], "failed", runs, at, True)], columns=["job_id", "status", "runs", "updated_at", "stalled"])
             return
         for batch in batches:
@@ -76,17 +73,18 @@ def job_states(events: DataFrame, minutes: int = 25, live: tuple[str, ...] = ("q
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], status, runs, at, False)], columns=["job_id", "status", "runs", "updated_at", "stalled"])
 
-    return (events.withWatermark("ts", "1 minute").groupBy("job_id")
+    return (events.withWatermark("ts", delay).groupBy("job_id")
             .applyInPandasWithState(advance, schema, JOB_STATE, "update", GroupStateTimeout.EventTimeTimeout))
 
 
-def match_grants(plans: DataFrame, uses: DataFrame, minutes: int = 30) -> DataFrame:
+def match_grants(plans: DataFrame, uses: DataFrame, delay: str, minutes: int = 30) -> DataFrame:
     """STR-6: a use within its plan's lifetime, same kind, hash and price settings.
 
     ``plans``: plan_id, kind, file_hash, price_key, plan_ts; ``uses``: use_id, kind, file_hash, price_key, use_ts.
+    ``delay``: how late a row of either stream may be and still find its partner.
     """
-    p = plans.select(F.col("plan_id"), F.col("kind").alias("_k"), F.col("file_hash").alias("_h"), F.col("price_key").alias("_p"), "plan_ts").withWatermark("plan_ts", "5 minutes")
-    u = uses.withWatermark("use_ts", "5 minutes")
+    p = plans.select(F.col("plan_id"), F.col("kind").alias("_k"), F.col("file_hash").alias("_h"), F.col("price_key").alias("_p"), "plan_ts").withWatermark("plan_ts", delay)
+    u = uses.withWatermark("use_ts", delay)
     within = (F.col("use_ts") >= F.col("plan_ts")) & (F.col("use_ts") <= F.col("plan_ts") + F.expr(f"interval {minutes} minutes"))
     same = (F.col("kind") == F.col("_k")) & (F.col("file_hash") == F.col("_h")) & (F.col("price_key") == F.col("_p"))
     return u.join(p, same & within).select("use_id", "plan_id", "kind", "file_hash", "plan_ts", "use_ts")

@@ -52,7 +52,7 @@ def rules_topics(spark, sf_dir):
     topic = F.lit(None).cast("string")
     for priority, word in TOPICS.items():
         topic = F.when(F.col("o_orderpriority") == priority, word).otherwise(topic)
-    pages = orders.filter(F.col("o_orderstatus") != "F").select(
+    pages = orders.select(
         F.col("o_custkey").cast("string").alias("file_hash"), F.col("o_orderkey").alias("page_no"), F.lit("text").alias("mode"),
         _text("管理規約\n第", F.col("o_orderkey"), "条 ", topic, "について定める。").alias("text"))
     fields, _, _ = extract.rules_candidates(pages)
@@ -106,7 +106,7 @@ QUERIES = {
 SELECT file_hash, 'zoning_type' AS field_code, p_type || '地域' AS value FROM p WHERE p_size <= 40 UNION ALL SELECT file_hash, 'building_coverage_ratio', p_size || '%' FROM p
 UNION ALL SELECT file_hash, 'floor_area_ratio', (p_size * 10) || '%' FROM p UNION ALL SELECT file_hash, 'height_district', p_size || 'm第' || (p_size % 3 + 1) || '種' FROM p
 UNION ALL SELECT file_hash, 'reference_date', (2019 + p_size % 7) || '-04-01' FROM p UNION ALL SELECT file_hash, 'status', CASE WHEN p_size <= 40 THEN 'parsed' ELSE 'needs_review' END FROM p"""),
-    "rules_topics": (rules_topics, f"""WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS file_hash, {_CODE_SQL} AS field_code, '第' || o_orderkey || '条' AS article, CASE o_orderpriority {_TOPIC_SQL} END AS w FROM orders WHERE o_orderstatus <> 'F')
+    "rules_topics": (rules_topics, f"""WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS file_hash, {_CODE_SQL} AS field_code, '第' || o_orderkey || '条' AS article, CASE o_orderpriority {_TOPIC_SQL} END AS w FROM orders)
 SELECT file_hash, field_code, count(*) AS candidates, CASE WHEN count(*) = 1 THEN min(article) END AS source_article, CASE WHEN count(*) = 1 THEN min(article || ' ' || w || 'について定める。') END AS value FROM r GROUP BY 1, 2"""),
     "label_lines": (label_lines, """SELECT CAST(o_orderkey AS VARCHAR) AS file_hash, 'management_fee' AS field_code, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS value FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW'
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'management_company', '会社' || o_custkey FROM orders"""),

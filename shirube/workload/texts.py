@@ -41,7 +41,7 @@ def quote_check(spark, sf_dir):
 
 def page_correction(spark, sf_dir):
     """A sentence that is not on its page moves to the one other page that has it, else it needs review."""
-    found = quotes.correct_pages(_claims(spark, sf_dir).filter("folded <> ''"), _pages(spark, sf_dir).select("doc_id", "page_no", "folded"), ["doc_id"])
+    found = quotes.correct_pages(_claims(spark, sf_dir), _pages(spark, sf_dir).select("doc_id", "page_no", "folded"), ["doc_id"])
     return found.select("doc_id", "line_no", "sentence_no", "page_no", "on_page", F.coalesce("found_pages", F.lit(-1)).alias("found_pages"),
                         F.col("corrected_page").cast("string").alias("corrected_page"), "needs_review")
 
@@ -107,14 +107,26 @@ def ledger_cut(spark, sf_dir):
 
 
 def classify_kind(spark, sf_dir):
-    """Kind of each document from its first three lines and its source name; a clash gives null."""
-    head = resolve.head_text(_pages(spark, sf_dir).select("doc_id", "page_no", "text"), key="doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang").join(head, "doc_id")
-    text = F.col("text")
-    by_text = F.when(text.rlike("License"), "legal").when(text.rlike("[0-9]{4}"), "record").when(text.rlike("[éèêç]"), "fr").when(text.rlike("[üöäß]"), "de")
-    by_name = F.when(F.col("lang").isin("fr", "de"), F.col("lang"))
-    kind = resolve.settle_kind(by_text, by_name, ("legal", "record", "fr", "de"))
-    return docs.select("doc_id", F.coalesce(kind, F.lit("unknown")).alias("kind"))
+    """Kind of each document from titles drawn on its pages and from its file name; a clash gives null.
+
+    Every line of a document is a page; a source picks the title on the last of them, a language the name.
+    """
+    number = F.substring("source", 4, 9).cast("int")
+    title = F.element_at(F.array(*map(F.lit, TITLES)), (number % len(TITLES) + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, FILE_NAMES)), (F.col("doc_id") % len(FILE_NAMES) + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents")
+    lines = _pages(spark, sf_dir).select("doc_id", "page_no", "text")
+    last = docs.select("doc_id", (F.size(F.split("text", "\n")) + 1).alias("page_no"), title.alias("text"))
+    pages = lines.unionByName(last, allowMissingColumns=False).withColumnRenamed("doc_id", "file_hash")
+    files = docs.select(F.col("doc_id").alias("file_hash"), name.alias("name"))
+    return resolve.classify(files, pages).select(F.col("file_hash").alias("doc_id"), F.coalesce("kind", F.lit("unknown")).alias("kind"))
+
+
+# fixed values: one title line for each kind that any page may show, and file names of each kind
+TITLES = ("履歴事項全部証明書", "重要事項 調査報告書", "重要事項説明書", "表題部（土地の表示）", "管理に係る重要事項")
+TITLE_KINDS = ("other", "report", "purchase", "registry", "report")
+FILE_NAMES = ("scan.pdf", "会社謄本.pdf", "重調.pdf", "重説.pdf", "土地謄本.pdf", "細則.pdf", "都市計画.pdf")
+NAME_KINDS = (None, "other", "report", "purchase", "registry", "rules", "zoning")
 
 
 def case_search(spark, sf_dir):
@@ -124,11 +136,15 @@ def case_search(spark, sf_dir):
     return views.search_cases(cards, "ＢＵＩＬＤ  nation_1", ["c_name", "c_mktsegment", "n_name"]).select("c_custkey", "c_name")
 
 
+def _quoted(values) -> str:
+    return ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+
+
 QUERIES = {
     "quote_check": (quote_check, f"""WITH {CLAIMS_SQL} SELECT c.doc_id, c.line_no, c.sentence_no, c.page_no, c.folded <> '' AND contains(g.folded, c.folded) AS on_page
 FROM claims c JOIN pages_ g ON g.doc_id = c.doc_id AND g.page_no = c.page_no"""),
-    "page_correction": (page_correction, f"""WITH {CLAIMS_SQL}, f AS (SELECT c.doc_id, c.line_no, c.sentence_no, c.page_no, count(*) AS found_pages, bool_or(g.page_no = c.page_no) AS on_page, min(g.page_no) AS only_
-FROM claims c JOIN pages_ g ON g.doc_id = c.doc_id AND contains(g.folded, c.folded) WHERE c.folded <> '' GROUP BY 1, 2, 3, 4)
+    "page_correction": (page_correction, f"""WITH {CLAIMS_SQL}, f AS (SELECT c.doc_id, c.line_no, c.sentence_no, c.page_no, count(g.page_no) AS found_pages, coalesce(bool_or(g.page_no = c.page_no), false) AS on_page, min(g.page_no) AS only_
+FROM claims c LEFT JOIN pages_ g ON g.doc_id = c.doc_id AND c.folded <> '' AND contains(g.folded, c.folded) GROUP BY 1, 2, 3, 4)
 SELECT doc_id, line_no, sentence_no, page_no, on_page, CASE WHEN on_page THEN -1 ELSE found_pages END AS found_pages, CAST(CASE WHEN on_page THEN page_no WHEN found_pages = 1 THEN only_ END AS VARCHAR) AS corrected_page,
   NOT on_page AND found_pages <> 1 AS needs_review FROM f"""),
     "locate_quotes": (locate_quotes, r"""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(regexp_replace(d.text, '[ \n\t\r]+', '', 'g'), regexp_replace(b.text, '[ \n\t\r]+', '', 'g'))"""),
@@ -151,11 +167,9 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN
 SELECT conv_id, record, count(*) AS rows, min(turn) AS first_turn, string_agg(text, '' ORDER BY turn) AS text FROM r GROUP BY 1, 2"""),
     "ledger_cut": (ledger_cut, """WITH c AS (SELECT user_id, max(event_id) AS cut FROM events WHERE event_type = 'signup' GROUP BY 1)
 SELECT e.user_id, e.event_id, e.event_type FROM events e LEFT JOIN c USING (user_id) WHERE c.cut IS NULL OR e.event_id >= c.cut"""),
-    "classify_kind": (classify_kind, r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page_no FROM documents),
-t AS (SELECT doc_id, string_agg(regexp_replace(line, '\s+', '', 'g'), '' ORDER BY page_no) AS text FROM p WHERE page_no <= 3 GROUP BY 1),
-k AS (SELECT d.doc_id, CASE WHEN contains(t.text, 'License') THEN 'legal' WHEN regexp_matches(t.text, '[0-9]{4}') THEN 'record' WHEN regexp_matches(t.text, '[éèêç]') THEN 'fr' WHEN regexp_matches(t.text, '[üöäß]') THEN 'de' END AS bt,
-  CASE WHEN lang IN ('fr', 'de') THEN lang END AS bn FROM documents d JOIN t USING (doc_id))
-SELECT doc_id, CASE WHEN bt IS NOT NULL AND bn IS NOT NULL AND bt <> bn THEN 'unknown' ELSE coalesce(bt, bn, 'unknown') END AS kind FROM k"""),
+    "classify_kind": (classify_kind, f"""WITH k AS (SELECT doc_id, list_extract([{_quoted(TITLE_KINDS)}], CAST(substr(source, 4) AS INT) % {len(TITLES)} + 1) AS bt,
+  list_extract([{_quoted(NAME_KINDS)}], CAST(doc_id % {len(FILE_NAMES)} AS INT) + 1) AS bn FROM documents)
+SELECT doc_id, CASE WHEN bn IS NOT NULL AND bt <> bn OR coalesce(bt, bn) NOT IN ({_quoted(resolve.DOCUMENT_KINDS)}) THEN 'unknown' ELSE bt END AS kind FROM k"""),
     "case_search": (case_search, """SELECT c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey
 WHERE contains(lower(c_name || c_mktsegment || n_name), 'build') AND contains(lower(c_name || c_mktsegment || n_name), 'nation_1')"""),
 }

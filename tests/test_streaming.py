@@ -44,7 +44,7 @@ def test_silent_job_turns_failed(spark, tmp_path):
     spark.createDataFrame(first, schema).coalesce(1).write.parquet(src)
     out, ck = "job_out", str(tmp_path / "ck")
     for extra in ([("j3", 5, at(90), "queued")], [("j3", 6, at(95), "done")], [("j4", 7, at(200), "done")]):
-        q = jobs.job_states(spark.readStream.schema(schema).parquet(src)).writeStream.outputMode("update").foreachBatch(
+        q = jobs.job_states(spark.readStream.schema(schema).parquet(src), "1 minute").writeStream.outputMode("update").foreachBatch(
             lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(str(tmp_path / out))).option("checkpointLocation", ck).trigger(availableNow=True).start()
         q.awaitTermination()
         spark.createDataFrame(extra, schema).coalesce(1).write.mode("append").parquet(src)
@@ -60,11 +60,11 @@ def test_grants_join_and_once(spark, tmp_path):
     plans = spark.createDataFrame([("p1", "report", "h", "k", at(0)), ("p2", "report", "h", "k", at(10))], "plan_id string, kind string, file_hash string, price_key string, plan_ts timestamp")
     uses = spark.createDataFrame([("u1", "report", "h", "k", at(20)), ("u2", "report", "h", "k", at(25)), ("u3", "report", "h", "other", at(21)), ("u4", "report", "h", "k", at(90))],
                                  "use_id string, kind string, file_hash string, price_key string, use_ts timestamp")
-    batch = jobs.match_grants(plans, uses)
+    batch = jobs.match_grants(plans, uses, "5 minutes")
     assert sorted((r.use_id, r.plan_id) for r in batch.collect()) == [("u1", "p1"), ("u1", "p2"), ("u2", "p1"), ("u2", "p2")]
     assert [(r.use_id, r.plan_id) for r in jobs.grant_once(batch).collect()] == [("u1", "p2")]
     plans.write.parquet(str(tmp_path / "p")), uses.write.parquet(str(tmp_path / "u"))
-    stream = jobs.match_grants(spark.readStream.schema(plans.schema).parquet(str(tmp_path / "p")), spark.readStream.schema(uses.schema).parquet(str(tmp_path / "u")))
+    stream = jobs.match_grants(spark.readStream.schema(plans.schema).parquet(str(tmp_path / "p")), spark.readStream.schema(uses.schema).parquet(str(tmp_path / "u")), "5 minutes")
     q = stream.writeStream.format("memory").queryName("grants").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.use_id, r.plan_id) for r in spark.table("grants").collect()) == sorted((r.use_id, r.plan_id) for r in batch.collect())
