@@ -31,7 +31,9 @@ def scan(df: DataFrame, keys: list[str], bucket: Column, order: list[str], outpu
 
     ``order`` must be unique within a key, or rows that tie are scanned in no fixed order.
     """
-    staged = df.withColumn("_bucket", bucket)
+    # One struct names key and bucket. Structs with equal null fields are equal, so the join back is a plain equality on the
+    # column that the rows are already partitioned by, and they move once.
+    staged = df.withColumn("_at", F.struct(*keys, bucket.alias("_bucket")))
     for name, spec in outputs.items():
         staged = staged.withColumn(f"_in_{name}", spec.value)
     position = F.struct(*[F.col(c) for c in order])
@@ -43,16 +45,17 @@ def scan(df: DataFrame, keys: list[str], bucket: Column, order: list[str], outpu
             totals.append(F.sum(value).alias(f"_all_{name}"))
         else:
             totals.append(F.max_by(value, F.when(value.isNotNull(), position)).alias(f"_all_{name}"))
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = staged.groupBy(*keys, "_bucket").agg(*totals)
+    part = lambda c: F.col("_at")[c]
+    earlier = Window.partitionBy(*map(part, keys)).orderBy(part("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = staged.groupBy("_at").agg(*totals)
     carry_cols = [
         (F.sum(f"_all_{name}").over(earlier) if isinstance(spec, Running)
          else F.last(f"_all_{name}", ignorenulls=True).over(earlier)).alias(f"_carry_{name}")
         for name, spec in outputs.items()
     ]
-    carried = carried.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_k__bucket"), *carry_cols)
+    carried = carried.select(F.col("_at").alias("_k_at"), *carry_cols)
 
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = Window.partitionBy("_at").orderBy(*order)
     scanned = staged
     for name, spec in outputs.items():
         frame = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow if spec.inclusive else -1)
@@ -60,10 +63,7 @@ def scan(df: DataFrame, keys: list[str], bucket: Column, order: list[str], outpu
         local = F.sum(value).over(frame) if isinstance(spec, Running) else F.last(value, ignorenulls=True).over(frame)
         scanned = scanned.withColumn(f"_local_{name}", local)
 
-    same = F.lit(True)
-    for k in [*keys, "_bucket"]:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = scanned.join(carried, same, "left")
+    joined = scanned.join(carried, F.col("_at") == F.col("_k_at"), "left")
     results = []
     for name, spec in outputs.items():
         local, carry = F.col(f"_local_{name}"), F.col(f"_carry_{name}")
