@@ -33,10 +33,11 @@ def sum_shares(holders: DataFrame, keys: list[str], n: str = "n", d: str = "d",
 
 def printed_share(n: Column, d: Column, printed_d: Column) -> Column:
     """AGG-5: keep the printed denominator where the sum allows it (200/10000, not 1/50)."""
-    n, d, p = (c.cast("decimal(38,0)") for c in (n, d, printed_d))
-    fits = p.isNotNull() & (p % d == 0)
-    scaled = (n * (p / d).cast("decimal(38,0)")).cast("decimal(38,0)")
-    return F.when(fits, F.concat(p.cast("string"), F.lit("分の"), scaled.cast("string"))).otherwise(
+    big = lambda c: c.try_cast("decimal(38,0)")
+    fits = F.coalesce(big(printed_d) % big(d) == 0, F.lit(False))
+    scaled = F.try_multiply(big(n), F.when(fits, F.try_divide(big(printed_d), big(d))).try_cast("decimal(38,0)")).try_cast("decimal(38,0)")
+    # sums of many denominators outgrow any decimal; they stay as the exact text they are
+    return F.when(scaled.isNotNull(), F.concat(big(printed_d).cast("string"), F.lit("分の"), scaled.cast("string"))).otherwise(
         F.concat(d.cast("string"), F.lit("分の"), n.cast("string")))
 
 

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from shirube.functions.text import arabic_numerals
-from shirube.operators import quotes, resolve
+from shirube.operators import lands, quotes, resolve
 from shirube.plans import contract, extract
 from shirube.streaming import jobs
 
@@ -51,3 +51,10 @@ def test_title_on_a_late_page(spark):
     files = spark.createDataFrame([(h, "scan.pdf") for h in "abcd"], "file_hash string, name string")
     assert {r.file_hash: r.kind for r in resolve.classify(files, pages).collect()} == {"a": "purchase", "b": "zoning", "c": None, "d": None}
     assert {r.file_hash: r.kind for r in resolve.classify(files, pages, head_chars=300).collect()}["b"] is None
+
+
+def test_shares_beyond_any_decimal(spark):
+    big = "1" + "0" * 42
+    rows = [("3", "7", None), ("200", "10000", "10000"), ("1", "50", "10000"), (big, "7" + big, "10000"), ("1", "3", "10000"), ("2", "4", big)]
+    got = [r[0] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, n string, d string, p string").orderBy("i").select(lands.printed_share(F.col("n"), F.col("d"), F.col("p"))).collect()]
+    assert got == ["7分の3", "10000分の200", "10000分の200", f"7{big}分の{big}", "3分の1", "4分の2"]
