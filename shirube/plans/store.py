@@ -1,7 +1,7 @@
 """JOB-16, JOB-17, JOB-20: registration into the store, the workspace view and cached imports."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.evidence import content_key
 from ..operators import adopt, resolve, versions, views
@@ -22,23 +22,29 @@ def register(requests: DataFrame, matched: DataFrame, values: DataFrame, master:
     ``requests``: incoming_id, request_key, expected_status, expected_unit_id, expected_building_id, case_mode, resume_case_id;
     ``matched``: the re-run match (status, unit_id, building_id); ``values``: incoming_id, file_hash, original_filename, field_code,
     value_json, confidence, page_no, source_text, needs_review; ``master``: incoming_id, field_code, value_json (sure values).
-    A request whose match changed since it was shown, or that was already imported, adds nothing.
+    A request whose match changed since it was shown, or that was already imported, adds nothing. New masters take their ids from
+    location, parcels and house number where these are sure, so two requests for one new unit make one; the earliest names it.
     """
     joined = requests.join(matched, "incoming_id")
     seen = store["imports"].select(F.col("content_hash").alias("request_key")).withColumn("_seen", F.lit(True))
     joined = joined.join(seen, "request_key", "left")
+    # of requests with one key in a batch the first counts, the others find it done
+    joined = joined.withColumn("_again", F.row_number().over(Window.partitionBy("request_key").orderBy("incoming_id")) > 1)
+    named = lambda code: F.max(F.when(F.col("field_code") == code, F.col("value_json")))
+    natural = master.groupBy("incoming_id").agg(named("registry_location").alias("_place"), named("land_lots").alias("_lots"), named("house_number").alias("_house"))
+    joined = joined.join(natural, "incoming_id", "left")
     same = (F.col("status").eqNullSafe(F.col("expected_status")) & F.col("unit_id").eqNullSafe(F.col("expected_unit_id"))
             & F.col("building_id").eqNullSafe(F.col("expected_building_id")))
     resumed = store["cases"].select(F.col("case_id").alias("resume_case_id"), F.col("unit_id").alias("_case_unit"))
     joined = joined.join(resumed, "resume_case_id", "left")
     bad_case = (F.col("case_mode") == "resume") & ~F.coalesce(F.col("_case_unit") == F.col("unit_id"), F.lit(False))
-    outcome = (F.when(F.col("_seen"), "reused").when(~F.coalesce(F.col("status").isin("new", "existing"), F.lit(False)) | ~same, "match_changed")
+    outcome = (F.when(F.col("_seen") | F.col("_again"), "reused").when(~F.coalesce(F.col("status").isin("new", "existing"), F.lit(False)) | ~same, "match_changed")
                .when(bad_case, "invalid_case").when(~F.col("case_mode").isin("new", "resume"), "invalid_case").otherwise("registered"))
     staged = joined.withColumn("outcome", outcome)
     go = staged.filter("outcome = 'registered'")
     go = (go.withColumn("_new_building", F.col("building_id").isNull()).withColumn("_new_unit", F.col("unit_id").isNull())
-          .withColumn("building_id", F.coalesce("building_id", _id("building", F.col("request_key"))))
-          .withColumn("unit_id", F.coalesce("unit_id", _id("unit", F.col("request_key"))))
+          .withColumn("building_id", F.coalesce("building_id", F.when(F.col("_place").isNotNull(), _id("building", F.col("_place"), F.coalesce("_lots", F.lit("")))), _id("building", F.col("request_key"))))
+          .withColumn("unit_id", F.coalesce("unit_id", F.when(F.col("_place").isNotNull() & F.col("_house").isNotNull(), _id("unit", F.col("building_id"), F.col("_house"))), _id("unit", F.col("request_key"))))
           .withColumn("case_id", F.when(F.col("case_mode") == "resume", F.col("resume_case_id")).otherwise(_id("case", F.col("request_key")))))
     target = go.select("incoming_id", "request_key", "building_id", "unit_id", "case_id", "_new_unit")
 
@@ -70,7 +76,8 @@ def register(requests: DataFrame, matched: DataFrame, values: DataFrame, master:
     results = staged.select("incoming_id", "outcome").join(target.drop("request_key", "_new_unit"), "incoming_id", "left")
     return {
         "results": results,
-        "buildings": go.filter("_new_building").select("building_id", "incoming_id"), "units": go.filter("_new_unit").select("unit_id", "building_id", "incoming_id"),
+        "buildings": newest(go.filter("_new_building"), ["building_id"], [F.asc("incoming_id")]).select("building_id", "incoming_id"),
+        "units": newest(go.filter("_new_unit"), ["unit_id"], [F.asc("incoming_id")]).select("unit_id", "building_id", "incoming_id"),
         "cases": go.filter("case_mode = 'new'").select("case_id", "unit_id", F.lit("draft").alias("case_status")),
         "documents": fresh.select("document_id", F.lit(document_type).alias("document_type"), "building_id", "unit_id", "case_id", F.col("original_filename").alias("title")),
         "versions": fresh.select("document_version_id", "document_id", F.lit(1).alias("version_no"), "file_hash", "original_filename", F.lit("provisional").alias("status"),

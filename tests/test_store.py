@@ -64,6 +64,14 @@ def test_registration_is_idempotent(spark):
     rerun = S.register(requests, matched, values, master, again)
     assert {r.incoming_id: r.outcome for r in rerun["results"].collect()}["a"] == "reused" and rerun["versions"].count() == 0 and rerun["diffs"].count() == 0
 
+    # one new unit asked for twice, and one request sent twice, in the same batch
+    requests = spark.createDataFrame([("p", "k7", "new", None, None, "new", None), ("q", "k8", "new", None, None, "new", None), ("r", "k8", "new", None, None, "new", None)], req)
+    matched = spark.createDataFrame([(i, "new", None, None) for i in "pqr"], "incoming_id string, status string, unit_id string, building_id string")
+    values = spark.createDataFrame([(i, "f9", "z.pdf", c, v, 1.0, 1, v, False) for i in "pqr" for c, v in (("registry_location", '"港区"'), ("land_lots", '["1番"]'), ("house_number", '"1番の2"'))], val)
+    out = S.register(requests, matched, values, values.select("incoming_id", "field_code", "value_json"), stored)
+    assert {r.incoming_id: r.outcome for r in out["results"].collect()} == {"p": "registered", "q": "registered", "r": "reused"}
+    assert [out[n].count() for n in ("buildings", "units", "documents", "versions", "cases")] == [1, 1, 1, 1, 2] and out["units"].first().incoming_id == "p"
+
 
 def test_report_scenario(spark):
     """Hold keeps the master, a changed master is stale, weak evidence blocks, one adoption applies, a repeat is reused."""
