@@ -1,64 +1,71 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its words in lower case. Lines with equal sets are one class, found by grouping. Between classes: order
-the words of every line by rarity, so that two lines with Jaccard similarity t or more share one of their first
-size - ceil(t size) + 1 words (prefix filter); of lines that share one, the sizes must allow t (length filter), and so must the
-words that are left behind the shared one in both (positional filter); what is left is verified on the whole sets.
+A line is the set of its five-word shingles, in lower case. Lines with equal sets are one class, found by grouping. Between
+classes: order the shingles of every line by rarity, so that two lines with Jaccard similarity t or more share one of their
+first size - ceil(t size) + 1 shingles (prefix filter); of lines that share one, the sizes must allow t (length filter), and so
+must the shingles that are left behind the shared one in both (positional filter); what is left is verified on the whole sets.
 
-Rarity comes from tables of fixed size: words hash to buckets, and a bucket holds the rounded logarithm of its count. Any order
-that all lines share is right, and this one needs no join. A word whose bucket was met once cannot join and is not moved.
+Rarity comes from a table of fixed size: words hash to buckets, and a bucket holds the rounded logarithm of its count; a
+shingle is as rare as its first word. Any order that all lines share is right, and this one needs no join. A shingle's
+code is its rarity followed by its hash, so that sorting the codes of a line orders its shingles.
 
-Hot words. A line goes as soon as one earlier line matches it, so a group of many lines with one prefix word is first compared
-with its earliest line only; the lines that this leaves open are then compared with all earlier lines of the group.
+Hot shingles. A line goes as soon as one earlier line matches it, so the lines of a large group are first compared with the
+few earliest of it only; what this leaves open is compared with the next earliest, four times as many in each round, to the end.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
 #: Jaccard similarity from which lines match, as a fraction.
 SIMILAR = (4, 5)
-MIN_WORDS = 5
-#: Buckets of words for telling which may be met again, and for their rarity.
-BUCKETS, RARITY = 1 << 22, 1 << 16
-#: Groups of at most so many lines compare all their pairs at once; larger ones begin with their earliest line.
+SHINGLE = 5
+#: Buckets of words for their rarity.
+RARITY = 1 << 16
+#: Groups of at most so many lines compare all their pairs at once; larger ones begin with a quarter as many of their earliest lines.
 AT_ONCE = 32
 _FILTER_WORDS = 1 << 16
+_HASH_BITS = (1 << 56) - 1
+_BLANK = "[ \t\r\f\u000b]"
 
 
 def _shift(value: Column, by: Column, left: bool = False) -> Column:
     return F.call_function("shiftleft" if left else "shiftrightunsigned", value, by.cast("int"))
 
 
-def line_sets(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """doc_id, line_no, words (distinct hashes, sorted), size, k1, k2 of the lines with enough different words."""
-    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("doc_id"), F.posexplode(F.split(F.coalesce(docs[text_col], F.lit("")), "\n")).alias("line_no", "line"))
-    words = F.split(F.lower(F.translate("line", "\t\r\f\u000b", "    ")), " ")
-    hashes = F.sort_array(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))))
-    sets = rows.select("doc_id", "line_no", hashes.alias("words")).withColumn("size", F.size("words")).where(F.col("size") >= min_words)
-    return sets.withColumns({"k1": F.xxhash64("words"), "k2": F.xxhash64(F.lit("second"), "words")})
+def rarity_levels(docs: DataFrame, text_col: str) -> bytes:
+    """For each rarity bucket, a byte: 1 and the rounded up logarithm of its count. Of fixed size, however many words there are."""
+    words = docs.select(F.explode(F.split(F.lower(docs[text_col]), "[ \t\r\f\u000b\n]")).alias("w"))
+    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY)).alias("at")).count()
+    levels = bytearray(b"\1" * RARITY)
+    for row in counts.collect():  # RARITY rows at most
+        levels[row["at"]] = 1 + (row["count"] - 1).bit_length()
+    return bytes(levels)
 
 
-def word_counts(sets: DataFrame) -> DataFrame:
-    """bucket, count: how often words of a bucket stand in lines; at most BUCKETS rows."""
-    return sets.select(F.explode("words").alias("w")).groupBy(F.pmod("w", F.lit(BUCKETS)).alias("bucket")).count()
+def _words(line: Column) -> Column:
+    """Hashes of the words of a line, in order. Blanks part words; other white space does so as well, where there is any."""
+    lower = F.lower(line)
+    other = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\u000b"))
+    parts = F.split(F.when(other, F.regexp_replace(lower, _BLANK, " ")).otherwise(lower), " ")
+    return F.array_remove(F.transform(parts, lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
-def rarity_levels(counts: DataFrame) -> bytes:
-    """For each rarity bucket, a byte: the rounded up logarithm of its count. Of fixed size, however many words there are."""
-    coarse = counts.groupBy(F.pmod("bucket", F.lit(RARITY)).alias("at")).agg(F.ceil(F.log2(F.sum("count"))).alias("level"))
-    levels = bytearray(RARITY)
-    for row in coarse.collect():
-        levels[row["at"]] = row["level"]
-    return bytes(levels)
+def coded(line: Column, levels: bytes) -> Column:
+    """The distinct shingles of a line as sorted codes: rarity in the top byte, hash below; none of a line of fewer than five words."""
+    table = F.lit(levels)
+    level = lambda h: F.ascii(F.substring(table, F.pmod(h, F.lit(RARITY)).cast("int") + 1, 1).cast("string")).cast("long")
+    ranked = F.transform(_words(line), lambda h: _shift(level(h), F.lit(56), left=True).bitwiseOR(h.bitwiseAND(F.lit(_HASH_BITS))))
 
+    def shingle(words: Column, i: Column) -> Column:
+        own = [F.get(words, i + k) for k in range(SHINGLE)]
+        return own[0].bitwiseAND(F.lit(127 << 56)).bitwiseOR(F.xxhash64(*own).bitwiseAND(F.lit(_HASH_BITS)))
 
-def repeated_bits(counts: DataFrame) -> DataFrame:
-    """_word, _bits: which buckets were met more than once, 64 to a row; broadcast, BUCKETS / 64 rows at most."""
-    met = counts.where("count > 1")
-    return met.groupBy(_shift(F.col("bucket"), F.lit(6)).alias("_word")).agg(F.bit_or(_shift(F.lit(1).cast("long"), F.pmod("bucket", F.lit(64)), left=True)).alias("_bits"))
+    places = lambda words: F.when(F.size(words) >= SHINGLE, F.sequence(F.lit(0), F.size(words) - SHINGLE)).otherwise(F.array().cast("array<int>"))
+    once = F.transform(F.array(ranked), lambda words: F.transform(places(words), lambda i: shingle(words, i)))  # the words are computed once
+    return F.sort_array(F.array_distinct(F.element_at(once, 1)))
 
 
 def _least_overlap(size: Column, similar: tuple[int, int]) -> Column:
@@ -66,81 +73,115 @@ def _least_overlap(size: Column, similar: tuple[int, int]) -> Column:
     return F.ceil(size * similar[0] / F.lit(float(similar[1])) - 1e-9).cast("int")
 
 
-def prefixes(sets: DataFrame, counts: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """w, k1, size, pos, first: the prefix words of each class of lines; first is its earliest (doc_id, line_no)."""
-    table = F.lit(rarity_levels(counts))
+def line_table(docs: DataFrame, levels: bytes, id_col: str, text_col: str, similar: tuple[int, int]) -> DataFrame:
+    """doc_id, line_no, size, k1, k2 (a hash of the set), head (its prefix) of the lines with five words or more."""
+    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("doc_id"), F.posexplode(F.split(docs[text_col], "\n")).alias("line_no", "line"))
+    sets = rows.where(F.length("line") >= 2 * SHINGLE - 1).select("doc_id", "line_no", coded(F.col("line"), levels).alias("codes")).withColumn("size", F.size("codes")).where("size > 0")
+    head = F.slice("codes", F.lit(1), F.col("size") - _least_overlap(F.col("size"), similar) + 1)
+    return sets.select("doc_id", "line_no", "size", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit("second"), "codes").alias("k2"), head.alias("head"))
 
-    def level(w: Column) -> Column:
-        return F.ascii(F.substring(table, F.pmod(w, F.lit(RARITY)).cast("int") + 1, 1).cast("string"))
 
-    ranked = F.sort_array(F.transform("words", lambda w: F.struct(level(w).alias("level"), w.alias("w"))))
-    head = F.slice(ranked, F.lit(1), F.col("size") - _least_overlap(F.col("size"), similar) + 1)
-    rows = sets.select("doc_id", "line_no", "k1", "size", F.posexplode(F.transform(head, lambda x: x["w"])).alias("pos", "w"))
-    bucket = F.pmod("w", F.lit(BUCKETS))
-    met = rows.withColumn("_word", _shift(bucket, F.lit(6))).join(F.broadcast(repeated_bits(counts)), "_word")
-    met = met.where(_shift(F.col("_bits"), F.pmod(bucket, F.lit(64))).bitwiseAND(F.lit(1)) == 1)
-    return met.groupBy("w", "k1", "size", "pos").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+def line_classes(lines: DataFrame, *carried: str) -> DataFrame:
+    """k1, k2, doc_id, line_no and what is carried of each different set at its first place."""
+    place = F.struct("doc_id", "line_no", *carried)
+    return lines.groupBy("k1", "k2").agg(F.min_by(place, F.struct("doc_id", "line_no")).alias("p")).select("k1", "k2", "p.*")
 
 
 def _plausible(similar: tuple[int, int]) -> Column:
-    """Length and positional filter of a pair (x, y) that shares a prefix word."""
+    """Order, length and positional filters of a pair (x, y) that shares a prefix shingle; y is the earlier line."""
     a, b = similar
-    together = F.ceil((F.col("x.size") + F.col("y.size")) * a / F.lit(float(a + b)) - 1e-9)
+    total = F.col("x.size") + F.col("y.size")
+    together = F.ceil(total * a / F.lit(float(a + b)) - 1e-9)
     left = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    return (F.col("y.first") < F.col("x.first")) & (F.col("x.size") * a <= F.col("y.size") * b) & (F.col("y.size") * a <= F.col("x.size") * b) & (left >= together)
+    earlier = (F.col("y.doc_id") < F.col("x.doc_id")) | (F.col("y.doc_id") == F.col("x.doc_id")) & (F.col("y.line_no") < F.col("x.line_no"))
+    return earlier & (F.col("x.size") * a <= F.col("y.size") * b) & (F.col("y.size") * a <= F.col("x.size") * b) & (left >= together)
+
+
+_PAIR = ("x.doc_id", "x.line_no", "y.doc_id", "y.line_no")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(c).alias(n) for c, n in zip(_PAIR, ("xd", "xl", "yd", "yl")))).distinct()
 
 
 def _pairs(x: DataFrame, y: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    return x.alias("x").join(y.alias("y"), F.col("x.w") == F.col("y.w")).where(_plausible(similar)).select(F.col("x.k1").alias("kx"), F.col("y.k1").alias("ky")).distinct()
+    return _named(x.alias("x").join(y.alias("y"), F.col("x.w") == F.col("y.w")).where(_plausible(similar)))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """The classes kx that match an earlier one. Only lines that may stand in a pair leave the scan: a bit table of fixed size tells."""
-    a, b = similar
+def _sets_of(met: DataFrame, docs: DataFrame, levels: bytes, id_col: str, text_col: str) -> DataFrame:
+    """d, l, codes of the lines that share a prefix shingle with another. A bit table of fixed size tells them in the scan."""
     bit, word = (lambda k: _shift(F.lit(1).cast("long"), F.pmod(k, F.lit(64)), left=True)), (lambda k: F.pmod(_shift(k, F.lit(6)), F.lit(_FILTER_WORDS)))
-    keys = pairs.select(F.explode(F.array("kx", "ky")).alias("k"))
+    keys = met.select(F.xxhash64("doc_id", "line_no").alias("k"))
     bits = F.broadcast(keys.groupBy(word(F.col("k")).alias("_word")).agg(F.bit_or(bit(F.col("k"))).alias("_bits")))  # 65,536 rows at most
-    likely = sets.select("k1", "words").withColumn("_word", word(F.col("k1"))).join(bits, "_word").where(F.col("_bits").bitwiseAND(bit(F.col("k1"))) != 0)
-    arrays = stored(likely.groupBy("k1").agg(F.first("words").alias("words")))
-    wx, wy = arrays.select(F.col("k1").alias("kx"), F.col("words").alias("wx")), arrays.select(F.col("k1").alias("ky"), F.col("words").alias("wy"))
-    both = F.size(F.array_intersect("wx", "wy"))
-    match = both * (a + b) >= (F.size("wx") + F.size("wy")) * a  # both / (|x| + |y| - both) >= a / b
-    return pairs.join(wx, "kx").join(wy, "ky").where(match).select("kx").distinct()
-
-
-def matched_lines(sets: DataFrame, similar: tuple[int, int] = SIMILAR, at_once: int = AT_ONCE) -> DataFrame:
-    """kx: the keys of line classes that an earlier class matches."""
-    posted = stored(prefixes(sets, stored(word_counts(sets)), similar))
-    groups = posted.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("first", "k1", "size", "pos")).alias("lead")).where("n > 1").select(F.col("w").bitwiseXOR(F.lit(0)).alias("g"), "n", "lead")
-    joined = stored(posted.join(groups, F.col("w") == F.col("g")).drop("g"))
-    small, large = joined.where(F.col("n") <= at_once), joined.where(F.col("n") > at_once)
-    leaders = large.select("w", "k1", "size", "pos", "first", F.col("lead")).select(F.struct("w", "k1", "size", "pos", "first").alias("x"), F.col("lead").alias("y"))
-    begun = _pairs(small, small, similar).union(leaders.where(_plausible(similar)).select(F.col("x.k1").alias("kx"), F.col("y.k1").alias("ky"))).distinct()
-    first = stored(_verified(stored(begun), sets, similar))
-    open_lines = large.join(first, F.col("k1") == F.col("kx"), "left_anti")
-    rest = stored(_pairs(open_lines, large, similar).join(begun, ["kx", "ky"], "left_anti"))
-    return first.union(_verified(rest, sets, similar)).distinct()
+    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("d"), F.posexplode(F.split(docs[text_col], "\n")).alias("l", "line")).withColumn("_k", F.xxhash64("d", "l"))
+    likely = rows.withColumn("_word", word(F.col("_k"))).join(bits, "_word").where(F.col("_bits").bitwiseAND(bit(F.col("_k"))) != 0)
+    return likely.select("d", "l", coded(F.col("line"), levels).alias("codes"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR, min_words: int = MIN_WORDS) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """xd, xl of the lines that match an earlier one, on whole sets."""
+    a, b = similar
+    wx, wy = sets.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("codes").alias("wx")), sets.select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("codes").alias("wy"))
+    both = F.size(F.array_intersect("wx", "wy"))
+    match = both * (a + b) >= (F.size("wx") + F.size("wy")) * a  # both / (|x| + |y| - both) >= a / b
+    return pairs.join(wx, ["xd", "xl"]).join(wy, ["yd", "yl"]).where(match).select("xd", "xl").distinct()
+
+
+def matched_lines(lines: DataFrame, docs: DataFrame, levels: bytes, similar: tuple[int, int], id_col: str, text_col: str, at_once: int = AT_ONCE) -> DataFrame:
+    """xd, xl: the first places of line classes that an earlier class matches."""
+    classes = line_classes(lines, "size", "head")
+    posted = classes.select("doc_id", "line_no", "size", F.posexplode("head").alias("pos", "w"))
+    group = Window.partitionBy("w")
+    # the rows of a shingle that only one line has, nearly all of them, end here
+    met = posted.withColumns({"n": F.count(F.lit(1)).over(group), "rank": F.row_number().over(group.orderBy("doc_id", "line_no"))}).where("n > 1")
+    met = stored(met)
+    sets = stored(_sets_of(met, docs, levels, id_col, text_col))
+    small, large = met.where(F.col("n") <= at_once), met.where(F.col("n") > at_once)
+    done = stored(_verified(_pairs(small, small, similar), sets, similar))
+    begin, many = 0, at_once // 4 + 1
+    while True:
+        still = large.where(F.col("rank") > begin + 1).join(done, (F.col("doc_id") == F.col("xd")) & (F.col("line_no") == F.col("xl")), "left_anti")
+        if still.isEmpty():
+            return done
+        leaders = large.where((F.col("rank") > begin) & (F.col("rank") <= begin + many))
+        done = stored(done.union(_verified(_pairs(still, leaders, similar), sets, similar)).distinct())
+        begin, many = begin + many, many * 4
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """``docs`` with later matches removed from the text; adds n_lines, n_exact and n_near (lines removed, by kind of match).
 
-    Lines are ordered by document id and place. A line goes if an earlier line has the same words (n_exact) or, failing that,
-    if its words have Jaccard similarity 4/5 or more with those of an earlier line (n_near), itself removed or not. Lines
-    with fewer than ``min_words`` different words stay. Null text stays null; rows without id stay as they are and take no
-    part; rows that repeat an id count as one document. Other columns pass through, save those with the names of the
-    three that are added. An empty table gives an empty result.
+    Lines are ordered by document id and place. A line goes if an earlier line has the same five-word shingles (n_exact) or,
+    failing that, if its shingles have Jaccard similarity 4/5 or more with those of an earlier line (n_near), itself removed or
+    not. Lines of fewer than five words stay. Null text stays null; rows without id stay as they are and take no part; rows
+    that repeat an id count as one document. Other columns pass through, save those with the names of the three that are
+    added. An empty table gives an empty result.
     """
-    sets = line_sets(docs, id_col, text_col, min_words)
-    classes = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "first")
-    near = matched_lines(sets, similar)
-    lines = sets.select("doc_id", "line_no", "k1", "k2").join(classes, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
-    later = lines.withColumn("exact", F.col("first") != F.struct("doc_id", "line_no"))
-    gone = later.join(near, F.col("k1") == F.col("kx"), "left").where(F.col("exact") | F.col("kx").isNotNull())
-    by_doc = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"), F.count_distinct(F.when(F.col("exact"), F.col("line_no"))).alias("_exact"))
-    joined = docs.drop("n_lines", "n_exact", "n_near").join(by_doc, docs[id_col] == F.col("_doc"), "left")
+    levels = rarity_levels(docs, text_col)
+    lines = stored(line_table(docs, levels, id_col, text_col, similar))
+    classes = line_classes(lines)
+    near = matched_lines(lines, docs, levels, similar, id_col, text_col).select("xd", "xl", F.lit(True).alias("near"))
+    firsts = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("doc_id").alias("fd"), F.col("line_no").alias("fl"))
+    firsts = firsts.join(near, (F.col("fd") == F.col("xd")) & (F.col("fl") == F.col("xl")), "left").select("c1", "c2", "fd", "fl", F.col("near").isNotNull().alias("near"))
+    placed = lines.select("doc_id", "line_no", "k1", "k2").join(firsts, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
+    later = placed.withColumn("exact", (F.col("fd") != F.col("doc_id")) | (F.col("fl") != F.col("line_no"))).where("exact or near")
+    by_doc = stored(later.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"), F.count_distinct(F.when(F.col("exact"), F.col("line_no"))).alias("_exact")))
+    return _without(docs.drop("n_lines", "n_exact", "n_near"), by_doc, id_col, text_col)
+
+
+def _without(docs: DataFrame, by_doc: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Texts without the lines that go. Only texts that may lose a line are shuffled; a bit table of fixed size tells the others."""
+    bit, word = (lambda k: _shift(F.lit(1).cast("long"), F.pmod(F.xxhash64(k), F.lit(64)), left=True)), (lambda k: F.pmod(_shift(F.xxhash64(k), F.lit(6)), F.lit(_FILTER_WORDS)))
+    bits = F.broadcast(by_doc.groupBy(word(F.col("_doc")).alias("_word")).agg(F.bit_or(bit(F.col("_doc"))).alias("_bits")))  # 65,536 rows at most
+    told = docs.withColumn("_at", F.coalesce(word(F.col(id_col)), F.lit(-1))).join(bits, F.col("_at") == F.col("_word"), "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit(F.col(id_col))) != 0, F.lit(False))
     lines_of = F.split(F.col(text_col), "\n")
+    n_lines = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(lines_of)), F.lit(0)).cast("long").alias("n_lines")
+    none = F.lit(0).cast("long")
+    untouched = told.where(~hit).select(*docs.columns, n_lines, none.alias("n_exact"), none.alias("n_near"))
+    joined = told.where(hit).select(*docs.columns).join(by_doc, docs[id_col] == F.col("_doc"), "left")
     kept = F.array_join(F.filter(lines_of, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    exact = F.coalesce("_exact", F.lit(0)).cast("long")
-    added = {"n_lines": F.coalesce(F.size(lines_of), F.lit(0)).cast("long"), "n_exact": exact, "n_near": F.coalesce(F.size("_gone"), F.lit(0)).cast("long") - exact}
-    return joined.withColumns(added).withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).drop("_doc", "_gone", "_exact")
+    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
+    exact = F.coalesce("_exact", none)
+    touched = joined.select(*(text if c == text_col else F.col(c) for c in docs.columns), n_lines, exact.alias("n_exact"), (F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long") - exact).alias("n_near"))
+    return untouched.union(touched)

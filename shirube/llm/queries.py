@@ -18,10 +18,10 @@ OP1_SQL = """
 WITH lines AS (
   SELECT doc_id, i - 1 AS line_no, parts[i] AS line
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents) d, unnest(generate_series(1, len(parts))) AS u(i)),
+words AS (SELECT doc_id, line_no, list_filter(string_split(lower(line), ' '), lambda w: w <> '') AS w FROM lines),
 sets AS (
-  SELECT *, len(words) AS size FROM (
-    SELECT doc_id, line_no, list_sort(list_distinct(list_filter(string_split(lower(line), ' '), lambda w: w <> ''))) AS words FROM lines)
-  WHERE len(words) >= 5),
+  SELECT doc_id, line_no, words, len(words) AS size FROM (
+    SELECT doc_id, line_no, list_sort(list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')))) AS words FROM words WHERE len(w) >= 5)),
 classes AS (
   SELECT row_number() OVER (ORDER BY first_doc, first_line) AS class, words, size, first_doc, first_line FROM (
     SELECT words, any_value(size) AS size, min((doc_id, line_no))[1] AS first_doc, min((doc_id, line_no))[2] AS first_line FROM sets GROUP BY words)),

@@ -49,8 +49,9 @@ def brute_lines(pairs, similar=(4, 5), least=5):
     for doc_id, text in sorted(pairs):
         kept, exact, near = [], 0, 0
         for line in text.split("\n"):
-            words = {w for w in line.lower().translate(str.maketrans("\t\r\f\v", "    ")).split(" ") if w}
-            if len(words) < least:
+            parts = [w for w in line.lower().translate(str.maketrans("\t\r\f\v", "    ")).split(" ") if w]
+            words = {tuple(parts[i:i + least]) for i in range(len(parts) - least + 1)}
+            if not words:
                 kept.append(line)
                 continue
             if words in seen:
@@ -67,10 +68,10 @@ def brute_lines(pairs, similar=(4, 5), least=5):
 
 @pytest.mark.parametrize("at_once", [2, 32])
 def test_lines(spark, at_once, monkeypatch):
-    monkeypatch.setattr(line_dedup.matched_lines, "__defaults__", (line_dedup.SIMILAR, at_once))
+    monkeypatch.setattr(line_dedup.matched_lines, "__defaults__", (at_once,))
     rng = random.Random(at_once)
-    words = [f"t{i}" for i in range(40)] + ["the", "of", "and"] * 3
-    base = [" ".join(rng.sample(words, rng.randrange(5, 14))) for _ in range(20)]
+    words = [f"t{i}" for i in range(60)] + ["the", "of", "and"] * 3
+    base = [" ".join(rng.sample(words, rng.randrange(5, 40))) for _ in range(20)]
 
     def line():
         kind = rng.random()
