@@ -145,7 +145,7 @@ def diff_sides(diffs: DataFrame, values: DataFrame, versions: DataFrame, labels:
                            F.col("is_trusted").alias(f"{prefix}_trusted"))
     return (diffs.join(side("new"), ["new_version_id", "field_code"], "left")
             .join(side("old"), ["old_version_id", "field_code"], "left")
-            .join(F.broadcast(labels.select("field_code", "label")), "field_code", "left")
+            .join(labels.select("field_code", "label"), "field_code", "left")
             .withColumn("label", F.coalesce("label", "field_code"))
             .withColumn("new_trusted", F.coalesce("new_trusted", F.lit(False))))
 

@@ -37,7 +37,7 @@ def unlinked_documents(documents: DataFrame) -> DataFrame:
 
 def field_view(values: DataFrame, catalog: DataFrame) -> DataFrame:
     """PRJ-8: label, review flag and whether an output cell exists. The catalog is a small fixed table."""
-    c = F.broadcast(catalog.select("field_code", "label", "named_range", "primary_source"))
+    c = catalog.select("field_code", "label", "named_range", "primary_source")
     weak = (F.coalesce("needs_review", F.lit(False)) | is_absent(F.col("value_json")) | (F.coalesce("source_text", F.lit("")) == "")
             | (F.coalesce("page_no", F.lit(0)) == 0) | F.col("confidence").isNull() | (F.col("confidence") < TRUST_LEVEL))
     joined = values.join(c, "field_code", "left")

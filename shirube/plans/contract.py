@@ -186,7 +186,7 @@ def named_range_writes(values: DataFrame, catalog: DataFrame, names: DataFrame)
     ``catalog``: field_code, named_range; ``names``: name, sheet, cell.
     """
     once = names.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.min("sheet").alias("sheet"), F.min("cell").alias("cell"))
-    target = F.broadcast(catalog.select("field_code", "named_range"))
+    target = catalog.select("field_code", "named_range")
     joined = values.join(target, "field_code", "left").join(once, F.col("named_range") == F.col("name"), "left")
     sure = trusted(F.col("value_json"), F.col("confidence"), F.col("page_no"), F.col("source_text"), F.col("needs_review"), True)
     ok = F.coalesce(F.col("approved") & sure & (F.col("confidence") <= 1) & (F.col("_n") == 1) & (F.col("sheet") == INPUT_SHEET), F.lit(False))

@@ -51,7 +51,7 @@ def normalize_report(items: DataFrame, pages: DataFrame, catalog: DataFrame) ->
     A quote that stands on exactly one other text page corrects the page. ``review_reasons`` an item
     already carries are kept. ``catalog``: field_code, data_type.
     """
-    typed = items.join(F.broadcast(catalog.select("field_code", "data_type")), "field_code")
+    typed = items.join(catalog.select("field_code", "data_type"), "field_code")
     text = F.nullif(F.trim(nfkc(F.col("value"))), F.lit(""))
     number, is_number, is_date = to_number(text, NUMBER_UNITS["report"]), F.col("data_type") == "number", F.col("data_type") == "date"
     typed = (typed.withColumn("_text", text).withColumn("_number", F.when(is_number, to_number(F.col("_text"))))

@@ -26,13 +26,16 @@ def read_lines(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 def land_files(spark: SparkSession, path: str, max_bytes: int = 50 * 1024 * 1024) -> tuple[DataFrame, DataFrame]:
     """SRC-3: raw files with content hash; refused ones come back with a reason."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_extract("path", r"([^/\\]+)$", 1)
-    hashed = raw.select(name.alias("name"), F.sha2("content", 256).alias("file_hash"), F.col("length").alias("size"), F.substring("content", 1, 5).alias("_head"))
-    reason = (F.when(F.length("name") > 200, "name too long").when(~F.lower("name").endswith(".pdf"), "not a pdf name")
-              .when(F.col("_head") != F.lit(b"%PDF-"), "not a pdf").when((F.col("size") <= 0) | (F.col("size") > max_bytes), "size"))
+    name = F.regexp_extract("path", r"([^/\\]+)$", 1).alias("name")
+    files = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    fits = (F.col("length") > 0) & (F.col("length") <= max_bytes)
+    # the reader checks the length before it opens a file, so the content of one that is too large is never read
+    hashed = files().filter(fits).select(name, F.sha2("content", 256).alias("file_hash"), F.col("length").alias("size"), F.substring("content", 1, 5).alias("_head"))
+    reason = (F.when(F.length("name") > 200, "name too long").when(~F.lower("name").endswith(".pdf"), "not a pdf name").when(F.col("_head") != F.lit(b"%PDF-"), "not a pdf"))
     tagged = hashed.withColumn("reason", reason).drop("_head")
-    return tagged.filter("reason is null").drop("reason"), tagged.filter("reason is not null")
+    outside = files().filter(~fits).select(name, F.lit(None).cast("string").alias("file_hash"), F.col("length").alias("size"))
+    named = F.when(F.length("name") > 200, "name too long").when(~F.lower("name").endswith(".pdf"), "not a pdf name").otherwise("size")
+    return tagged.filter("reason is null").drop("reason"), tagged.filter("reason is not null").unionByName(outside.withColumn("reason", named))
 
 
 def read_bundles(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:

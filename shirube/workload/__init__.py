@@ -1,9 +1,9 @@
 """Queries over the supplied star-schema tables, each next to the SQL that must give the same rows."""
 from __future__ import annotations
 
-from . import extracting, ledgers, matching, reporting, store, texts
+from . import extracting, inventory, ledgers, matching, reporting, store, texts
 
-GROUPS = (store, matching, texts, extracting, ledgers, reporting)
+GROUPS = (store, matching, texts, extracting, ledgers, reporting, inventory)
 
 
 def all_queries():
