@@ -41,7 +41,7 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 
 def nfkc(col: Column) -> Column:
-    """NFKC form. ASCII rows stay in the JVM; only the others cross to Python."""
+    """NFKC form. Texts that are ASCII only are passed to Python as null, so only the others are copied and folded."""
     ascii_only = col.rlike(r"^[\x00-\x7F]*$")
     return F.coalesce(F.when(ascii_only, col), _nfkc(F.when(~ascii_only, col)))
 
@@ -239,6 +239,12 @@ def search_fold(col: Column) -> Column:
     return F.translate(strip_spaces(F.lower(nfkc(F.coalesce(col, F.lit(""))))), SMALL_KANA, FULL_KANA)
 
 
+def search_word(word: str) -> str:
+    """A word of a query, folded as ``search_fold`` folds the texts, once and not for every row."""
+    folded = unicodedata.normalize("NFKC", word).lower().translate(str.maketrans(SMALL_KANA, FULL_KANA))
+    return "".join(c for c in folded if not c.isspace() and c not in "\x1c\x1d\x1e\x1f")
+
+
 def zone_key(col: Column) -> Column:
     return strip_spaces(F.translate(F.coalesce(col.cast("string"), F.lit("")), WIDE_DIGITS, "0123456789"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import CONDOMINIUM_KINDS, CONFLICT_PAIRS, DISCLOSURE_NUMBERS, IMPORTANT_WHEN_MISSING, NEVER_MASTER
 from ..functions.evidence import TRUST_LEVEL, is_absent
-from ..functions.text import nfkc_compact, search_fold
+from ..functions.text import nfkc_compact, search_fold, search_word
 from .ordered import newest
 
 
@@ -115,7 +115,7 @@ def search_cases(cards: DataFrame, query: str, columns: list[str]) -> DataFrame:
     text = search_fold(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]))
     test = F.lit(True)
     for word in words:
-        test = test & F.contains(text, search_fold(F.lit(word)))
+        test = test & F.contains(text, F.lit(search_word(word)))
     return cards.filter(test)
 
 

@@ -47,6 +47,11 @@ def export_csv(inventory: DataFrame, path: str) -> None:
     guarded.withColumnRenamed(first, "﻿" + first).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def write_results(results: DataFrame, path: str, group: str = "case_id") -> None:
-    """SNK-4: one folder of JSON per group; a large group spreads over several files."""
-    results.write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).partitionBy(group).json(path)
+def write_results(results: DataFrame, path: str, group: str = "case_id", folders: int = 256) -> None:
+    """SNK-4: JSON of each group, under one of a fixed number of folders by the group's hash; a group's rows stay together.
+
+    Reading one group prunes to its folder: ``bucket = pmod(xxhash64(group), folders)``.
+    """
+    placed = results.withColumn("bucket", F.pmod(F.xxhash64(group), F.lit(folders)).cast("int"))
+    (placed.repartition("bucket", group).sortWithinPartitions("bucket", group)
+     .write.mode("overwrite").option("maxRecordsPerFile", 1_000_000).partitionBy("bucket").json(path))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from shirube.functions.text import arabic_numerals
 from shirube.operators import lands, quotes, resolve
 from shirube.plans import contract, extract
+from shirube.sources import sinks
 from shirube.streaming import jobs
 
 
@@ -58,3 +59,11 @@ def test_shares_beyond_any_decimal(spark):
     rows = [("3", "7", None), ("200", "10000", "10000"), ("1", "50", "10000"), (big, "7" + big, "10000"), ("1", "3", "10000"), ("2", "4", big)]
     got = [r[0] for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, n string, d string, p string").orderBy("i").select(lands.printed_share(F.col("n"), F.col("d"), F.col("p"))).collect()]
     assert got == ["7分の3", "10000分の200", "10000分の200", f"7{big}分の{big}", "3分の1", "4分の2"]
+
+
+def test_results_share_folders(spark, tmp_path):
+    rows = spark.range(500).select((F.col("id") % 50).cast("string").alias("case_id"), "id")
+    sinks.write_results(rows, str(tmp_path / "out"), folders=4)
+    assert len([p for p in (tmp_path / "out").iterdir() if p.is_dir()]) == 4
+    back = spark.read.json(str(tmp_path / "out"))
+    assert back.count() == 500 and back.filter(F.col("bucket") != F.pmod(F.xxhash64("case_id"), F.lit(4))).count() == 0
