@@ -41,7 +41,8 @@ def number_checks(spark, sf_dir):
 def ledger_fold(spark, sf_dir):
     """Ownership ledgers drawn from the events: each user's sign-ups take the whole, purchases take a printed part of it.
 
-    The whole holder's remaining share is checked against plain arithmetic.
+    The whole holder's remaining share is checked against plain arithmetic. A user without a sign-up has no known giver: the
+    takers keep their printed shares, and the file is uncertain. Every file also has its row of certainty.
     """
     events = table(spark, sf_dir, "events").filter(F.col("event_type").isin("signup", "purchase"))
     whole = F.col("event_type") == "signup"
@@ -50,12 +51,12 @@ def ledger_fold(spark, sf_dir):
     people = F.when(whole, F.array(line(F.lit("所有者港区")), line(name))).otherwise(
         F.array(line(F.lit("共有者港区")), line(F.concat(F.lit("持分1000分の"), (F.floor(F.col("value")) % 9 + 1).cast("string"))), line(name)))
     base = events.filter(whole).groupBy("user_id").agg(F.max("event_id").alias("_base"))
-    entries = events.join(base, "user_id").filter(F.col("event_id") >= F.col("_base")).select(
+    entries = events.join(base, "user_id", "left").filter(F.col("_base").isNull() | (F.col("event_id") >= F.col("_base"))).select(
         F.col("user_id").cast("string").alias("file_hash"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("rank"),
-        F.when(whole, "所有権移転").otherwise(F.concat(F.lit("甲野"), F.col("_base").cast("string"), F.lit("組合持分一部移転"))).alias("purpose"),
+        F.when(whole, "所有権移転").otherwise(F.concat(F.lit("甲野"), F.coalesce("_base", F.lit(-1)).cast("string"), F.lit("組合持分一部移転"))).alias("purpose"),
         F.lit(False).alias("struck"), people.alias("lines"))
-    lots = ledger.current_lots(entries).filter("lot_no >= 0")
-    return lots.select(F.col("file_hash").cast("long").alias("user_id"), F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("event_id"), "n", "d")
+    lots = ledger.current_lots(entries)
+    return lots.select(F.col("file_hash").cast("long").alias("user_id"), F.coalesce(F.regexp_extract("name", r"(\d+)", 1).cast("long"), F.lit(-1)).alias("event_id"), "n", "d", "uncertain")
 
 
 QUERIES = {
@@ -68,6 +69,8 @@ SELECT o_orderkey, era || (year(d) - 1988) || '年' || month(d) || '月' || day(
     "number_checks": (number_checks, """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) END AS value, o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW' AS in_quote FROM orders"""),
     "ledger_fold": (ledger_fold, """WITH b AS (SELECT user_id, max(event_id) AS base FROM events WHERE event_type = 'signup' GROUP BY 1),
 p AS (SELECT e.user_id, e.event_id, CAST(floor(value) AS BIGINT) % 9 + 1 AS k FROM events e JOIN b ON e.user_id = b.user_id AND e.event_id > b.base WHERE event_type = 'purchase'),
-l AS (SELECT user_id, event_id, k FROM p UNION ALL SELECT b.user_id, base, 1000 - coalesce((SELECT sum(k) FROM p WHERE p.user_id = b.user_id), 0) FROM b)
-SELECT user_id, event_id, CAST(CAST(k AS BIGINT) // gcd(CAST(k AS BIGINT), 1000) AS VARCHAR) AS n, CAST(1000 // gcd(CAST(k AS BIGINT), 1000) AS VARCHAR) AS d FROM l WHERE k <> 0"""),
+o AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 9 + 1 AS k FROM events WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM b)),
+l AS (SELECT user_id, event_id, k, false AS uncertain FROM p UNION ALL SELECT b.user_id, base, 1000 - coalesce((SELECT sum(k) FROM p WHERE p.user_id = b.user_id), 0), false FROM b UNION ALL SELECT user_id, event_id, k, true FROM o)
+SELECT user_id, event_id, CAST(CAST(k AS BIGINT) // gcd(CAST(k AS BIGINT), 1000) AS VARCHAR) AS n, CAST(1000 // gcd(CAST(k AS BIGINT), 1000) AS VARCHAR) AS d, uncertain FROM l WHERE k <> 0
+UNION ALL SELECT DISTINCT user_id, -1, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), uncertain FROM l"""),
 }
