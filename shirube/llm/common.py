@@ -27,17 +27,33 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+_written: list[str] = []  # what this driver has stored and not deleted
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back, so that a lost executor loses nothing.
 
-    The files stay until the folder is emptied (``clear``), as a returned DataFrame may still read them.
+    The files stay until they are deleted (``drop_stored``, ``clear``), as a returned DataFrame may still read them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_so_far() -> int:
+    return len(_written)
+
+
+def drop_stored(spark: SparkSession, since: int) -> None:
+    """Delete what was stored after the first ``since`` tables, save the last one. Call it when only the last is still read."""
+    for path in _written[since:-1]:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    del _written[since:-1]
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what ``stored`` has written for this session's folder. Call it when no result is read any more."""
     jvm, folder = spark.sparkContext._jvm, shared_folder(spark)
