@@ -191,3 +191,41 @@ def test_near_copies_of_odd_rows(odd, none):
     assert ids == [1, 4, 7, 8, 10] and got.where("doc_id is null").count() == 1
     assert near_dedup.drop_near_copies(none).count() == 0
     assert len(BASE.split()) > 50
+
+
+def edited(rng, words, share, kind):
+    """A text with a passage added, cut or replaced, or with scattered words replaced."""
+    n = max(1, round(len(words) * share))
+    at = rng.choice([0, rng.randrange(len(words) - n), len(words) - n])
+    new = [f"n{rng.randrange(10**6)}" for _ in range(n)]
+    if kind == "scattered":
+        out = list(words)
+        for i in rng.sample(range(len(words)), max(1, n // 6)):
+            out[i] = new[0] + str(i)
+        return out
+    return words[:at] + ([] if kind == "cut" else new) + words[at + n * (kind != "added"):]
+
+
+@pytest.mark.parametrize("kind", ["added", "cut", "replaced", "scattered"])
+def test_candidates_of_changed_passages(kind):
+    rng, families = random.Random(kind), near_dedup._families(near_dedup.BANDS, near_dedup.ROWS)
+    found = of = 0
+    while of < 200:
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400))]
+        a, b = " ".join(words), " ".join(edited(rng, words, rng.uniform(0.02, 0.2), kind))
+        if 0.8 <= jaccard(a, b) < 0.9:
+            x, y = (near_dedup.min_prints(simhash.shingle_hashes(t, near_dedup.SHINGLE), families) for t in (a, b))
+            found, of = found + bool((x == y).any()), of + 1
+    assert found >= 0.98 * of
+
+
+def test_copies_with_a_passage_more_or_less_go(spark):
+    rng, texts = random.Random(4), {}
+    for g in range(20):
+        words = [f"g{g}w{rng.randrange(900)}" for _ in range(200)]
+        for c, kind in enumerate(["added", "cut", "replaced"]):
+            texts[g * 10 + 1 + c] = " ".join(edited(rng, words, 0.06, kind))
+        texts[g * 10] = " ".join(words)
+        assert all(jaccard(texts[g * 10], texts[g * 10 + c]) >= 0.8 for c in (1, 2, 3))
+    kept = near_dedup.drop_near_copies(spark.createDataFrame(rows(*texts.items()), SCHEMA))
+    assert sorted(r.doc_id for r in kept.collect()) == [g * 10 for g in range(20)]
