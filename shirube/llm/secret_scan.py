@@ -12,6 +12,8 @@ import binascii
 import re
 import urllib.parse
 import zlib
+from array import array
+from collections.abc import Sequence
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -28,6 +30,9 @@ WORDS = ("passw", "secret", "token", "api")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WORD = re.compile(r"\S+")
+#: So many layers deep, percent and unicode escapes are decoded in the whole text; below, in pieces of it, so that a long chain of escapes costs no square.
+WHOLE_DEPTH = 8
 #: A compressed run that unpacks to more than this many bytes is left as it is (a guard against bombs, not a cut of any text).
 MAX_UNPACKED = 1 << 26
 
@@ -83,8 +88,8 @@ def _from_base64(run: str) -> tuple[str, bool] | None:
 class _Layer:
     """A decoded text with the place in the original text of each of its characters."""
 
-    def __init__(self, text: str, starts: list[int], ends: list[int]):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, starts: Sequence[int], ends: Sequence[int], depth: int = 1):
+        self.text, self.starts, self.ends, self.depth = text, starts, ends, depth
 
 
 def _code_point(escape: str) -> int:
@@ -93,7 +98,7 @@ def _code_point(escape: str) -> int:
 
 def _unescaped(layer: _Layer, pattern: re.Pattern) -> _Layer | None:
     """All percent runs, or all unicode escapes, of a layer decoded at once; None if there are none."""
-    text, starts, ends, at = [], [], [], 0
+    text, starts, ends, at = [], array("q"), array("q"), 0
 
     def put(piece: str, begin: int, end: int) -> None:
         text.append(piece)
@@ -103,8 +108,8 @@ def _unescaped(layer: _Layer, pattern: re.Pattern) -> _Layer | None:
     changed = False
     for m in pattern.finditer(layer.text):
         text.append(layer.text[at:m.start()])
-        starts += layer.starts[at:m.start()]
-        ends += layer.ends[at:m.start()]
+        starts.extend(layer.starts[at:m.start()])
+        ends.extend(layer.ends[at:m.start()])
         at, place = m.end(), m.start()
         if pattern is PERCENT:
             for piece in urllib.parse.unquote_to_bytes(m[0]).decode("utf-8", "surrogateescape"):
@@ -123,8 +128,8 @@ def _unescaped(layer: _Layer, pattern: re.Pattern) -> _Layer | None:
     if not changed:
         return None
     text.append(layer.text[at:])
-    starts += layer.starts[at:]
-    ends += layer.ends[at:]
+    starts.extend(layer.starts[at:])
+    ends.extend(layer.ends[at:])
     out = "".join(text)
     if pattern is UNICODE and any("\ud800" <= c <= "\udfff" for c in out):
         # pairs of surrogates become one character
@@ -136,25 +141,29 @@ def _unescaped(layer: _Layer, pattern: re.Pattern) -> _Layer | None:
             e2.append(ends[i + pair])
             i += 1 + pair
         out, starts, ends = "".join(joined), s2, e2
-    return _Layer(out, starts, ends)
+    return _Layer(out, starts, ends, layer.depth + 1)
 
 
 def _pieces(text: str, pattern: re.Pattern) -> list[tuple[int, int]]:
-    """Where in a text the words stand that hold an escape, so that only they become a layer."""
-    places: list[tuple[int, int]] = []
+    """Where in a text the words stand that hold an escape, each with the two words before and after it.
+
+    An assignment has at most three words (key, sign, value), so none that holds an escape crosses the edge of a piece.
+    """
+    words = [m.span() for m in WORD.finditer(text)]
+    places: list[list[int]] = []
+    at = 0
     for m in pattern.finditer(text):
-        if places and m.start() < places[-1][1]:
-            continue
-        begin, end = m.start(), m.end()
-        while begin > (places[-1][1] if places else 0) and not text[begin - 1].isspace():
-            begin -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        if places and begin <= places[-1][1] + 1:
-            places[-1] = (places[-1][0], end)
+        while words[at][1] <= m.start():
+            at += 1
+        last = at
+        while words[last][1] < m.end():
+            last += 1
+        begin, end = words[max(0, at - 2)][0], words[min(len(words) - 1, last + 2)][1]
+        if places and begin <= places[-1][1]:
+            places[-1][1] = end
         else:
-            places.append((begin, end))
-    return places
+            places.append([begin, end])
+    return [(begin, end) for begin, end in places]
 
 
 def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
@@ -170,12 +179,13 @@ def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
             seen.add(key)
             work.append(layer)
 
-    def expand(body: str, starts, ends) -> None:
-        """Every layer below a text; starts and ends give the original place of its characters."""
+    def expand(layer: _Layer) -> None:
+        """Every layer below a text."""
+        body, starts, ends = layer.text, layer.starts, layer.ends
         for pattern, sign in ((PERCENT, "%"), (UNICODE, "\\"), (UNICODE, "&#")):
             if sign in body:
-                for begin, end in _pieces(body, pattern):
-                    part = _Layer(body[begin:end], list(starts[begin:end]), list(ends[begin:end]))
+                for begin, end in _pieces(body, pattern) if layer.depth >= WHOLE_DEPTH else [(0, len(body))]:
+                    part = _Layer(body[begin:end], starts[begin:end], ends[begin:end], layer.depth)
                     if (inner := _unescaped(part, pattern)) is not None and inner.text:
                         enter(inner)
         for m in BASE64.finditer(body):
@@ -183,7 +193,7 @@ def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
                 continue
             inner, packed = decoded
             if packed:  # a character of compressed text has no place of its own
-                enter(_Layer(inner, [starts[m.start()]] * len(inner), [ends[m.end() - 1]] * len(inner)))
+                enter(_Layer(inner, [starts[m.start()]] * len(inner), [ends[m.end() - 1]] * len(inner), layer.depth + 1))
                 continue
             s2, e2, at, size = [], [], 0, len(m[0].rstrip("="))
             for c in inner:
@@ -191,13 +201,13 @@ def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
                 s2.append(starts[m.start() + at * 4 // 3])
                 e2.append(ends[m.start() + min(size, -(-(at + width) * 4 // 3)) - 1])
                 at += width
-            enter(_Layer(inner, s2, e2))
+            enter(_Layer(inner, s2, e2, layer.depth + 1))
 
-    expand(text, range(len(text)), range(1, len(text) + 1))
+    expand(_Layer(text, range(len(text)), range(1, len(text) + 1), 0))
     while work:
         layer = work.pop()
         more += [(kind, layer.starts[s], layer.ends[e - 1]) for kind, s, e in base_spans(layer.text)]
-        expand(layer.text, layer.starts, layer.ends)
+        expand(layer)
     return own, more
 
 

@@ -75,6 +75,23 @@ def test_layers_are_unwrapped_and_mapped():
     assert start > 2 + 10  # the place inside the run, not the run
 
 
+def test_keys_and_values_in_different_words():
+    for depth in (1, 12):
+        for text in ('"password": "p\\u0061ssw0rd1"', "password = %68unter2222", "password%3A hunter2222", "api_key\\u0022: abcdef99", "token\\x20 =  ab%63def99", "secret&#58; abc%64ef99", "token &#61; 'abcdef99"):
+            for _ in range(depth - 1):
+                text = text.replace("%", "%25")
+            before = "plain words %41 before: "
+            spans = secret_scan.find_secrets(before + text + " and after")[1]
+            longest = max((e - s for k, s, e in spans if k == "assign"), default=0)
+            assert longest and all(len(before) <= s < e <= len(before + text) for _, s, e in spans), text
+            assert longest >= len(text) - 3, (text, spans)
+
+
+def test_long_chains_of_escapes_end_soon():
+    text = "word " * 20_000 + "%" + "25" * 1500 + "41 " + "word " * 20_000
+    assert all(k == "hex" for k, *_ in secret_scan.find_secrets(text)[1])
+
+
 def test_bare_letters_and_cycles_end():
     assert secret_scan.find_secrets("%25" * 400)[1] == []
     assert secret_scan.find_secrets("thonhastblenderouthonhast " * 50) == ([], [])
