@@ -2,18 +2,21 @@
 
 Each text is a first layer. A layer is scanned, then every encoded run in it (percent escapes, unicode escapes, base64,
 base64 of gzip, zlib or zstandard) is decoded into a further layer, until no run is left. A layer keeps, for each of its
-characters, the start and end in the original text that it came from, so whatever is found at any depth maps back. A layer
+characters, the start and end in the original text that it came from, so whatever is found at any depth maps back. Base64 is
+decoded at all four alignments, over line breaks, and as UTF-8 or UTF-16; bytes that are no text stay in the layer. A layer
 that was seen before over the same place is not entered again, which ends cycles.
 """
 from __future__ import annotations
 
 import base64
-import binascii
+import contextlib
+import hashlib
 import re
 import urllib.parse
 import zlib
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -29,12 +32,20 @@ WORDS = ("passw", "secret", "token", "api")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LETTER = "[A-Za-z0-9+/_-]"
+#: A run of base64 letters, also over line breaks (real ones or written as \n).
+BASE64 = re.compile(rf"(?<!{_LETTER})({_LETTER}{{16,}}+(?:[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*{_LETTER}++)*+)={{0,2}}")
+BREAK = re.compile(rf"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+#: How gzip, zlib and zstandard begin in base64.
+PACKED = re.compile(r"H4sI|KLUv|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
+#: A layer that has none of these holds no secret and no further layer.
+SIGNS = re.compile(rf"password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{{24}}|%[0-9a-f]{{2}}|\\[ux]|&\#[0-9x]|{_LETTER}{{16}}", re.IGNORECASE | re.ASCII)
 WORD = re.compile(r"\S+")
 #: So many layers deep, percent and unicode escapes are decoded in the whole text; below, in pieces of it, so that a long chain of escapes costs no square.
 WHOLE_DEPTH = 8
-#: A compressed run that unpacks to more than this many bytes is left as it is (a guard against bombs, not a cut of any text).
-MAX_UNPACKED = 1 << 26
+#: What unpacks to more bytes than this is scanned in pieces that overlap.
+PIECE = 1 << 26
+OVERLAP = 1 << 20
 
 
 def base_spans(text: str) -> list[Span]:
@@ -47,42 +58,71 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def _unpack(data: bytes) -> bytes | None:
-    """The content of a compressed blob, or None if it is none."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-            unpacker = zlib.decompressobj(47)
-            out = unpacker.decompress(data, MAX_UNPACKED)
-            return out if unpacker.eof else None
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().decompress(data, max_output_size=MAX_UNPACKED)
-    except (zlib.error, zstandard.ZstdError):
-        pass
-    return None
-
-
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """The content of a compressed blob that data begin with, in pieces; nothing if there is none. A damaged blob gives what comes before the damage."""
+    kept = bytearray()
+    while data:
+        zstd = data[:4] == b"\x28\xb5\x2f\xfd"
+        if not zstd and data[:2] != b"\x1f\x8b" and data[:1] != b"\x78":
+            break
+        unpacker = zstandard.ZstdDecompressor().decompressobj() if zstd else zlib.decompressobj(47)
+        at, rest, before = 0, b"", len(kept)
+        try:
+            while not unpacker.eof and (rest or at < len(data)):
+                if zstd:
+                    part, at = unpacker.decompress(data[at:at + 512]), at + 512
+                else:
+                    if not rest:
+                        rest, at = data[at:at + (1 << 16)], at + (1 << 16)
+                    part = unpacker.decompress(rest, 1 << 22)
+                    rest = unpacker.unconsumed_tail
+                kept += part
+                if len(kept) >= PIECE:
+                    yield bytes(kept)
+                    del kept[:-OVERLAP]
+        except (zlib.error, zstandard.ZstdError):
+            break
+        data = unpacker.unused_data + data[at:] if unpacker.eof else b""  # further members
+    if kept:
+        yield bytes(kept)
 
 
-def _from_base64(run: str) -> tuple[str, bool] | None:
-    """The text in a base64 run and whether it was compressed, or None if the run holds no text."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except binascii.Error:
-        return None
-    packed = False
-    while (inner := _unpack(data)) is not None:
-        data, packed = inner, True
-    text = _readable(data)
-    return None if text is None else (text, packed)
+def _texts(data: bytes) -> Iterator[tuple[str, str]]:
+    """data as texts, with their encodings: bytes that are not UTF-8 stay as single characters."""
+    yield data.decode("utf-8", "surrogateescape"), "utf-8"
+    if b"\0" in data:
+        even = data[:len(data) & ~1]
+        for name in ("utf-16-le", "utf-16-be"):
+            with contextlib.suppress(UnicodeDecodeError):
+                yield even.decode(name, "surrogatepass"), name
+
+
+def _widths(text: str, encoding: str) -> Iterator[int]:
+    """The bytes of each character."""
+    if encoding == "utf-8":
+        return (1 if c < "\x80" or "\udc80" <= c <= "\udcff" else 2 if c < "\u0800" else 3 if c <= "\uffff" else 4 for c in text)
+    return (2 if c <= "\uffff" else 4 for c in text)
+
+
+def _from_base64(letters: str) -> bytes:
+    letters = letters[:len(letters) - (len(letters) % 4 == 1)]
+    return base64.b64decode(letters + "=" * (-len(letters) % 4))
+
+
+class _Same(Sequence):
+    """One number, size times."""
+
+    def __init__(self, value: int, size: int):
+        self.value, self.size = value, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at):
+        return _Same(self.value, len(range(self.size)[at])) if isinstance(at, slice) else self.value
+
+    def __iter__(self) -> Iterator[int]:
+        return repeat(self.value, self.size)
 
 
 class _Layer:
@@ -99,17 +139,21 @@ def _code_point(escape: str) -> int:
 def _unescaped(layer: _Layer, pattern: re.Pattern) -> _Layer | None:
     """All percent runs, or all unicode escapes, of a layer decoded at once; None if there are none."""
     text, starts, ends, at = [], array("q"), array("q"), 0
+    same = isinstance(layer.starts, _Same)  # then only the text is built
 
     def put(piece: str, begin: int, end: int) -> None:
         text.append(piece)
+        if same:
+            return
         starts.extend([layer.starts[begin]] * len(piece))
         ends.extend([layer.ends[end - 1]] * len(piece))
 
     changed = False
     for m in pattern.finditer(layer.text):
         text.append(layer.text[at:m.start()])
-        starts.extend(layer.starts[at:m.start()])
-        ends.extend(layer.ends[at:m.start()])
+        if not same:
+            starts.extend(layer.starts[at:m.start()])
+            ends.extend(layer.ends[at:m.start()])
         at, place = m.end(), m.start()
         if pattern is PERCENT:
             for piece in urllib.parse.unquote_to_bytes(m[0]).decode("utf-8", "surrogateescape"):
@@ -128,8 +172,9 @@ def _unescaped(layer: _Layer, pattern: re.Pattern) -> _Layer | None:
     if not changed:
         return None
     text.append(layer.text[at:])
-    starts.extend(layer.starts[at:])
-    ends.extend(layer.ends[at:])
+    if not same:
+        starts.extend(layer.starts[at:])
+        ends.extend(layer.ends[at:])
     out = "".join(text)
     if pattern is UNICODE and any("\ud800" <= c <= "\udfff" for c in out):
         # pairs of surrogates become one character
@@ -137,10 +182,13 @@ def _unescaped(layer: _Layer, pattern: re.Pattern) -> _Layer | None:
         while i < len(out):
             pair = "\ud800" <= out[i] <= "\udbff" and i + 1 < len(out) and "\udc00" <= out[i + 1] <= "\udfff"
             joined.append((out[i] + out[i + 1]).encode("utf-16", "surrogatepass").decode("utf-16") if pair else out[i])
-            s2.append(starts[i])
-            e2.append(ends[i + pair])
+            if not same:
+                s2.append(starts[i])
+                e2.append(ends[i + pair])
             i += 1 + pair
         out, starts, ends = "".join(joined), s2, e2
+    if same:
+        starts, ends = _Same(layer.starts.value, len(out)), _Same(layer.ends.value, len(out))
     return _Layer(out, starts, ends, layer.depth + 1)
 
 
@@ -171,6 +219,7 @@ def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
     own = base_spans(text)
     more: list[Span] = []
     seen: set[tuple[int, int, str]] = set()
+    unpacked: set[tuple[int, int, bytes]] = set()
     work: list[_Layer] = []
 
     def enter(layer: _Layer) -> None:
@@ -189,19 +238,39 @@ def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
                     if (inner := _unescaped(part, pattern)) is not None and inner.text:
                         enter(inner)
         for m in BASE64.finditer(body):
-            if (decoded := _from_base64(m[0])) is None:
-                continue
-            inner, packed = decoded
-            if packed:  # a character of compressed text has no place of its own
-                enter(_Layer(inner, [starts[m.start()]] * len(inner), [ends[m.end() - 1]] * len(inner), layer.depth + 1))
-                continue
-            s2, e2, at, size = [], [], 0, len(m[0].rstrip("="))
-            for c in inner:
-                width = len(c.encode())
-                s2.append(starts[m.start() + at * 4 // 3])
-                e2.append(ends[m.start() + min(size, -(-(at + width) * 4 // 3)) - 1])
-                at += width
-            enter(_Layer(inner, s2, e2, layer.depth + 1))
+            letters, places = m[1], range(m.start(), m.end(1))
+            if (breaks := [x.span() for x in BREAK.finditer(letters)]):
+                edges = [0, *(at for span in breaks for at in span), len(letters)]
+                parts = list(zip(edges[::2], edges[1::2]))
+                places = array("q", (m.start() + i for begin, end in parts for i in range(begin, end)))
+                letters = "".join(letters[begin:end] for begin, end in parts)
+            letters = letters.replace("-", "+").replace("_", "/")
+            for shift in range(4):  # whatever letters stand before what was encoded
+                for inner, encoding in _texts(_from_base64(letters[shift:])):
+                    if not SIGNS.search(inner):
+                        continue
+                    s2, e2, at = array("q"), array("q"), 0
+                    for width in _widths(inner, encoding):
+                        s2.append(starts[places[shift + at * 4 // 3]])
+                        e2.append(ends[places[shift - (-(at + width) * 4 // 3) - 1]])
+                        at += width
+                    enter(_Layer(inner, s2, e2, layer.depth + 1))
+            for head in PACKED.finditer(letters):
+                unpack(_from_base64(letters[head.start():]), starts[places[head.start()]], ends[m.end() - 1], layer.depth + 1)
+
+    def unpack(data: bytes, start: int, end: int, depth: int) -> None:
+        """Every layer in a compressed blob: a character of it has no place of its own."""
+        blobs = [data]
+        while blobs:
+            for piece in _unpacked(blobs.pop()):
+                key = (start, end, hashlib.sha256(piece).digest())
+                if key in unpacked:
+                    continue
+                unpacked.add(key)
+                blobs.append(piece)
+                for inner, _ in _texts(piece):
+                    if SIGNS.search(inner):
+                        enter(_Layer(inner, _Same(start, len(inner)), _Same(end, len(inner)), depth))
 
     expand(_Layer(text, range(len(text)), range(1, len(text) + 1), 0))
     while work:

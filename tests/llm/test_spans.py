@@ -3,10 +3,12 @@ from __future__ import annotations
 
 import base64
 import gzip
+import hashlib
 import re
 import urllib.parse
 import zlib
 
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -92,6 +94,34 @@ def test_long_chains_of_escapes_end_soon():
     assert all(k == "hex" for k, *_ in secret_scan.find_secrets(text)[1])
 
 
+def test_layers_that_are_not_plain_text():
+    secret = "password=hunter2222"
+    noise = " ".join(hashlib.sha256(str(i).encode()).hexdigest()[:20] for i in range(400))
+    encode = lambda data: base64.b64encode(data).decode()
+    wrapped = base64.encodebytes(gzip.compress(f"{noise} {secret}".encode())).decode()
+    texts = [encode(f"{secret}{c} page".encode()) for c in "\xa0\u2028\u200d\xad\ufeff\f\x1b\0"] + [
+        encode(gzip.compress(f"{secret}\xa0{noise}".encode())),
+        encode(secret.encode("utf-16-le")), encode(("\ufeff" + secret).encode("utf-16-be")), encode(f"é {secret}".encode("latin-1")),
+        *(f"{before}{encode(secret.encode())}" for before in ("/v1/config/", "id-", "a-id-", "ab_id-")),
+        *(f"{before}{encode(pack(secret.encode()))}" for before in ("/v1/config/", "id-") for pack in (gzip.compress, zlib.compress, zstandard.compress)),
+        wrapped, wrapped.replace("\n", "\r\n  "), wrapped.replace("\n", "\\n"), base64.encodebytes(f"{'x' * 50} {secret}".encode()).decode(),
+        encode(gzip.compress(b"one ") + gzip.compress(secret.encode())), encode(gzip.compress(f"{secret} {noise}".encode())[:-9]),
+    ]
+    for text in texts:
+        before = "é see: "
+        spans = [s for s in secret_scan.find_secrets(before + text)[1] if s[0] == "assign"]
+        assert spans and all(len(before) <= s < e <= len(before + text) for _, s, e in spans), text
+
+
+def test_large_blobs_are_scanned_in_pieces(monkeypatch):
+    monkeypatch.setattr(secret_scan, "PIECE", 1 << 16)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 10)
+    for place in (0, 65_530, 200_000):
+        content = b" " * place + b" password=hunter2222 " + b" " * (1 << 18)
+        for packed in (gzip.compress(content), zlib.compress(content), zstandard.compress(content)):
+            assert [k for k, *_ in secret_scan.find_secrets(base64.b64encode(packed).decode())[1]].count("assign"), place
+
+
 def test_bare_letters_and_cycles_end():
     assert secret_scan.find_secrets("%25" * 400)[1] == []
     assert secret_scan.find_secrets("thonhastblenderouthonhast " * 50) == ([], [])
