@@ -8,6 +8,8 @@ IBAN, the areas of a social security number, the login in an URL. Nothing is sea
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import product
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -24,11 +26,29 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _DIALLED = re.compile(r"[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"[ :.#-]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-_SSN = re.compile(r"[ :.#-]{0,3}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9])")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ \u00a0\u202f-]?[A-Z0-9]){11,30}")
+_SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9])")
+_SECURITY = re.compile(r"[ _-]*security(?:[ _-]*(?:number|num|nr|no))?", re.IGNORECASE)
+_SIGNS = re.compile(r"[ :.#-]{0,3}")
+_WORD = re.compile(r"[^\W_]+")
 _LOGIN = re.compile(r"[^\s/@:?#]+:[^\s/@?#]+(?=@[A-Za-z0-9])")
 
-_ANCHORS = {"@": "at", "+": "plus", "://": "scheme", "IBAN": "iban", "iban": "iban", "SSN": "ssn", "ssn": "ssn", "social security number": "ssn"} | {d: "digit" for d in "0123456789"}
+#: A number belongs to a cue that stands so many characters and words before it at most.
+NEAR_CHARS, NEAR_WORDS = 80, 6
+#: Letters and digits of an IBAN by country; of other countries the check digits alone tell where it ends.
+_IBAN_SIZES = {country: size for size, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for country in countries.split()}
+
+
+def _spellings(word: str) -> list[str]:
+    """A word in capitals, small letters and every mixture."""
+    return ["".join(letters) for letters in product(*({c.lower(), c.upper()} for c in word))]
+
+
+_ANCHORS = {"@": "at", "+": "plus", "://": "scheme"} | {w: kind for cue, kind in (("iban", "iban"), ("ssn", "ssn"), ("social", "social")) for w in _spellings(cue)} | {d: "digit" for d in "0123456789"}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -48,14 +68,47 @@ def _luhn(digits: str) -> bool:
 
 
 def _iban_holds(code: str) -> bool:
-    code = code.replace(" ", "")
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _iban_at(text: str, at: int) -> int | None:
+    """The end of the IBAN that begins here: as long as its country has it, else up to the last group boundary where the check digits hold."""
+    if not (found := _IBAN.match(text, at)):
+        return None
+    ends = [i + 1 for i in range(at, found.end()) if text[i] in _ALNUM]
+    size = _IBAN_SIZES.get(text[at:at + 2])
+    for n in [size] if size else range(len(ends), 14, -1):
+        if n <= len(ends) and text[ends[n - 1]:ends[n - 1] + 1] not in _ALNUM and _iban_holds("".join(text[e - 1] for e in ends[:n])):
+            return ends[n - 1]
+    return None
+
+
+def _ssn_at(text: str, at: int) -> int | None:
+    found = None if text[at - 1] == "-" and text[at - 2] in "0123456789" else _SSN.match(text, at)
+    return found and found.end()
+
+
+def _numbers_after(text: str, begin: int, cue_end: int, end_at) -> Iterator[tuple[int, int]]:
+    """Start and end of the numbers that a cue announces: right after it, or after a few words if the cue is a word of its own; then of those that follow."""
+    direct = _SIGNS.match(text, cue_end).end()
+    plural = cue_end + (text[cue_end:cue_end + 1] in ("s", "S"))
+    alone = not (begin and text[begin - 1].isalpha()) and not text[plural:plural + 1].isalpha()
+    at, until, words = cue_end, cue_end + NEAR_CHARS if alone else direct, 0
+    while at <= min(until, len(text) - 1) and words <= NEAR_WORDS:
+        if (at == cue_end or text[at - 1] not in _ALNUM) and (end := end_at(text, at)):
+            yield at, end
+            at, until, words = end, end + NEAR_CHARS, 0
+        elif at in (cue_end, plural) or not (word := _WORD.match(text, at)):
+            at += 1
+        else:
+            at, words = word.end(), words + 1
+
+
 def find_personal(text: str) -> tuple[list[Span], list[Span]]:
     """The base spans of a text (email, ip, card, phone) and the further ones (iban, ssn, login)."""
     own: list[Span] = []
     more: list[Span] = []
+    taken = {"iban": 0, "ssn": 0}
     email_from = phone_from = ip_from = card_from = 0  # where the next match of a kind may begin
     for last, (kind, width) in _AUTOMATON.iter(text):
         at = last - width + 1
@@ -90,12 +143,16 @@ def find_personal(text: str) -> tuple[list[Span], list[Span]]:
                 phone_from = dialled.end()
                 if 9 <= sum(c in "0123456789" for c in dialled[0]) <= 15:
                     own.append(("phone", at, phone_from))
-        elif kind == "iban":
-            if (found := _IBAN.match(text, last + 1)) and _iban_holds(found[1]):
-                more.append(("iban", found.start(1), found.end(1)))
-        elif kind == "ssn":
-            if found := _SSN.match(text, last + 1):
-                more.append(("ssn", found.start(1), found.end(1)))
+        elif kind in ("iban", "ssn", "social"):
+            cue = _SECURITY.match(text, last + 1) if kind == "social" else None
+            if kind == "social" and not cue:
+                continue
+            name, end_at = ("iban", _iban_at) if kind == "iban" else ("ssn", _ssn_at)
+            for begin, end in _numbers_after(text, at, cue.end() if cue else last + 1, end_at):
+                if begin < taken[name]:  # another cue had it
+                    continue
+                more.append((name, begin, end))
+                taken[name] = end
         elif found := _LOGIN.match(text, last + 1):
             more.append(("login", found.start(), found.end()))
     return own, more

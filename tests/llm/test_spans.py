@@ -134,6 +134,20 @@ def test_further_personal_kinds():
     assert [k for k, *_ in pii.find_personal(text)[1]] == ["iban", "ssn", "login"]
 
 
+def test_cues_and_what_follows_a_number():
+    iban, compact, german, ssn = "GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "123-45-6789"
+    for text, want in {
+        f"IBAN: {iban} BIC NWBKGB2L": [iban], f"IBAN {compact} EUR 100": [compact], f"Iban: {iban}": [iban], f"IBAN number: {compact}.": [compact],
+        f"your iban is as follows: {german} 2024 BIC": [german], f"IBANs: {compact}, {german} AND MORE": [compact, german], f"IBAN{compact}": [compact],
+        f"IBAN (account of the firm)\n{german} COBADEFF": [german], "IBAN NO93 8601 1117 947 NOK 5": ["NO93 8601 1117 947"], f"IBAN {compact}X": [], f"{compact} BIC": [],
+        f"SSN is {ssn}": [ssn], f"Ssn: {ssn}": [ssn], f"SSN (as printed): {ssn}, {ssn}1": [ssn], f"Social Security Number {ssn}": [ssn], f"SOCIAL SECURITY NO. {ssn}": [ssn],
+        f"social security number of the holder: {ssn}": [ssn], f"classname {ssn}": [], f"mySSN:{ssn}": [ssn], f"SSN 1-{ssn}": [], "SSN is 000-45-6789": [],
+        f"iban {'word ' * 30}{compact}": [], f"IBAN and again iban {compact}": [compact],
+    }.items():
+        found = [text[s:e] for k, s, e in pii.find_personal(text)[1] if k in ("iban", "ssn")]
+        assert found == want, text
+
+
 def test_order_and_digest():
     spans = [("card", 5, 9), ("ip", 5, 9), ("email", 0, 3)]
     assert printed(spans, pii.BASE) == "email:0:3,ip:5:9,card:5:9"
