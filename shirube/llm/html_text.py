@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 # Fixed sets of element names (HTML standard).
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style title noscript template svg iframe object canvas audio video select option button textarea datalist math".split())
+SILENT = frozenset("script style title noscript template svg iframe object canvas audio video select option button textarea datalist annotation annotation-xml".split())
 RAW = frozenset("script style title textarea iframe noscript".split())  # closed by their own end tag only
 MAIN = frozenset(("article", "main"))
 ASIDE = frozenset("nav header footer aside form dialog menu".split())
@@ -32,6 +32,8 @@ NAMES = frozenset(
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)""", re.DOTALL)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z0-9]+")
+#: Before a name in a class token these say that the element has such a part, or lacks it, not that it is one.
+_OTHER = re.compile(r"(?:^|[-_])(?:has|have|with|no|not|without|hide)[-_]")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_behind", "links_behind", "in_main", "aside")
 #: The labelled table the tree is trained on: the features of a block, and whether it is main text.
@@ -99,23 +101,33 @@ def default_tree() -> Tree:
     return train(table[:, :-1], table[:, -1])
 
 
-def _aside(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element names itself as something other than the article."""
+def _aside(tag: str, attributes: str, in_main: bool) -> int:
+    """Whether an element is something other than the article: 2 by its tag or because it is hidden, 1 by a name, else 0."""
     if tag in ASIDE and not (tag == "header" and in_main):
-        return True
+        return 2
+    named = 0
     for m in _NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role") and not NAMES.isdisjoint(_WORD.findall(value)) and tag not in ("html", "body", "article", "main"):
-            return True
-    return False
+            return 2
+        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and any(not NAMES.isdisjoint(_WORD.findall(token)) and not _OTHER.search(token) for token in value.split()):
+            named = 1
+    return named
 
 
 def blocks(page: str) -> list[tuple[str, tuple[float, ...]]]:
-    """The text blocks of a page in order, each with its features."""
-    stack: list[tuple[str, bool, bool]] = []  # name, aside, silent
+    """The text blocks of a page in order, each with its features.
+
+    A name does not count for an element that holds an article or main element, or, where the page has no such element, most of
+    its words outside links: that is a wrapper of the page.
+    """
+    stack: list[tuple[str, int, bool]] = []  # name, 2: aside by its tag or 1: by a name, silent
     found: list[tuple[str, int, int, int, int]] = []
+    named: list[int] = []  # the open elements that are aside by a name
+    under: list[tuple[int, ...]] = []  # those around each block
+    wrappers: set[int] = set()
+    number = 0
+    has_main = False
     pieces: list[str] = []
     linked = asides = mains = silent = anchors = 0
 
@@ -126,6 +138,7 @@ def blocks(page: str) -> list[tuple[str, tuple[float, ...]]]:
         if text:
             words = text.count(" ") + 1
             found.append((text, words, min(linked, words), int(mains > 0), asides))
+            under.append(tuple(named))
         linked = 0
 
     def leave(depth: int) -> None:
@@ -134,7 +147,9 @@ def blocks(page: str) -> list[tuple[str, tuple[float, ...]]]:
             name, aside, quiet = stack.pop()
             if name in BLOCK or aside:
                 flush()
-            asides -= aside
+            asides -= aside == 2
+            if aside == 1:
+                named.pop()
             mains -= name in MAIN
             silent -= quiet
             anchors -= name == "a"
@@ -190,7 +205,13 @@ def blocks(page: str) -> list[tuple[str, tuple[float, ...]]]:
         if aside and tag not in BLOCK:
             flush()
         stack.append((tag, aside, quiet))
-        asides += aside
+        asides += aside == 2
+        if tag in MAIN and not silent:
+            has_main = True
+            wrappers.update(named)
+        if aside == 1:
+            named.append(number)
+            number += 1
         mains += tag in MAIN
         silent += quiet
         anchors += tag == "a"
@@ -199,8 +220,16 @@ def blocks(page: str) -> list[tuple[str, tuple[float, ...]]]:
             at = end.start() if end else size
     leave(0)
     flush()
+    if not has_main:
+        own = [words - links for _, words, links, _, _ in found]
+        held: dict[int, int] = {}
+        for n, around in zip(own, under):
+            for k in around:
+                held[k] = held.get(k, 0) + n
+        wrappers.update(k for k, n in held.items() if 2 * n > sum(own))
     out = []
     for i, (text, words, links, main, aside) in enumerate(found):
+        aside += sum(k not in wrappers for k in under[i])
         before = found[i - 1] if i else (None, 0, 0)
         behind = found[i + 1] if i + 1 < len(found) else (None, 0, 0)
         density = [links / words, *(b[2] / b[1] if b[1] else 0.0 for b in (before, behind))]

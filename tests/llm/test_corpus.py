@@ -188,3 +188,12 @@ def test_pipeline_of_odd_rows(spark, odd, none):
             docs = stage(spark, docs, "/root/testdata/sf0.001")
             assert name == "packing" or docs.columns == table.columns
         assert (docs.count() > 0) == (table is odd)
+
+
+def test_wrappers_of_a_page_are_not_asides():
+    tree, text = html_text.default_tree(), " ".join(f"word{i}" for i in range(60))
+    for name in ("content has-sidebar", "with-sidebar", "content-sidebar-wrap", "no-ads", "widget", "page banner"):
+        for tag in ("article", "div"):
+            page = f'<body><div class="{name}"><{tag}><p>{text}</p><p>{text}</p></{tag}><div class="sidebar"><p>Recent things to read</p></div></div></body>'
+            assert html_text.main_text(page, tree) == f"{text} {text}", name
+    assert html_text.main_text(f"<article><p>{text} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>", tree) == f"{text} x=1"
