@@ -66,3 +66,30 @@ def clear(spark: SparkSession) -> None:
 def fold_case(text: Column) -> Column:
     """A-Z to a-z and nothing else; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+
+
+#: A key counts as frequent if it has more than one in this many of all rows, so there are fewer such keys than this.
+FREQUENT = 4096
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], count_col: str, salts: int = 32) -> DataFrame:
+    """Inner equi-join of ``rows`` with ``lookup``, which has one row per key and the number of ``rows`` with that key in ``count_col``.
+
+    The rows of a frequent key are dealt over ``salts`` tasks and its lookup row is repeated for each. Frequent keys are broadcast
+    by a hash: there are fewer than ``FREQUENT`` of them at any size. Returns the columns of ``rows`` and the further ones of ``lookup``.
+    """
+    counts = lookup.select(F.xxhash64(*keys).alias("_hot"), F.col(count_col).alias("_n"))
+    hot = counts.crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all")))).where(F.col("_n") * FREQUENT > F.col("_all"))  # one row against each
+    hot = F.broadcast(hot.select("_hot").distinct())
+
+    def flagged(df: DataFrame, prefix: str, salt: Column) -> DataFrame:
+        named = df.select(*[F.col(c).alias(prefix + c) for c in df.columns], F.xxhash64(*keys).alias(f"{prefix}hash"))
+        return named.join(hot, F.col(f"{prefix}hash") == F.col("_hot"), "left").withColumn(f"{prefix}salt", salt).drop("_hot", f"{prefix}hash")
+
+    frequent = F.col("_hot").isNotNull()
+    dealt = flagged(rows, "_r_", F.when(frequent, F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0).cast("int"))
+    copies = flagged(lookup, "_l_", F.explode(F.when(frequent, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    on = F.col("_r_salt") == F.col("_l_salt")
+    for k in keys:
+        on = on & (F.col(f"_r_{k}") == F.col(f"_l_{k}"))
+    return dealt.join(copies, on).select(*[F.col(f"_r_{c}").alias(c) for c in rows.columns], *[F.col(f"_l_{c}").alias(c) for c in lookup.columns if c not in keys])

@@ -5,8 +5,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, packing, pii, resampling, secret_scan, simhash, token_files
+from . import decontaminate, exact_dedup, fingerprints, html_text, line_dedup, packing, pii, prefix_trie, resampling, secret_scan, simhash, token_files, whitening
 from .common import shared_folder, table
 
 
@@ -88,6 +89,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_by_next(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -108,4 +121,7 @@ QUERIES = {
     "op8_token_files": (op8_token_files, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_html_text": (op10_html_text, None),
+    "op11_conversation_trie": (op11_conversation_trie, None),
+    "op12_whitening": (op12_whitening, None),
+    "op13_fingerprints": (op13_fingerprints, None),
 }
