@@ -163,13 +163,18 @@ def likeness(left: np.ndarray, right: np.ndarray, differing: np.ndarray) -> np.n
     return np.where(both == 0, 1.0, (both - differing) / np.maximum(both + differing, 1))
 
 
-def packed(table: np.ndarray, n: int, cells: int = CELLS) -> list[str]:
-    """Tables as text: base64 of the little-endian counts (32 bits), sums (64) and check values (32)."""
+def packed(table: np.ndarray, n: int, cells: int = CELLS) -> list[bytes]:
+    """Tables as bytes: the little-endian counts (32 bits), sums (64) and check values (32). Fingerprints are these in base64."""
     count, sums, checks = (t.reshape(n, cells) for t in table)
     parts = [count.astype("<u4").view(np.uint8), sums.astype("<u8").view(np.uint8), checks.astype("<u4").view(np.uint8)]
-    return [base64.b64encode(row.tobytes()).decode() for row in np.concatenate([p.reshape(n, p.size // max(n, 1)) for p in parts], axis=1)]
+    return [row.tobytes() for row in np.concatenate([p.reshape(n, p.size // max(n, 1)) for p in parts], axis=1)]
 
 
+def _as_text(df: DataFrame) -> DataFrame:
+    return df.withColumns({f.name: F.base64(f.name) for f in df.schema if f.dataType.simpleString() == "binary"})
+
+
+@np.errstate(over="ignore")
 def difference_of(left: str, right: str, cells: int = CELLS) -> tuple[set[int], set[int]] | None:
     """The digests that only the left and only the right text has, from two fingerprints alone; None where they hold too many."""
     tables = []
@@ -180,17 +185,17 @@ def difference_of(left: str, right: str, cells: int = CELLS) -> tuple[set[int],
     count, sums, checks = lc - rc, ls - rs, lh - rh
     found: dict[int, set[int]] = {1: set(), -1: set()}
     low = np.uint64(0xFFFFFFFF)
-    while True:
+    while True:  # one digest a round
         for at in np.flatnonzero(np.abs(count) == 1):
             side = int(count[at])
-            key = np.array([sums[at] if side > 0 else np.uint64(0) - sums[at]], np.uint64)
+            key = np.array([sums[at] if side > 0 else -sums[at]], np.uint64)
             check = (_check(key)[0] & low).astype(np.uint32)
-            if check == (checks[at] if side > 0 else np.uint32(0) - checks[at]) and int(key[0]) not in found[side]:
+            if check == (checks[at] if side > 0 else -checks[at]) and int(key[0]) not in found[side]:
                 found[side].add(int(key[0]))
                 for place in _places(key, np.zeros(1, np.int64), cells):
                     count[place] -= side
                     sums[place] -= key * np.uint64(side & 0xFFFFFFFFFFFFFFFF)
-                    checks[place] -= check if side > 0 else np.uint32(0) - check
+                    checks[place] -= check if side > 0 else -check
                 break
         else:
             return (found[1], found[-1]) if not count.any() and not sums.any() else None
@@ -218,7 +223,7 @@ def compare_versions(versions: DataFrame, id_col: str = "doc_id", left_col: str
     whatever their names; an empty table gives no rows. Memory grows with the longest text, not with the table.
     """
     rows = versions.select(versions[id_col].alias("id"), versions[left_col].alias("l"), versions[right_col].alias("r"))
-    schema = "id %s, fingerprint string, other_fingerprint string, only_left array<long>, only_right array<long>, likeness double, cells long" % rows.schema["id"].dataType.simpleString()
+    schema = "id %s, fingerprint binary, other_fingerprint binary, only_left array<long>, only_right array<long>, likeness double, cells long" % rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,12 +242,12 @@ def compare_versions(versions: DataFrame, id_col: str = "doc_id", left_col: str
                 near = likeness(np.bincount(left[1], minlength=n), np.bincount(right[1], minlength=n), np.bincount(pair, minlength=n))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, n), pa.array(packed(sketches(*left, n, cells), n, cells)), pa.array(packed(sketches(*right, n, cells), n, cells)), *sides, pa.array(near), pa.array(needed)], names=["id", "fingerprint", "other_fingerprint", "only_left", "only_right", "likeness", "cells"])
 
-    return rows.mapInArrow(run, schema)
+    return _as_text(rows.mapInArrow(run, schema))
 
 
-NEXT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+NEXT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 _END_SCHEMA = pa.schema([("part", pa.int64()), ("end", pa.int64()), ("id", pa.int64()), ("t", pa.string())])
-_DDL = {"int64": "long", "string": "string", "double": "double"}
+_DDL = {"int64": "long", "string": "string", "double": "double", "binary": "binary"}
 
 
 def _ddl(schema: pa.Schema, prefix: str = "") -> str:
@@ -324,4 +329,4 @@ def edited_by_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts are empty. Null ids come last; rows with equal ids follow each other by a hash of their texts; repeated rows give rows of
     their own. Other columns are ignored, whatever their names. An empty table gives no rows.
     """
-    return with_next(docs, _measure, NEXT_SCHEMA, id_col, text_col)
+    return _as_text(with_next(docs, _measure, NEXT_SCHEMA, id_col, text_col))  # bytes until the end, as the walk writes them
