@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
 from ..catalog import WORKSPACE_TYPES
+from ..functions.nested import first_fault
 from ..functions.text import page_mode
 
 
@@ -39,7 +40,10 @@ def land_files(spark: SparkSession, path: str, max_bytes: int = 50 * 1024 * 1024
 
 
 def read_bundles(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """SRC-4: JSON bundles against a closed schema: no key missing or extra, no wrong type, only finite numbers."""
+    """SRC-4: JSON bundles against a closed schema: no key missing or extra at any depth, no wrong type, only finite numbers.
+
+    Rejects: value, reason, path (the first place that does not fit; null where the text is no JSON).
+    """
     corrupt = "_corrupt"
     lines = spark.read.schema("value string").text(path)
     wide = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
@@ -51,8 +55,11 @@ def read_bundles(spark: SparkSession, path: str, schema: T.StructType) -> tuple[
     for n in numbers:
         infinite = infinite | F.coalesce(F.isnan(n) | (F.abs(n) == float("inf")), F.lit(False))
     reason = F.when(F.col(f"doc.{corrupt}").isNotNull() | F.col("doc").isNull(), "type").when(wrong_keys, "keys").when(infinite, "not finite")
-    tagged = parsed.withColumn("reason", reason)
-    return tagged.filter("reason is null").select(*[F.col(f"doc.{f.name}").alias(f.name) for f in schema.fields]), tagged.filter("reason is not null").select("value", "reason")
+    # the parse above is what is returned; the tree below tells where a bundle is wrong, and finds what the parse lets pass
+    parsed = parsed.withColumn("_tree", F.try_parse_json("value"))
+    parsed = parsed.withColumn("_fault", F.when(F.col("_tree").isNotNull(), first_fault(F.col("_tree"), schema)))
+    tagged = parsed.withColumn("reason", F.coalesce("_fault.reason", reason)).withColumn("path", F.col("_fault.path"))
+    return tagged.filter("reason is null").select(*[F.col(f"doc.{f.name}").alias(f.name) for f in schema.fields]), tagged.filter("reason is not null").select("value", "reason", "path")
 
 
 def read_store(spark: SparkSession, root: str) -> dict[str, DataFrame]:
