@@ -1,9 +1,9 @@
 """Queries over the supplied star-schema tables, each next to the SQL that must give the same rows."""
 from __future__ import annotations
 
-from . import adoption, extracting, inventory, ledgers, matching, reporting, store, texts
+from . import adoption, extracting, inventory, ledgers, matching, nested, reporting, store, texts
 
-GROUPS = (store, adoption, matching, texts, extracting, ledgers, reporting, inventory)
+GROUPS = (store, adoption, nested, matching, texts, extracting, ledgers, reporting, inventory)
 
 
 def all_queries():
