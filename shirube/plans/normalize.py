@@ -45,6 +45,16 @@ def _reasons(*pairs: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(text)) for test, text in pairs]))
 
 
+def _quote_key() -> Column:
+    """One struct, so that the join back is an equality that null fields do not break."""
+    return F.struct(F.col("file_hash").alias("file_hash"), F.col("page_no").cast("int").alias("page_no"), F.col("folded").alias("folded"))
+
+
+def _asked_quotes(staged: DataFrame) -> DataFrame:
+    """Each quote to look for once, however many items bear it, so that every item stays one row."""
+    return staged.filter("_quote is not null").select("_quote").distinct().select("_quote.*")
+
+
 def normalize_report(items: DataFrame, pages: DataFrame, catalog: DataFrame) -> DataFrame:
     """JOB-8: report values typed and checked against their pages; as-of dates are per field, never filled in.
 
@@ -63,9 +73,10 @@ def normalize_report(items: DataFrame, pages: DataFrame, catalog: DataFrame) ->
               .withColumn("_early", _reasons((is_number & F.col("_text").isNotNull() & F.col("_number").isNull(), R_NUMBER),
                                              (is_date & F.col("_text").isNotNull() & F.col("_date").isNull(), R_DATE), (F.col("_asof_bad"), R_ASOF))))
     staged = _with_pages(staged, pages).withColumn("_page_ok", _page_ok(False)).withColumn("folded", nfkc_compact(F.coalesce("source_text", F.lit(""))))
-    ids = staged.filter((F.col("_mode") == "text") & (F.col("folded") != "") & F.col("_page_ok")).select("file_hash", "field_code", "page_no", "folded")
-    placed = correct_pages(ids, _folded_pages(pages), ["file_hash"]).select("file_hash", "field_code", "corrected_page", F.col("needs_review").alias("_nowhere"))
-    joined = staged.join(placed, ["file_hash", "field_code"], "left")
+    asked = (F.col("_mode") == "text") & (F.col("folded") != "") & F.col("_page_ok")
+    staged = staged.withColumn("_quote", F.when(asked, _quote_key()))
+    placed = correct_pages(_asked_quotes(staged), _folded_pages(pages), ["file_hash"]).select(_quote_key().alias("_quote"), "corrected_page", F.col("needs_review").alias("_nowhere"))
+    joined = staged.join(placed, "_quote", "left")
     has_value, has_quote = F.col("_value").isNotNull(), F.coalesce("source_text", F.lit("")) != ""
     quoted = number_in_quote(F.col("_number"), F.col("source_text"))
     late = _reasons((F.col("confidence").isNull() | (F.col("confidence") < TRUST_LEVEL), R_READING), (~F.col("_page_ok"), R_PAGE), (~has_quote, R_QUOTE),
@@ -78,12 +89,15 @@ def normalize_report(items: DataFrame, pages: DataFrame, catalog: DataFrame) ->
                          F.col("_asof").alias("value_as_of_date"), reasons.alias("review_reasons"), (F.size(reasons) > 0).alias("needs_review"))
 
 
-def normalize_rules(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """JOB-9, rules: a quote must stand on its page, a scanned page needs a look, reasons are sorted."""
+def normalize_rules(items: DataFrame, pages: DataFrame, topics: tuple[str, ...] = ()) -> DataFrame:
+    """JOB-9, rules: a quote must stand on its page, a scanned page needs a look, reasons are sorted. Every item stays one row.
+
+    ``topics``: codes that every file with pages has to show; one without an item gets a row that says so.
+    """
     staged = _with_pages(items, pages).withColumn("_page_ok", _page_ok(False)).withColumn("folded", nfkc_compact(F.coalesce("source_text", F.lit(""))))
-    checked = check_quotes(staged.filter("folded <> ''").select("file_hash", "field_code", "page_no", "folded"),
-                           pages.select("file_hash", "page_no", nfkc_compact(F.coalesce("text", F.lit(""))).alias("folded")), ["file_hash"])
-    joined = staged.join(checked.select("file_hash", "field_code", "on_page"), ["file_hash", "field_code"], "left").withColumn("confidence", clean_confidence(F.col("confidence")))
+    staged = staged.withColumn("_quote", F.when(F.col("folded") != "", _quote_key()))
+    checked = check_quotes(_asked_quotes(staged), pages.select("file_hash", "page_no", nfkc_compact(F.coalesce("text", F.lit(""))).alias("folded")), ["file_hash"])
+    joined = staged.join(checked.select(_quote_key().alias("_quote"), "on_page"), "_quote", "left").withColumn("confidence", clean_confidence(F.col("confidence")))
     has_quote = F.col("folded") != ""
     found = _reasons((F.col("value").isNull(), R_MISSING), (F.col("confidence").isNull() | (F.col("confidence") < TRUST_LEVEL), R_READING), (~F.col("_page_ok"), R_PAGE),
                      (~has_quote, R_QUOTE), (has_quote & F.col("_page_ok") & (F.col("_mode") == "scan"), R_SCAN),
@@ -91,8 +105,14 @@ def normalize_rules(items: DataFrame, pages: DataFrame) -> DataFrame:
     prior = F.coalesce(F.col("review_reasons"), F.array().cast("array<string>")) if "review_reasons" in items.columns else F.array().cast("array<string>")
     flagged = F.coalesce(F.col("needs_review"), F.lit(False)) if "needs_review" in items.columns else F.lit(False)
     reasons = F.array_sort(F.array_distinct(F.concat(prior, found)))
-    return joined.select("file_hash", "field_code", "value", F.when(has_quote, F.col("source_text")).alias("source_text"), F.when(F.col("_page_ok"), F.col("page_no")).alias("page_no"),
+    done = joined.select("file_hash", "field_code", "value", F.when(has_quote, F.col("source_text")).alias("source_text"), F.when(F.col("_page_ok"), F.col("page_no")).alias("page_no"),
                          "confidence", reasons.alias("review_reasons"), ((F.size(reasons) > 0) | flagged).alias("needs_review"))
+    if not topics:
+        return done
+    asked = pages.select("file_hash").distinct().withColumn("field_code", F.explode(F.array(*[F.lit(t) for t in topics])))
+    absent = asked.join(done.select("file_hash", "field_code").distinct(), ["file_hash", "field_code"], "left_anti")
+    blank = [F.lit(None).cast(done.schema[c].dataType).alias(c) for c in ("value", "source_text", "page_no", "confidence")]
+    return done.unionByName(absent.select("file_hash", "field_code", *blank, F.array(F.lit(R_MISSING)).alias("review_reasons"), F.lit(True).alias("needs_review")))
 
 
 def normalize_disclosure(items: DataFrame, pages: DataFrame, documents: DataFrame, codes: list[str]) -> DataFrame:

@@ -119,3 +119,18 @@ def test_unsupported_values_become_null(spark):
     got = {r.path: r.value for r in out.collect()}
     assert got == {"building.location": "海区見本二丁目", "unit.area": "41.80", "unit.bad": None, "owner.name": "木見", "unit.name": None, "document_type": "building"}
     assert {r.path for r in warnings.collect()} == {"unit.bad", "unit.name"}
+
+
+def test_equal_items_stay_one_row_each(spark):
+    pages = spark.createDataFrame([("f", 1, "text", "管理費は12000円です"), ("f", 2, "text", "積立金"), ("g", 1, "scan", None)], "file_hash string, page_no int, mode string, text string")
+    one = ("f", "management_fee", "12000", "管理費は12000円", 2, 0.95, None)
+    rows = [one, one, ("f", "management_fee", "12000", "管理費は12000円", 1, 0.95, None), ("f", "management_fee", "12000", None, None, 0.95, None), ("f", "management_fee", None, "管理費は12000円", None, None, None)]
+    items = spark.createDataFrame(rows, "file_hash string, field_code string, value string, source_text string, page_no int, confidence double, value_as_of_date string")
+    catalog = spark.createDataFrame([("management_fee", "number")], "field_code string, data_type string")
+    report = normalize.normalize_report(items, pages, catalog).collect()
+    assert len(report) == len(rows) and [r.page_no for r in report if not r.needs_review and r.value] == [1, 1, 1]
+    rules = normalize.normalize_rules(items, pages, ("management_fee", "pet_restrictions"))
+    got = sorted(((r.file_hash, r.field_code, tuple(r.review_reasons)) for r in rules.collect()), key=str)
+    assert len([r for r in got if r[:2] == ("f", "management_fee")]) == len(rows)
+    assert [r for r in got if r[1] == "pet_restrictions" or r[0] == "g"] == [("f", "pet_restrictions", (normalize.R_MISSING,)), ("g", "management_fee", (normalize.R_MISSING,)), ("g", "pet_restrictions", (normalize.R_MISSING,))]
+    assert sum(r[2] == (normalize.R_MATCH,) for r in got) == 2 and sum(r[2] == () for r in got) == 1
