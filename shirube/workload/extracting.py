@@ -1,7 +1,7 @@
 """Scalar parsing, ledgers and field completion over the numeric tables."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import dates, evidence, shares, text
 from ..plans import ledger
@@ -59,7 +59,39 @@ def ledger_fold(spark, sf_dir):
     return lots.select(F.col("file_hash").cast("long").alias("user_id"), F.coalesce(F.regexp_extract("name", r"(\d+)", 1).cast("long"), F.lit(-1)).alias("event_id"), "n", "d", "uncertain")
 
 
+def ownership_splits(spark, sf_dir):
+    """JOB-2: one ledger for all events: its first entry takes the whole, purchases take printed parts of it, refunds or errors all of a purchaser's.
+
+    Holders in force with their shares, whether they need a look, and whether the ledger adds up.
+    """
+    events = table(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "error"))
+    buys = F.col("event_type") == "purchase"
+    earlier = F.last(F.when(buys, F.col("event_id")), ignorenulls=True)  # of one user; the whole ledger is never one window
+    giver = earlier.over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
+    rows = events.withColumn("giver", giver).filter(buys | F.col("giver").isNotNull())
+    line = lambda t: F.struct(F.lit(1).alias("page"), t.alias("text"), t.alias("raw"))
+    name = F.concat(F.lit("甲野"), F.col("event_id").cast("string"), F.lit("組合"))
+    people = F.array(line(F.lit("共有者港区")), line(F.concat(F.lit("持分10000000分の"), (F.col("event_id") % 9 + 1).cast("string"))), line(name))
+    purpose = F.when(buys, "甲野組合持分一部移転").otherwise(F.concat(F.lit("甲野"), F.col("giver").cast("string"), F.lit("組合持分全部移転")))
+    rows = rows.select(F.lit("ledger").alias("file_hash"), (F.col("event_id") + 1).alias("ord"), F.col("event_id").cast("string").alias("rank"), purpose.alias("purpose"), F.lit(False).alias("struck"), people.alias("lines"))
+    first = table(spark, sf_dir, "region").limit(1).select(F.lit("ledger").alias("file_hash"), F.lit(-1).cast("long").alias("ord"), F.lit("0").alias("rank"), F.lit("所有権移転").alias("purpose"), F.lit(False).alias("struck"),
+                                                           F.array(line(F.lit("所有者港区")), line(F.lit("甲野組合"))).alias("lines"))
+    holders, reviews, _ = ledger.ownership_replay(rows.unionByName(first))
+    kept = holders.select(F.coalesce(F.regexp_extract("name", r"(\d+)", 1).try_cast("long"), F.lit(-1)).alias("holder"), "share", "needs_review")
+    return kept.unionByName(reviews.filter("path = 'owners'").select(F.lit(-2).cast("long").alias("holder"), F.col("path").alias("share"), F.lit(True).alias("needs_review")))
+
+
 QUERIES = {
+    "ownership_splits": (ownership_splits, """WITH e AS (
+  SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS giver
+  FROM events WHERE event_type IN ('purchase', 'error')),
+m AS (SELECT * FROM e WHERE event_type = 'purchase' OR giver IS NOT NULL),
+g AS (SELECT giver, min(event_id) AS first_at, count(*) AS times FROM m WHERE event_type = 'error' GROUP BY 1),
+l AS (SELECT event_id, event_id % 9 + 1 AS k FROM m WHERE event_id NOT IN (SELECT giver FROM g)),
+r AS (SELECT 10000000 - coalesce(sum(event_id % 9 + 1), 0) AS k FROM m WHERE event_type = 'purchase')
+SELECT event_id AS holder, '10000000分の' || k AS share, false AS needs_review FROM l
+UNION ALL SELECT -1, CAST(CAST(10000000 AS BIGINT) // gcd(CAST(k AS BIGINT), 10000000) AS VARCHAR) || '分の' || CAST(CAST(k AS BIGINT) // gcd(CAST(k AS BIGINT), 10000000) AS VARCHAR), true FROM r
+UNION ALL SELECT -2, 'owners', true WHERE EXISTS (SELECT 1 FROM g WHERE times > 1) OR (SELECT sum(k) FROM l) + (SELECT k FROM r) <> 10000000"""),
     "share_parse": (share_parse, """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey > 0 AND l_partkey <= l_linenumber * 10000 + l_suppkey THEN CAST(l_partkey AS VARCHAR) END AS n,
   CASE WHEN l_partkey > 0 AND l_partkey <= l_linenumber * 10000 + l_suppkey THEN CAST(l_linenumber * 10000 + l_suppkey AS VARCHAR) END AS d FROM lineitem"""),
     "era_dates": (era_dates, """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 10 = 0 THEN '昭和' ELSE '平成' END AS era FROM orders)
