@@ -28,8 +28,6 @@ def register(requests: DataFrame, matched: DataFrame, values: DataFrame, master:
     joined = requests.join(matched, "incoming_id")
     seen = store["imports"].select(F.col("content_hash").alias("request_key")).withColumn("_seen", F.lit(True))
     joined = joined.join(seen, "request_key", "left")
-    # of requests with one key in a batch the first counts, the others find it done
-    joined = joined.withColumn("_again", F.row_number().over(Window.partitionBy("request_key").orderBy("incoming_id")) > 1)
     named = lambda code: F.max(F.when(F.col("field_code") == code, F.col("value_json")))
     natural = master.groupBy("incoming_id").agg(named("registry_location").alias("_place"), named("land_lots").alias("_lots"), named("house_number").alias("_house"))
     joined = joined.join(natural, "incoming_id", "left")
@@ -38,9 +36,12 @@ def register(requests: DataFrame, matched: DataFrame, values: DataFrame, master:
     resumed = store["cases"].select(F.col("case_id").alias("resume_case_id"), F.col("unit_id").alias("_case_unit"))
     joined = joined.join(resumed, "resume_case_id", "left")
     bad_case = (F.col("case_mode") == "resume") & ~F.coalesce(F.col("_case_unit") == F.col("unit_id"), F.lit(False))
-    outcome = (F.when(F.col("_seen") | F.col("_again"), "reused").when(~F.coalesce(F.col("status").isin("new", "existing"), F.lit(False)) | ~same, "match_changed")
+    outcome = (F.when(F.col("_seen"), "reused").when(~F.coalesce(F.col("status").isin("new", "existing"), F.lit(False)) | ~same, "match_changed")
                .when(bad_case, "invalid_case").when(~F.col("case_mode").isin("new", "resume"), "invalid_case").otherwise("registered"))
+    # of requests with one key that could be registered the first counts, the others find it done
     staged = joined.withColumn("outcome", outcome)
+    place = F.row_number().over(Window.partitionBy("request_key", "outcome").orderBy("incoming_id"))
+    staged = staged.withColumn("outcome", F.when((F.col("outcome") == "registered") & (place > 1), "reused").otherwise(F.col("outcome")))
     go = staged.filter("outcome = 'registered'")
     go = (go.withColumn("_new_building", F.col("building_id").isNull()).withColumn("_new_unit", F.col("unit_id").isNull())
           .withColumn("building_id", F.coalesce("building_id", F.when(F.col("_place").isNotNull(), _id("building", F.col("_place"), F.coalesce("_lots", F.lit("")))), _id("building", F.col("request_key"))))

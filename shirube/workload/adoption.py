@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .. import schemas
 from ..functions.evidence import value_source
-from ..plans import adoption
+from ..plans import adoption, registration
 from ..session import cut_lineage
 from .adapter import VALUES_SQL, order_values, table
 
@@ -94,6 +95,33 @@ def adopt_pointer(spark, sf_dir):
     return _rows(done, pointers.select(F.lit("pointer").alias("part"), F.col("case_id").cast("string").alias("id"), "field_code", F.col("value_id").alias("detail")))
 
 
+def register_batch(spark, sf_dir):
+    """JOB-16: every order asks to register its customer's unit; even customers are known, orders of one customer and priority are one request.
+
+    Outcomes, the new units with what the earliest registered order says of them, and changes of known owners.
+    """
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    text = lambda c: F.col(c).cast("string")
+    empty = {n: spark.createDataFrame([], s) for n, s in schemas.STORE.items()}
+    known = customer.filter("c_custkey % 2 = 0").select(text("c_custkey").alias("unit_id"), text("c_nationkey").alias("building_id"), F.substring("c_mktsegment", 1, 1).alias("current_owner_name"))
+    units = empty["units"].unionByName(known, allowMissingColumns=True)
+    store = {**empty, "units": cut_lineage(units)}
+    asked = orders.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "c_nationkey")
+    asked = cut_lineage(asked.withColumn("incoming_id", F.lpad(text("o_orderkey"), 12, "0")))
+    even, wrong = F.col("o_custkey") % 2 == 0, F.col("o_orderkey") % 11 == 0
+    status, unit, building = F.when(even, "existing").otherwise("new"), F.when(even, text("o_custkey")), F.when(even, text("c_nationkey"))
+    requests = asked.select("incoming_id", F.concat_ws(":", "o_custkey", "o_orderpriority").alias("request_key"), status.alias("expected_status"), F.when(wrong, "other").otherwise(unit).alias("expected_unit_id"),
+                            building.alias("expected_building_id"), F.lit("new").alias("case_mode"), F.lit(None).cast("string").alias("resume_case_id"), F.to_timestamp("o_orderdate").alias("requested_at"))
+    matched = asked.select("incoming_id", status.alias("status"), unit.alias("unit_id"), building.alias("building_id"))
+    fields = F.create_map(F.lit("registry_location"), F.concat(F.lit('"'), "c_nationkey", F.lit('"')), F.lit("house_number"), F.concat(F.lit('"'), "o_custkey", F.lit('"')), F.lit("current_owner_name"), F.concat(F.lit('"'), "o_orderstatus", F.lit('"')))
+    values = asked.select("incoming_id", F.col("incoming_id").alias("file_hash"), F.lit("x.pdf").alias("original_filename"), F.explode(fields).alias("field_code", "value_json"), F.lit(0.95).cast("double").alias("confidence"), F.lit(1).alias("page_no"), F.lit("q").alias("source_text"), F.lit(False).alias("needs_review"))
+    results, changes = registration.register_batch(requests, matched, values, values.select("incoming_id", "field_code", "value_json"), store)
+    moved = changes["diffs"].join(changes["documents"].select("document_id", "unit_id"), "document_id")
+    return (results.select(F.lit("result").alias("part"), F.col("incoming_id").cast("long").alias("id"), F.col("outcome").alias("detail"))
+            .unionByName(changes["units"].select(F.lit("unit").alias("part"), F.col("house_number").cast("long").alias("id"), F.col("current_owner_name").alias("detail")))
+            .unionByName(moved.select(F.lit("diff").alias("part"), F.col("unit_id").cast("long").alias("id"), F.concat("old_value_json", F.lit(">"), "new_value_json").alias("detail"))))
+
+
 STORE_SQL = f"""WITH {VALUES_SQL},
 e AS (
   SELECT document_id AS unit_id, document_id * 3 + version_id % 3 AS document_id, version_id, version_id || ':' || field_code AS id, field_code, value_json, confidence, page_no, source_text, approved, as_of_date, document_type,
@@ -110,6 +138,12 @@ d AS (SELECT * FROM l WHERE has_old AND old_json IS DISTINCT FROM value_json)
 """
 
 QUERIES = {
+    "register_batch": (register_batch, """WITH a AS (
+  SELECT o.*, o_orderkey % 11 = 0 AS wrong, row_number() OVER (PARTITION BY o_custkey, o_orderpriority, o_orderkey % 11 = 0 ORDER BY o_orderdate, o_orderkey) AS rn FROM orders o JOIN customer ON o_custkey = c_custkey),
+r AS (SELECT *, CASE WHEN wrong THEN 'match_changed' WHEN rn > 1 THEN 'reused' ELSE 'registered' END AS outcome FROM a)
+SELECT 'result' AS part, o_orderkey AS id, outcome AS detail FROM r
+UNION ALL SELECT 'unit', o_custkey, first(o_orderstatus ORDER BY o_orderdate, o_orderkey) FROM r WHERE outcome = 'registered' AND o_custkey % 2 = 1 GROUP BY o_custkey
+UNION ALL SELECT DISTINCT 'diff', o_custkey, substr(c_mktsegment, 1, 1) || '>' || o_orderstatus FROM r JOIN customer ON o_custkey = c_custkey WHERE outcome = 'registered' AND o_custkey % 2 = 0 AND substr(c_mktsegment, 1, 1) <> o_orderstatus"""),
     "approve_report": (approve_report, STORE_SQL + """,
 cur AS (SELECT document_id, field_code, max_by(id, created) AS current_id, max_by(as_of_date, created) AS current_date_ FROM e WHERE approved GROUP BY ALL),
 s AS (
