@@ -12,6 +12,8 @@ HEADLINE = [
     "review_queue", "approved_only_diffs", "master_diffs", "adoption_decisions", "confirm_batch", "latest_by_source", "match_two_of_three",
     "match_cascade", "cancel_join", "exact_shares", "integrate_outer", "segment_records", "quote_check", "locate_quotes", "page_correction",
     "single_hit_extract", "grant_interval_join", "cost_totals", "contract_cells", "group_hash", "reused_vs_new", "ledger_fold",
+    "approve_report", "adopt_rules", "adopt_pointer", "register_batch", "ownership_splits", "grants_once", "renested", "stripped", "path_get", "closed_bundles",
+    "legacy_columns", "sanity_checks", "ruled_ledger", "zoning_pages", "rules_topics", "label_lines", "lease_terms", "report_checks",
 ]
 
 

@@ -5,8 +5,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.nested import at_path
 from ..functions.text import nfkc
+from ..session import cut_lineage
 
 # ---- fixed values: paths of the older form, the columns they fill and the words in their values ------------
 TOWN, LOT, BRANCH, MORE = "一棟の建物.所在_市区町村町名", "一棟の建物.所在_番", "一棟の建物.所在_枝番", "一棟の建物.所在_追加"
@@ -29,11 +29,15 @@ class _Form:
     """One document of the older form, as a VARIANT column."""
     doc: Column
 
+    def get(self, path: str, kind: str) -> Column:
+        steps = "".join(f'["{part}"]' for part in path.split("."))
+        return F.try_variant_get(self.doc, F.lit(f"${steps}"), kind)  # a constant path is parsed once
+
     def text(self, path: str) -> Column:
-        return F.nullif(at_path(self.doc, F.lit(path), "string"), F.lit(""))
+        return F.nullif(self.get(path, "string"), F.lit(""))
 
     def items(self, path: str) -> Column:
-        return at_path(self.doc, F.lit(path), "array<variant>")
+        return self.get(path, "array<variant>")
 
 
 def _number(text: Column) -> Column:
@@ -60,8 +64,7 @@ def _date(form: _Form, path: str) -> tuple[Column, Column]:
     part = lambda key: form.text(f"{path}.{key}")
     start = F.create_map(*[F.lit(x) for pair in ERA_YEARS.items() for x in pair])[part("元号")]
     year = F.when(part("年") == "元", 1).otherwise(part("年").try_cast("int"))
-    made = F.try_make_date(start + year, part("月").try_cast("int"), part("日").try_cast("int")) if hasattr(F, "try_make_date") else F.try_to_date(
-        F.concat_ws("-", F.lpad((start + year).cast("string"), 4, "0"), F.lpad(part("月"), 2, "0"), F.lpad(part("日"), 2, "0")), "yyyy-MM-dd")
+    made = F.try_to_date(F.concat_ws("-", F.lpad((start + year).cast("string"), 4, "0"), F.lpad(part("月"), 2, "0"), F.lpad(part("日"), 2, "0")), "yyyy-MM-dd")
     full = part("元号").isNotNull() & part("年").isNotNull() & part("月").isNotNull() & part("日").isNotNull()
     return F.when(full, made.cast("string")), full & made.isNull()
 
@@ -113,7 +116,7 @@ def convert_legacy(docs: DataFrame, mapping: list[tuple] = LEGACY, key: str = "f
     form = _Form(F.col("_doc"))
     parsed = docs.select(key, F.nullif(F.trim(nfkc(F.col("house_number"))), F.lit("")).alias("house_number"), F.try_parse_json("document").alias("_doc"))
     made = {column: TRANSFORMS[transform](form, path) for path, _, column, transform in mapping}
-    whole = F.coalesce(at_path(F.col("_doc"), F.lit("敷地権"), "boolean"), F.lit(False))
+    whole = F.coalesce(form.get("敷地権", "boolean"), F.lit(False))
     rights = {}
     for column, name in RIGHT_KEYS.items():
         found = F.transform(form.items("土地"), lambda x: _member(x, name))
@@ -126,7 +129,9 @@ def convert_legacy(docs: DataFrame, mapping: list[tuple] = LEGACY, key: str = "f
     for column, (_, bad) in {**made, **rights}.items():
         reason = reason.when(F.coalesce(bad, F.lit(False)), f"{column}: form")
     columns = {**made, **rights}
+    # written once: all four results read it, and a filter on it would otherwise move below and parse the document for every test
     wide = parsed.select(key, "house_number", reason.alias("reason"), *[value.alias(column) for column, (value, _) in columns.items()])
+    wide = cut_lineage(wide)
     good = wide.filter("reason is null").drop("reason")
     tables = {column: table for _, table, column, _ in mapping} | dict.fromkeys(RIGHT_KEYS, "units")
     paths = {column: path for path, _, column, _ in mapping} | {c: f"土地.{n}" for c, n in RIGHT_KEYS.items()} | {"house_number": "house_number"}
