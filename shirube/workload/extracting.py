@@ -74,7 +74,7 @@ def ownership_splits(spark, sf_dir):
     people = F.array(line(F.lit("共有者港区")), line(F.concat(F.lit("持分10000000分の"), (F.col("event_id") % 9 + 1).cast("string"))), line(name))
     purpose = F.when(buys, "甲野組合持分一部移転").otherwise(F.concat(F.lit("甲野"), F.col("giver").cast("string"), F.lit("組合持分全部移転")))
     rows = rows.select(F.lit("ledger").alias("file_hash"), (F.col("event_id") + 1).alias("ord"), F.col("event_id").cast("string").alias("rank"), purpose.alias("purpose"), F.lit(False).alias("struck"), people.alias("lines"))
-    first = table(spark, sf_dir, "region").limit(1).select(F.lit("ledger").alias("file_hash"), F.lit(-1).cast("long").alias("ord"), F.lit("0").alias("rank"), F.lit("所有権移転").alias("purpose"), F.lit(False).alias("struck"),
+    first = rows.select("file_hash").distinct().select("file_hash", F.lit(-1).cast("long").alias("ord"), F.lit("0").alias("rank"), F.lit("所有権移転").alias("purpose"), F.lit(False).alias("struck"),
                                                            F.array(line(F.lit("所有者港区")), line(F.lit("甲野組合"))).alias("lines"))
     holders, reviews, _ = ledger.ownership_replay(rows.unionByName(first))
     kept = holders.select(F.coalesce(F.regexp_extract("name", r"(\d+)", 1).try_cast("long"), F.lit(-1)).alias("holder"), "share", "needs_review")
