@@ -126,6 +126,11 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def forget_words() -> None:
+    """Free the encoders of this Python worker. Tasks of operators with tables of their own begin with it, as Spark reuses workers."""
+    encoder.cache_clear()
+
+
 def encoded(texts: pa.Array, path: str, end_id: int) -> Iterator[np.ndarray]:
     """The ids of each text with the end id behind them; null counts as empty."""
     for ids in encoder(path).encode_texts(texts):

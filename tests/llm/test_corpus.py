@@ -2,10 +2,14 @@
 from __future__ import annotations
 
 import html
+import math
 import re
+import struct
+import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 
 import corpus_pipeline
 from shirube.llm import decontaminate, html_text, resampling
@@ -115,6 +119,58 @@ def test_models_count_documents(spark, odd):
     assert counts == {b: (n, target[b]) for b, n in raw.items()}
 
 
+def brute_grams(text):
+    """The n-grams of a text, spelled out."""
+    tokens = re.findall(r"\w+|[^\w\s]+", text.lower())
+    grams = {g for w in tokens for g in [w, *("^" + w[:k] for k in (3, 4, 5, 6, 7) if len(w) > k)]}
+    twice = [a == b for a, b in zip(tokens, tokens[1:])]
+    if sum(twice) > 1:
+        grams.add(f"<repeats {min(9, 10 * sum(twice) // len(twice))}>")
+    if any(a and b for a, b in zip(twice, twice[1:])):
+        grams.add("<run>")
+    return {zlib.crc32(g.encode()) % resampling.BUCKETS for g in grams}
+
+
+def brute_sample(docs, good, share, seed):
+    """doc_id to (log weight, key) of the drawn documents, from (doc_id, text) and the ids of the target."""
+    grams = {i: brute_grams(t) for i, t in docs}
+    raw, target = (Counter(b for i, _ in docs if i in ids for b in grams[i]) for ids in (set(grams), good))
+    level = sorted(target[b] / n for b, n in raw.items() if target[b] and n >= 20)
+    level = level[(len(level) + 1) // 2 - 1]
+    ratios = {}
+    for b, n in raw.items():
+        ratio = math.log((target[b] + 0.5) / (level * n + 0.5))
+        if level * n - target[b] > 3.5 * math.sqrt(level * n + 1) and ratio <= -math.log(4):
+            ratios[b] = ratio
+    out = {}
+    for i, text in docs:
+        weight, h = math.fsum(ratios.get(b, 0.0) for b in grams[i]), 42
+        for form, value in (("<q", i), ("<q", zlib.crc32(text.encode())), ("<i", seed)):
+            h = xxhash.xxh64_intdigest(struct.pack(form, value), h)
+        out[i] = (weight, weight - math.log(-math.log((h % (1 << 52) + 0.5) / (1 << 52))))
+    drawn = sorted(out, key=lambda i: -out[i][1])[:round(share * len(docs))]
+    return {i: out[i] for i in drawn}
+
+
+def test_drawn_sample_and_weights(spark):
+    rng = np.random.default_rng(8)
+    made = []
+    for i in range(1200):
+        text = [f"usual{k}" for k in rng.integers(0, 150, 25)]
+        if i % 5 == 0:
+            text[::6] = [f"nasty{rng.integers(4)}"] * len(text[::6])
+        if i % 7 == 0:
+            text[3:9] = ["again"] * 6
+        made.append((i, " ".join(text)))
+    marks = [(i, int(i % 7 > 0), int(i % 5 == 0)) for i in range(0, 1200, 2)]
+    want = brute_sample(made, {i for i, quality, toxic in marks if quality and not toxic}, 0.8, 5)
+    docs, labels = spark.createDataFrame(rows(*made), SCHEMA).repartition(4), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: (r.log_weight, r.key) for r in resampling.resample(docs, labels, share=0.8).collect()}
+    assert got.keys() == want.keys() and len(want) == 960
+    assert np.allclose([got[i] for i in want], [want[i] for i in want])
+    assert len({w for w, _ in want.values()}) > 1
+
+
 PAGE = """<html><head><title>t</title></head><body class="page"><header><h1>Site</h1></header><div id="cookie-notice">We use cookies and a long text that goes on and on</div>
 <nav><ul><li><a href="/">Home</a><li><a href="/b">News</a></ul></nav><main><article><header><h1>Title</h1></header><p>One <a href=x>two</a> thr&eacute;e.<p>Four<br>five</p>
 <div class="advert">Buy now</div><aside>see also</aside><form><input><button>Go</button>mail</form><script>if(a<b){x("<p>no</p>")}</script><p>Last &lt;b&gt; par&nbsp;x</p>
