@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its five-word shingles, in lower case. Lines with equal sets are one class, found by grouping. Between
+A line is the set of its five-word shingles, in lower case; the words of a shorter line are its one shingle. Lines with equal sets are one class, found by grouping. Between
 classes: order the shingles of every line by rarity, so that two lines with Jaccard similarity t or more share one of their
 first size - ceil(t size) + 1 shingles (prefix filter); of lines that share one, the sizes must allow t (length filter), and so
 must the shingles that are left behind the shared one in both (positional filter); what is left is verified on the whole sets.
@@ -54,16 +54,16 @@ def _words(line: Column) -> Column:
 
 
 def coded(line: Column, levels: bytes) -> Column:
-    """The distinct shingles of a line as sorted codes: rarity in the top byte, hash below; none of a line of fewer than five words."""
+    """The distinct shingles of a line as sorted codes: rarity in the top byte, hash below. The words of a line of fewer than five are one."""
     table = F.lit(levels)
     level = lambda h: F.ascii(F.substring(table, F.pmod(h, F.lit(RARITY)).cast("int") + 1, 1).cast("string")).cast("long")
     ranked = F.transform(_words(line), lambda h: _shift(level(h), F.lit(56), left=True).bitwiseOR(h.bitwiseAND(F.lit(_HASH_BITS))))
 
     def shingle(words: Column, i: Column) -> Column:
-        own = [F.get(words, i + k) for k in range(SHINGLE)]
+        own = [F.get(words, i + k) for k in range(SHINGLE)]  # null, which the hash passes over, behind the end of a short line
         return own[0].bitwiseAND(F.lit(127 << 56)).bitwiseOR(F.xxhash64(*own).bitwiseAND(F.lit(_HASH_BITS)))
 
-    places = lambda words: F.when(F.size(words) >= SHINGLE, F.sequence(F.lit(0), F.size(words) - SHINGLE)).otherwise(F.array().cast("array<int>"))
+    places = lambda words: F.when(F.size(words) > 0, F.sequence(F.lit(0), F.greatest(F.size(words) - SHINGLE, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     once = F.transform(F.array(ranked), lambda words: F.transform(places(words), lambda i: shingle(words, i)))  # the words are computed once
     return F.sort_array(F.array_distinct(F.element_at(once, 1)))
 
@@ -74,9 +74,9 @@ def _least_overlap(size: Column, similar: tuple[int, int]) -> Column:
 
 
 def line_table(docs: DataFrame, levels: bytes, id_col: str, text_col: str, similar: tuple[int, int]) -> DataFrame:
-    """doc_id, line_no, size, k1, k2 (a hash of the set), head (its prefix) of the lines with five words or more."""
+    """doc_id, line_no, size, k1, k2 (a hash of the set), head (its prefix) of the lines that have words."""
     rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("doc_id"), F.posexplode(F.split(docs[text_col], "\n")).alias("line_no", "line"))
-    sets = rows.where(F.length("line") >= 2 * SHINGLE - 1).select("doc_id", "line_no", coded(F.col("line"), levels).alias("codes")).withColumn("size", F.size("codes")).where("size > 0")
+    sets = rows.where(F.length("line") > 0).select("doc_id", "line_no", coded(F.col("line"), levels).alias("codes")).withColumn("size", F.size("codes")).where("size > 0")
     head = F.slice("codes", F.lit(1), F.col("size") - _least_overlap(F.col("size"), similar) + 1)
     return sets.select("doc_id", "line_no", "size", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit("second"), "codes").alias("k2"), head.alias("head"))
 
@@ -153,7 +153,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are ordered by document id and place. A line goes if an earlier line has the same five-word shingles (n_exact) or,
     failing that, if its shingles have Jaccard similarity 4/5 or more with those of an earlier line (n_near), itself removed or
-    not. Lines of fewer than five words stay. Null text stays null; rows without id stay as they are and take no part; rows
+    not. A line of fewer than five words has them all as its one shingle; lines without words stay. Null text stays null; rows without id stay as they are and take no part; rows
     that repeat an id count as one document. Other columns pass through, save those with the names of the three that are
     added. An empty table gives an empty result.
     """

@@ -22,7 +22,7 @@ WITH lines AS (
 words AS (SELECT doc_id, line_no, list_filter(string_split(lower(line), ' '), lambda w: w <> '') AS w FROM lines),
 sets AS (
   SELECT doc_id, line_no, words, len(words) AS size FROM (
-    SELECT doc_id, line_no, list_sort(list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')))) AS words FROM words WHERE len(w) >= 5)),
+    SELECT doc_id, line_no, list_sort(list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS words FROM words WHERE len(w) > 0)),
 classes AS (
   SELECT row_number() OVER (ORDER BY first_doc, first_line) AS class, words, size, first_doc, first_line FROM (
     SELECT words, any_value(size) AS size, min((doc_id, line_no))[1] AS first_doc, min((doc_id, line_no))[2] AS first_line FROM sets GROUP BY words)),

@@ -50,7 +50,7 @@ def brute_lines(pairs, similar=(4, 5), least=5):
         kept, exact, near = [], 0, 0
         for line in text.split("\n"):
             parts = [w for w in line.lower().translate(str.maketrans("\t\r\f\v", "    ")).split(" ") if w]
-            words = {tuple(parts[i:i + least]) for i in range(len(parts) - least + 1)}
+            words = {tuple(parts[i:i + least]) for i in range(max(1, len(parts) - least + 1))} if parts else set()
             if not words:
                 kept.append(line)
                 continue
