@@ -63,6 +63,14 @@ def clear(spark: SparkSession) -> None:
         fs.delete(status.getPath(), True)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with, for the names of columns that an operator adds for itself."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def fold_case(text: Column) -> Column:
     """A-Z to a-z and nothing else; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

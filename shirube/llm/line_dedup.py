@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_prefix, stored
 
 #: Jaccard similarity from which lines match, as a fraction.
 SIMILAR = (4, 5)
@@ -28,6 +28,8 @@ RARITY = 1 << 16
 AT_ONCE = 32
 _FILTER_WORDS = 1 << 16
 _HASH_BITS = (1 << 56) - 1
+#: A line's place, in the order of lines. ``row`` tells rows apart that repeat an id.
+PLACE = ("doc_id", "row", "line_no")
 _BLANK = "[ \t\r\f\u000b]"
 
 
@@ -73,18 +75,41 @@ def _least_overlap(size: Column, similar: tuple[int, int]) -> Column:
     return F.ceil(size * similar[0] / F.lit(float(similar[1])) - 1e-9).cast("int")
 
 
-def line_table(docs: DataFrame, levels: bytes, id_col: str, text_col: str, similar: tuple[int, int]) -> DataFrame:
-    """doc_id, line_no, size, k1, k2 (a hash of the set), head (its prefix) of the lines that have words."""
-    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("doc_id"), F.posexplode(F.split(docs[text_col], "\n")).alias("line_no", "line"))
-    sets = rows.where(F.length("line") > 0).select("doc_id", "line_no", coded(F.col("line"), levels).alias("codes")).withColumn("size", F.size("codes")).where("size > 0")
+def _bit(key: Column) -> Column:
+    return _shift(F.lit(1).cast("long"), F.pmod(key, F.lit(64)), left=True)
+
+
+def _word(key: Column) -> Column:
+    return F.pmod(_shift(key, F.lit(6)), F.lit(_FILTER_WORDS))
+
+
+def bit_table(keys: DataFrame, word: str, bits: str) -> DataFrame:
+    """keys(k) as a bit table of 65,536 rows at most."""
+    return keys.groupBy(_word(F.col("k")).alias(word)).agg(F.bit_or(_bit(F.col("k"))).alias(bits))
+
+
+def with_row_keys(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """``docs`` with ``name``: a hash of the text where other rows may have the same id, else 0. A bit table of fixed size tells."""
+    columns, own = docs.columns, F.xxhash64(docs[id_col])
+    repeated = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id")).groupBy("id").count().where("count > 1").select(F.xxhash64("id").alias("k"))
+    bits = F.broadcast(stored(bit_table(repeated, f"{name}_word", f"{name}_bits")))
+    told = docs.join(bits, _word(own) == F.col(f"{name}_word"), "left")
+    hit = F.coalesce(F.col(f"{name}_bits").bitwiseAND(_bit(own)) != 0, F.lit(False))
+    return told.select(*columns, F.when(hit, F.xxhash64(F.col(text_col))).otherwise(F.lit(0).cast("long")).alias(name))
+
+
+def line_table(docs: DataFrame, levels: bytes, id_col: str, row_col: str, text_col: str, similar: tuple[int, int]) -> DataFrame:
+    """doc_id, row, line_no, size, k1, k2 (a hash of the set), head (its prefix) of the lines that have words."""
+    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("doc_id"), docs[row_col].alias("row"), F.posexplode(F.split(docs[text_col], "\n")).alias("line_no", "line"))
+    sets = rows.where(F.length("line") > 0).select(*PLACE, coded(F.col("line"), levels).alias("codes")).withColumn("size", F.size("codes")).where("size > 0")
     head = F.slice("codes", F.lit(1), F.col("size") - _least_overlap(F.col("size"), similar) + 1)
-    return sets.select("doc_id", "line_no", "size", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit("second"), "codes").alias("k2"), head.alias("head"))
+    return sets.select(*PLACE, "size", F.xxhash64("codes").alias("k1"), F.xxhash64(F.lit("second"), "codes").alias("k2"), head.alias("head"))
 
 
 def line_classes(lines: DataFrame, *carried: str) -> DataFrame:
-    """k1, k2, doc_id, line_no and what is carried of each different set at its first place."""
-    place = F.struct("doc_id", "line_no", *carried)
-    return lines.groupBy("k1", "k2").agg(F.min_by(place, F.struct("doc_id", "line_no")).alias("p")).select("k1", "k2", "p.*")
+    """k1, k2, the place and what is carried of each different set at its first place."""
+    place = F.struct(*PLACE, *carried)
+    return lines.groupBy("k1", "k2").agg(F.min_by(place, F.struct(*PLACE)).alias("p")).select("k1", "k2", "p.*")
 
 
 def _plausible(similar: tuple[int, int]) -> Column:
@@ -93,54 +118,53 @@ def _plausible(similar: tuple[int, int]) -> Column:
     total = F.col("x.size") + F.col("y.size")
     together = F.ceil(total * a / F.lit(float(a + b)) - 1e-9)
     left = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    earlier = (F.col("y.doc_id") < F.col("x.doc_id")) | (F.col("y.doc_id") == F.col("x.doc_id")) & (F.col("y.line_no") < F.col("x.line_no"))
+    same_doc, same_row = F.col("y.doc_id") == F.col("x.doc_id"), F.col("y.row") == F.col("x.row")
+    earlier = (F.col("y.doc_id") < F.col("x.doc_id")) | same_doc & ((F.col("y.row") < F.col("x.row")) | same_row & (F.col("y.line_no") < F.col("x.line_no")))
     return earlier & (F.col("x.size") * a <= F.col("y.size") * b) & (F.col("y.size") * a <= F.col("x.size") * b) & (left >= together)
 
 
-_PAIR = ("x.doc_id", "x.line_no", "y.doc_id", "y.line_no")
+_X, _Y = ("xd", "xr", "xl"), ("yd", "yr", "yl")
 
 
 def _named(rows: DataFrame) -> DataFrame:
-    return rows.select(*(F.col(c).alias(n) for c, n in zip(_PAIR, ("xd", "xl", "yd", "yl")))).distinct()
+    return rows.select(*(F.col(f"x.{c}").alias(n) for c, n in zip(PLACE, _X)), *(F.col(f"y.{c}").alias(n) for c, n in zip(PLACE, _Y))).distinct()
 
 
 def _pairs(x: DataFrame, y: DataFrame, similar: tuple[int, int]) -> DataFrame:
     return _named(x.alias("x").join(y.alias("y"), F.col("x.w") == F.col("y.w")).where(_plausible(similar)))
 
 
-def _sets_of(met: DataFrame, docs: DataFrame, levels: bytes, id_col: str, text_col: str) -> DataFrame:
-    """d, l, codes of the lines that share a prefix shingle with another. A bit table of fixed size tells them in the scan."""
-    bit, word = (lambda k: _shift(F.lit(1).cast("long"), F.pmod(k, F.lit(64)), left=True)), (lambda k: F.pmod(_shift(k, F.lit(6)), F.lit(_FILTER_WORDS)))
-    keys = met.select(F.xxhash64("doc_id", "line_no").alias("k"))
-    bits = F.broadcast(keys.groupBy(word(F.col("k")).alias("_word")).agg(F.bit_or(bit(F.col("k"))).alias("_bits")))  # 65,536 rows at most
-    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("d"), F.posexplode(F.split(docs[text_col], "\n")).alias("l", "line")).withColumn("_k", F.xxhash64("d", "l"))
-    likely = rows.withColumn("_word", word(F.col("_k"))).join(bits, "_word").where(F.col("_bits").bitwiseAND(bit(F.col("_k"))) != 0)
-    return likely.select("d", "l", coded(F.col("line"), levels).alias("codes"))
+def _sets_of(met: DataFrame, docs: DataFrame, levels: bytes, id_col: str, row_col: str, text_col: str) -> DataFrame:
+    """d, r, l, codes of the lines that share a prefix shingle with another. A bit table of fixed size tells them in the scan."""
+    bits = F.broadcast(bit_table(met.select(F.xxhash64(*PLACE).alias("k")), "_word", "_bits"))
+    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("d"), docs[row_col].alias("r"), F.posexplode(F.split(docs[text_col], "\n")).alias("l", "line")).withColumn("_k", F.xxhash64("d", "r", "l"))
+    likely = rows.withColumn("_word", _word(F.col("_k"))).join(bits, "_word").where(F.col("_bits").bitwiseAND(_bit(F.col("_k"))) != 0)
+    return likely.select("d", "r", "l", coded(F.col("line"), levels).alias("codes"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """xd, xl of the lines that match an earlier one, on whole sets."""
+    """xd, xr, xl of the lines that match an earlier one, on whole sets."""
     a, b = similar
-    wx, wy = sets.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("codes").alias("wx")), sets.select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("codes").alias("wy"))
+    wx, wy = (sets.select(*(F.col(c).alias(n) for c, n in zip(("d", "r", "l"), names)), F.col("codes").alias(codes)) for names, codes in ((_X, "wx"), (_Y, "wy")))
     both = F.size(F.array_intersect("wx", "wy"))
     match = both * (a + b) >= (F.size("wx") + F.size("wy")) * a  # both / (|x| + |y| - both) >= a / b
-    return pairs.join(wx, ["xd", "xl"]).join(wy, ["yd", "yl"]).where(match).select("xd", "xl").distinct()
+    return pairs.join(wx, list(_X)).join(wy, list(_Y)).where(match).select(*_X).distinct()
 
 
-def matched_lines(lines: DataFrame, docs: DataFrame, levels: bytes, similar: tuple[int, int], id_col: str, text_col: str, at_once: int = AT_ONCE) -> DataFrame:
-    """xd, xl: the first places of line classes that an earlier class matches."""
+def matched_lines(lines: DataFrame, docs: DataFrame, levels: bytes, similar: tuple[int, int], id_col: str, row_col: str, text_col: str, at_once: int = AT_ONCE) -> DataFrame:
+    """xd, xr, xl: the first places of line classes that an earlier class matches."""
     classes = line_classes(lines, "size", "head")
-    posted = classes.select("doc_id", "line_no", "size", F.posexplode("head").alias("pos", "w"))
+    posted = classes.select(*PLACE, "size", F.posexplode("head").alias("pos", "w"))
     group = Window.partitionBy("w")
     # the rows of a shingle that only one line has, nearly all of them, end here
-    met = posted.withColumns({"n": F.count(F.lit(1)).over(group), "rank": F.row_number().over(group.orderBy("doc_id", "line_no"))}).where("n > 1")
+    met = posted.withColumns({"n": F.count(F.lit(1)).over(group), "rank": F.row_number().over(group.orderBy(*PLACE))}).where("n > 1")
     met = stored(met)
-    sets = stored(_sets_of(met, docs, levels, id_col, text_col))
+    sets = stored(_sets_of(met, docs, levels, id_col, row_col, text_col))
     small, large = met.where(F.col("n") <= at_once), met.where(F.col("n") > at_once)
     done = stored(_verified(_pairs(small, small, similar), sets, similar))
     begin, many = 0, at_once // 4 + 1
     while True:
-        still = large.where(F.col("rank") > begin + 1).join(done, (F.col("doc_id") == F.col("xd")) & (F.col("line_no") == F.col("xl")), "left_anti")
+        still = large.where(F.col("rank") > begin + 1).join(done.toDF(*PLACE), list(PLACE), "left_anti")
         if still.isEmpty():
             return done
         leaders = large.where((F.col("rank") > begin) & (F.col("rank") <= begin + many))
@@ -151,37 +175,44 @@ def matched_lines(lines: DataFrame, docs: DataFrame, levels: bytes, similar: tup
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """``docs`` with later matches removed from the text; adds n_lines, n_exact and n_near (lines removed, by kind of match).
 
-    Lines are ordered by document id and place. A line goes if an earlier line has the same five-word shingles (n_exact) or,
-    failing that, if its shingles have Jaccard similarity 4/5 or more with those of an earlier line (n_near), itself removed or
-    not. A line of fewer than five words has them all as its one shingle; lines without words stay. Null text stays null; rows without id stay as they are and take no part; rows
-    that repeat an id count as one document. Other columns pass through, save those with the names of the three that are
-    added. An empty table gives an empty result.
+    Lines are ordered by document id and place; rows that repeat an id, by a hash of their text. A line goes if an earlier line has
+    the same five-word shingles (n_exact) or, failing that, if its shingles have Jaccard similarity 4/5 or more with those of an
+    earlier line (n_near), itself removed or not. A line of fewer than five words has them all as its one shingle; lines without
+    words stay. Null text stays null; rows without id stay as they are and take no part; rows that repeat both id and text count
+    as one document, of which every row keeps the same lines. Other columns pass through whatever their names, save those with the
+    names of the three that are added. An empty table gives an empty result.
     """
-    levels = rarity_levels(docs, text_col)
-    lines = stored(line_table(docs, levels, id_col, text_col, similar))
-    classes = line_classes(lines)
-    near = matched_lines(lines, docs, levels, similar, id_col, text_col).select("xd", "xl", F.lit(True).alias("near"))
-    firsts = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("doc_id").alias("fd"), F.col("line_no").alias("fl"))
-    firsts = firsts.join(near, (F.col("fd") == F.col("xd")) & (F.col("fl") == F.col("xl")), "left").select("c1", "c2", "fd", "fl", F.col("near").isNotNull().alias("near"))
-    placed = lines.select("doc_id", "line_no", "k1", "k2").join(firsts, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
-    later = placed.withColumn("exact", (F.col("fd") != F.col("doc_id")) | (F.col("fl") != F.col("line_no"))).where("exact or near")
-    by_doc = stored(later.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"), F.count_distinct(F.when(F.col("exact"), F.col("line_no"))).alias("_exact")))
-    return _without(docs.drop("n_lines", "n_exact", "n_near"), by_doc, id_col, text_col)
-
-
-def _without(docs: DataFrame, by_doc: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    docs = docs.drop("n_lines", "n_exact", "n_near")
+    columns, prefix = docs.columns, free_prefix(docs)
+    row_col = f"{prefix}row"
+    levels, keyed = rarity_levels(docs, text_col), with_row_keys(docs, id_col, text_col, row_col)
+    lines = stored(line_table(keyed, levels, id_col, row_col, text_col, similar))
+    near = matched_lines(lines, keyed, levels, similar, id_col, row_col, text_col).withColumn("near", F.lit(True))
+    first = ("fd", "fr", "fl")
+    firsts = line_classes(lines).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), *(F.col(c).alias(n) for c, n in zip(PLACE, first)))
+    firsts = firsts.join(near.toDF(*first, "near"), list(first), "left").select("c1", "c2", *first, F.col("near").isNotNull().alias("near"))
+    placed = lines.select(*PLACE, "k1", "k2").join(firsts, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")))
+    later = placed.withColumn("exact", F.struct(*PLACE) != F.struct(*(F.col(n).alias(c) for c, n in zip(PLACE, first)))).where("exact or near")
+    gone = later.groupBy(F.col("doc_id").alias(f"{prefix}gone_doc"), F.col("row").alias(f"{prefix}gone_row"))
+    by_doc = stored(gone.agg(F.collect_set("line_no").alias(f"{prefix}gone"), F.count_distinct(F.when(F.col("exact"), F.col("line_no"))).alias(f"{prefix}exact")))
+    return _without(keyed, by_doc, columns, prefix, id_col, text_col)
+
+
+def _without(docs: DataFrame, by_doc: DataFrame, columns: list[str], prefix: str, id_col: str, text_col: str) -> DataFrame:
     """Texts without the lines that go. Only texts that may lose a line are shuffled; a bit table of fixed size tells the others."""
-    bit, word = (lambda k: _shift(F.lit(1).cast("long"), F.pmod(F.xxhash64(k), F.lit(64)), left=True)), (lambda k: F.pmod(_shift(F.xxhash64(k), F.lit(6)), F.lit(_FILTER_WORDS)))
-    bits = F.broadcast(by_doc.groupBy(word(F.col("_doc")).alias("_word")).agg(F.bit_or(bit(F.col("_doc"))).alias("_bits")))  # 65,536 rows at most
-    told = docs.withColumn("_at", F.coalesce(word(F.col(id_col)), F.lit(-1))).join(bits, F.col("_at") == F.col("_word"), "left")
-    hit = F.coalesce(F.col("_bits").bitwiseAND(bit(F.col(id_col))) != 0, F.lit(False))
+    own = lambda name: F.col(f"{prefix}{name}")
+    key = F.xxhash64(F.col(id_col), own("row"))
+    bits = F.broadcast(bit_table(by_doc.select(F.xxhash64(own("gone_doc"), own("gone_row")).alias("k")), f"{prefix}word", f"{prefix}bits"))
+    told = docs.withColumn(f"{prefix}at", F.when(F.col(id_col).isNotNull(), _word(key)).otherwise(F.lit(-1))).join(bits, own("at") == own("word"), "left")
+    hit = F.coalesce(own("bits").bitwiseAND(_bit(key)) != 0, F.lit(False))
     lines_of = F.split(F.col(text_col), "\n")
     n_lines = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(lines_of)), F.lit(0)).cast("long").alias("n_lines")
     none = F.lit(0).cast("long")
-    untouched = told.where(~hit).select(*docs.columns, n_lines, none.alias("n_exact"), none.alias("n_near"))
-    joined = told.where(hit).select(*docs.columns).join(by_doc, docs[id_col] == F.col("_doc"), "left")
-    kept = F.array_join(F.filter(lines_of, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
-    exact = F.coalesce("_exact", none)
-    touched = joined.select(*(text if c == text_col else F.col(c) for c in docs.columns), n_lines, exact.alias("n_exact"), (F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long") - exact).alias("n_near"))
+    untouched = told.where(~hit).select(*columns, n_lines, none.alias("n_exact"), none.alias("n_near"))
+    joined = told.where(hit).select(*columns, own("row")).join(by_doc, (F.col(id_col) == own("gone_doc")) & (own("row") == own("gone_row")), "left")
+    kept = F.array_join(F.filter(lines_of, lambda x, i: ~F.array_contains(own("gone"), i)), "\n")
+    text = F.when(own("gone").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
+    exact = F.coalesce(own("exact"), none)
+    n_near = F.coalesce(F.when(own("gone").isNotNull(), F.size(own("gone"))), F.lit(0)).cast("long") - exact
+    touched = joined.select(*(text if c == text_col else F.col(c) for c in columns), n_lines, exact.alias("n_exact"), n_near.alias("n_near"))
     return untouched.union(touched)

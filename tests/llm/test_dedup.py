@@ -8,8 +8,9 @@ from collections import defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from shirube.llm import exact_dedup, line_dedup, near_dedup, simhash
+from shirube.llm import exact_dedup, line_dedup, near_dedup, resampling, simhash
 from shirube.llm.components import components
 from shirube.llm.queries import QUERIES
 
@@ -88,6 +89,34 @@ def test_lines(spark, at_once, monkeypatch):
     assert got == brute_lines(pairs)
 
 
+def test_lines_of_rows_that_repeat_an_id(spark):
+    unique = "a line that nobody else has written down"
+    first, copy = "the first line of the first row here\nand the second line of it as well", "the first line of the first row here\nthird"
+    pairs = [(1, first), (2, f"{unique}\nsecond"), (2, copy), (2, copy)]
+    got = sorted(r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows(*pairs), SCHEMA).repartition(3)).collect())
+    assert got == sorted([first, f"{unique}\nsecond", "third", "third"])
+    rng = random.Random(3)
+    made = [(i // 4, "\n".join(f"text {i} line {k} " + " ".join(rng.choices("abcdefgh", k=9)) for k in range(5)) + f"\nshared by all of group {i // 8} and no other") for i in range(40)]
+    got = [r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows(*made), SCHEMA)).collect()]
+    kept = sorted(line for text in got for line in text.split("\n"))
+    assert kept == sorted({line for _, text in made for line in text.split("\n")})
+
+
+CLASH = ("_word", "_bits", "_doc", "_gone", "_at", "_row", "_good", "_log_weight", "_tie", "_key", "_id", "_exact", "row", "doc_no", "line_no", "codes", "node", "root", "offset", "sequence_id")
+
+
+def test_other_columns_keep_their_names_and_values(spark):
+    docs = spark.createDataFrame(rows(*((i, f"{BASE} {i}\nown line {i} with {i * i} words") for i in range(6))), SCHEMA)
+    for name in CLASH:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} of "), "doc_id"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    for step in (line_dedup.dedup_lines, near_dedup.drop_near_copies, lambda d: resampling.keep_sampled(d, labels)):
+        got = step(docs)
+        assert got.columns[:len(docs.columns)] == docs.columns and got.count() > 0
+        for r in got.collect():
+            assert all(r[name] == f"{name} of {r.doc_id}" for name in CLASH)
+
+
 def test_lines_of_odd_rows(odd, none):
     got = line_dedup.dedup_lines(odd)
     assert got.count() == odd.count() and set(odd.columns) <= set(got.columns)
