@@ -1,7 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
 Each text is a first layer. A layer is scanned, then every encoded run in it (percent escapes, unicode escapes, base64,
-base64 of gzip, zlib or zstandard) is decoded into a further layer, until no run is left. A layer keeps, for each of its
+base64 of gzip, zlib or zstandard) is decoded into a further layer, until no run is left. Of escapes, only the words around
+them are a layer, so that a long chain of escapes costs no square. A layer keeps, for each of its
 characters, the start and end in the original text that it came from, so whatever is found at any depth maps back. Base64 is
 decoded at all four alignments, over line breaks, and as UTF-8 or UTF-16; bytes that are no text stay in the layer. A layer
 that was seen before over the same place is not entered again, which ends cycles.
@@ -41,8 +42,10 @@ PACKED = re.compile(r"H4sI|KLUv|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
 #: A layer that has none of these holds no secret and no further layer.
 SIGNS = re.compile(rf"password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{{24}}|%[0-9a-f]{{2}}|\\[ux]|&\#[0-9x]|{_LETTER}{{16}}", re.IGNORECASE | re.ASCII)
 WORD = re.compile(r"\S+")
-#: So many layers deep, percent and unicode escapes are decoded in the whole text; below, in pieces of it, so that a long chain of escapes costs no square.
-WHOLE_DEPTH = 8
+#: Words that may be a line of base64, or become one when their escapes are decoded.
+LINE = re.compile(r"[A-Za-z0-9+/_%\\&#;{}=-]+")
+#: So many bytes of a compressed blob tell whether it is one.
+PROBE = 4096
 #: What unpacks to more bytes than this is scanned in pieces that overlap.
 PIECE = 1 << 26
 OVERLAP = 1 << 20
@@ -193,25 +196,85 @@ def _unescaped(layer: _Layer, pattern: re.Pattern) -> _Layer | None:
 
 
 def _pieces(text: str, pattern: re.Pattern) -> list[tuple[int, int]]:
-    """Where in a text the words stand that hold an escape, each with the two words before and after it.
+    """Where in a text the words stand that hold an escape, each with the two words before and after it and the base64 lines around.
 
-    An assignment has at most three words (key, sign, value), so none that holds an escape crosses the edge of a piece.
+    An assignment has at most three words (key, sign, value), and other kinds have one, so nothing that holds an escape crosses
+    the edge of a piece but a run of base64 over lines: its first line has 16 letters, all but its ends are lines by themselves.
     """
+    if not (first := pattern.search(text)):
+        return []
     words = [m.span() for m in WORD.finditer(text)]
-    places: list[list[int]] = []
+    places: list[list[int]] = []  # numbers of the first and last word
+
+    def line_goes_on(i: int) -> bool:
+        """Whether a run may go on from word i to the next one."""
+        return BREAK.fullmatch(text, words[i][1], words[i + 1][0]) is not None
+
+    def whole(i: int) -> bool:
+        return LINE.fullmatch(text, *words[i]) is not None
+
     at = 0
-    for m in pattern.finditer(text):
+    for m in pattern.finditer(text, first.start()):
         while words[at][1] <= m.start():
             at += 1
         last = at
         while words[last][1] < m.end():
             last += 1
-        begin, end = words[max(0, at - 2)][0], words[min(len(words) - 1, last + 2)][1]
-        if places and begin <= places[-1][1]:
-            places[-1][1] = end
+        begin, end = max(0, at - 2), min(len(words) - 1, last + 2)
+        covered = places[-1][1] if places else -1
+        if last > covered or end > covered:
+            low, high, long = at, last, any(words[i][1] - words[i][0] >= 16 for i in range(at, last + 1))
+            while low > covered + 1 and line_goes_on(low - 1):
+                low -= 1
+                long = long or words[low][1] - words[low][0] >= 16
+                if not whole(low):
+                    break
+            while long and high + 1 < len(words) and line_goes_on(high):
+                high += 1
+                if not whole(high):
+                    break
+            if long:
+                begin, end = min(begin, low), max(end, high)
+        if places and begin <= covered + 1:
+            places[-1][1] = max(covered, end)
         else:
             places.append([begin, end])
-    return [(begin, end) for begin, end in places]
+    return [(words[begin][0], words[end][1]) for begin, end in places]
+
+
+def _gzip_content(data: bytes, at: int) -> int | None:
+    """Where the content of a gzip member begins, behind its header (RFC 1952); None if the header does not end."""
+    flags, place = data[at + 3:at + 4], at + 10
+    if not flags:
+        return None
+    if flags[0] & 4:  # extra field
+        place += 2 + int.from_bytes(data[place:place + 2], "little")
+    for bit in (8, 16):  # name, comment: up to a zero byte
+        if flags[0] & bit:
+            place = data.find(0, place) + 1
+            if not place:
+                return None
+    place += flags[0] & 2  # checksum of the header
+    return place if place < len(data) else None
+
+
+def _begins_blob(data: bytes, at: int) -> bool:
+    """Whether anything can be unpacked from a compressed blob at a place of data, by the first ``PROBE`` bytes of its content."""
+    if data[at:at + 4] == b"\x28\xb5\x2f\xfd":
+        unpacker = zstandard.ZstdDecompressor().decompressobj()
+    elif data[at:at + 2] == b"\x1f\x8b":
+        unpacker, at = zlib.decompressobj(-15), _gzip_content(data, at)
+        if at is None:
+            return False
+    else:
+        unpacker = zlib.decompressobj()
+    try:
+        for place in range(at, min(at + PROBE, len(data)), 512):
+            if unpacker.decompress(data[place:place + 512]) or unpacker.eof:
+                break
+    except (zlib.error, zstandard.ZstdError):
+        return False
+    return True
 
 
 def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
@@ -233,7 +296,7 @@ def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
         body, starts, ends = layer.text, layer.starts, layer.ends
         for pattern, sign in ((PERCENT, "%"), (UNICODE, "\\"), (UNICODE, "&#")):
             if sign in body:
-                for begin, end in _pieces(body, pattern) if layer.depth >= WHOLE_DEPTH else [(0, len(body))]:
+                for begin, end in _pieces(body, pattern):
                     part = _Layer(body[begin:end], starts[begin:end], ends[begin:end], layer.depth)
                     if (inner := _unescaped(part, pattern)) is not None and inner.text:
                         enter(inner)
@@ -245,8 +308,9 @@ def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
                 places = array("q", (m.start() + i for begin, end in parts for i in range(begin, end)))
                 letters = "".join(letters[begin:end] for begin, end in parts)
             letters = letters.replace("-", "+").replace("_", "/")
-            for shift in range(4):  # whatever letters stand before what was encoded
-                for inner, encoding in _texts(_from_base64(letters[shift:])):
+            decoded = [_from_base64(letters[shift:]) for shift in range(4)]  # whatever letters stand before what was encoded
+            for shift, data in enumerate(decoded):
+                for inner, encoding in _texts(data):
                     if not SIGNS.search(inner):
                         continue
                     s2, e2, at = array("q"), array("q"), 0
@@ -256,7 +320,9 @@ def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
                         at += width
                     enter(_Layer(inner, s2, e2, layer.depth + 1))
             for head in PACKED.finditer(letters):
-                unpack(_from_base64(letters[head.start():]), starts[places[head.start()]], ends[m.end() - 1], layer.depth + 1)
+                data, at = decoded[head.start() % 4], head.start() // 4 * 3
+                if _begins_blob(data, at):
+                    unpack(data[at:], starts[places[head.start()]], ends[m.end() - 1], layer.depth + 1)
 
     def unpack(data: bytes, start: int, end: int, depth: int) -> None:
         """Every layer in a compressed blob: a character of it has no place of its own."""

@@ -4,7 +4,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -122,6 +124,35 @@ def test_large_blobs_are_scanned_in_pieces(monkeypatch):
             assert [k for k, *_ in secret_scan.find_secrets(base64.b64encode(packed).decode())[1]].count("assign"), place
 
 
+def escaped(text, depth):
+    for _ in range(depth):
+        text = text.replace("%", "%25")
+    return text
+
+
+def test_escapes_at_any_depth():
+    noise = "".join(random.Random(5).choices("abcdefghijkl mnop", k=900))
+    wrapped = base64.encodebytes(gzip.compress(f"{noise} password=hunter2222 {noise}".encode())).decode()
+    assert wrapped.count("\n") > 4 and "+" in wrapped
+    for depth in (0, 1, 4, 8, 11, 30):
+        for at in [i for i, c in enumerate(wrapped) if c == "+"][::3] + [0, 17, wrapped.rindex("=") - 2 if "=" in wrapped else 5]:
+            coded = wrapped[:at] + escaped(f"%{ord(wrapped[at]):02X}", depth) + wrapped[at + 1:]
+            text = f"some words before\n{coded}and\nmore after it"
+            assert "assign" in [k for k, *_ in secret_scan.find_secrets(text)[1]], (depth, at)
+        far = f"one two three %41 {noise} password = {escaped('%68', depth)}unter2222 and {escaped('%70', depth)}assword: abcdef99 {noise}"
+        assert [far[s:e][-8:] for k, s, e in secret_scan.find_secrets(far)[1] if k == "assign" and far[s:e].endswith(("2222", "ef99"))], depth
+    lines = "\n".join(random.Random(6).choices(["word", "other", "third"], k=2_000))
+    assert {k for k, *_ in secret_scan.find_secrets(lines + "\n" + escaped("%41", 200) + "\n" + lines)[1]} == {"hex"}
+
+
+def test_runs_of_heads_take_time_in_proportion():
+    begun = time.monotonic()
+    assert secret_scan.find_secrets("H4sI" * 100_000 + " eJwx" * 10)[1] == []
+    packed = base64.b64encode(gzip.compress(f"password=hunter2222 {random.Random(7).randbytes(9000).hex()}".encode())).decode()
+    assert "assign" in [k for k, *_ in secret_scan.find_secrets("H4sI" * 1000 + packed)[1]]
+    assert time.monotonic() - begun < 30
+
+
 def test_bare_letters_and_cycles_end():
     assert secret_scan.find_secrets("%25" * 400)[1] == []
     assert secret_scan.find_secrets("thonhastblenderouthonhast " * 50) == ([], [])
