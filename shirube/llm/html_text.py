@@ -102,10 +102,10 @@ def default_tree() -> Tree:
 
 
 def _aside(tag: str, attributes: str, in_main: bool) -> int:
-    """Whether an element is something other than the article: 2 by its tag or because it is hidden, 1 by a name, else 0."""
-    if tag in ASIDE and not (tag == "header" and in_main):
+    """Whether an element is something other than the article: 2 by its tag or because it is hidden, 1 by a name or as a form, else 0."""
+    if tag in ASIDE and tag != "form" and not (tag == "header" and in_main):
         return 2
-    named = 0
+    named = int(tag == "form")
     for m in _NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -118,7 +118,7 @@ def _aside(tag: str, attributes: str, in_main: bool) -> int:
 def blocks(page: str) -> list[tuple[str, tuple[float, ...]]]:
     """The text blocks of a page in order, each with its features.
 
-    A name does not count for an element that holds an article or main element, or, where the page has no such element, most of
+    A name, or being a form, does not count for an element that holds an article or main element, or, where the page has no such element, most of
     its words outside links: that is a wrapper of the page.
     """
     stack: list[tuple[str, int, bool]] = []  # name, 2: aside by its tag or 1: by a name, silent

@@ -253,3 +253,12 @@ def test_wrappers_of_a_page_are_not_asides():
             page = f'<body><div class="{name}"><{tag}><p>{text}</p><p>{text}</p></{tag}><div class="sidebar"><p>Recent things to read</p></div></div></body>'
             assert html_text.main_text(page, tree) == f"{text} {text}", name
     assert html_text.main_text(f"<article><p>{text} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>", tree) == f"{text} x=1"
+
+
+def test_forms_around_a_page_are_not_asides():
+    tree, text = html_text.default_tree(), " ".join(f"word{i}" for i in range(60))
+    for tag in ("article", "main", "div"):
+        page = f'<body><form id="aspnetForm" action="x"><nav><a href=a>Home</a></nav><{tag}><p>{text}</p><form><label>Mail</label> send your address to us now</form></{tag}><p class="cookie">We use cookies here</p></form></body>'
+        assert html_text.main_text(page, tree) == text, tag
+    assert html_text.main_text(f"<body><article><p>{text}</p></article><form><p>{text}</p></form></body>", tree) == text
+    assert html_text.main_text(f"<body><div><p>{text}</p></div><form><p>Write to us by this form, we answer soon</p></form></body>", tree) == text
