@@ -1,7 +1,7 @@
 """Packing of documents into training windows by best-fit decreasing.
 
-A document of more than a window is first cut into full windows and a rest. Pieces are dealt by a hash over tasks of bounded
-size; each task takes its pieces from the longest to the shortest and puts each into the open window with the least room that
+A document of more than a window is first cut into full windows and a rest. Pieces are counted and dealt by a hash over as many
+tasks as keep each of them within a bound; each task takes its pieces from the longest to the shortest and puts each into the open window with the least room that
 still holds it, which a segment tree indexed by remaining room finds in a few steps. With thousands of pieces a task, only its
 last windows stay partly empty.
 """
@@ -18,9 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .common import free_prefix, stored
 from .tokens import encoded
 
 WINDOW = 2048
+#: The pieces of a task, about: 14 MB of numbers.
+PIECES = 200_000
+#: With fewer pieces a task, the windows that stay partly empty at its end would count.
+FEWEST = 4_000
 #: Sequence numbers of a task begin at its partition number times this.
 PER_TASK = 1 << 40
 
@@ -98,27 +103,37 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = WI
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids)
 
 
-def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
+def tasks_for(n_pieces: int, usual: int, per_task: int) -> int:
+    return max(1, min(usual, n_pieces // min(FEWEST, per_task)), -(-n_pieces // per_task))
+
+
+def pack(pieces: DataFrame, window: int = WINDOW, per_task: int = PIECES) -> DataFrame:
     """Adds sequence_id and offset to pieces(doc_id, start, length, ...) of at most ``window`` tokens.
 
-    Offsets in a sequence have no gaps. Ties of length are placed in the order of doc_id and start. Further columns pass
-    through. An empty table gives an empty result.
+    Offsets in a sequence have no gaps. Pieces are written once and counted; they are dealt over the session's shuffle
+    partitions, over fewer where a task would get less than ``FEWEST`` and over more where it would get more than about ``per_task``. Equal pieces, and pieces without id,
+    are dealt like any others. Where pieces carry their ids, a task holds those too: then ``per_task`` should be smaller. Ties of length
+    are placed in the order of doc_id and start. Further columns pass through, save any named sequence_id or offset, which are
+    replaced. An empty table gives an empty result.
     """
+    pieces = pieces.drop("sequence_id", "offset")
+    columns, place = pieces.columns, f"{free_prefix(pieces)}place"
     schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    columns = pieces.columns
+    written = stored(pieces.withColumn(place, F.monotonically_increasing_id()))  # so that a rerun deals every piece to the same task
+    tasks = tasks_for(written.count(), int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), per_task)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(frames)
         if not parts:
             return
-        mine = pd.concat(parts).sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)[columns]
+        mine = pd.concat(parts).sort_values(["length", "doc_id", "start", place], ascending=[False, True, True, True], kind="stable", ignore_index=True)[columns]
         number, offset = best_fit(mine["length"].to_numpy(), window)
         base = TaskContext.get().partitionId() * PER_TASK
         step = 50_000
         for at in range(0, len(mine), step):
             yield mine.iloc[at:at + step].assign(sequence_id=base + number[at:at + step], offset=offset[at:at + step])
 
-    return pieces.repartition(F.xxhash64("doc_id", "start")).mapInPandas(run, schema)
+    return written.repartition(tasks, F.xxhash64("doc_id", "start", place)).mapInPandas(run, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

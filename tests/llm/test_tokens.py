@@ -127,6 +127,23 @@ def test_packing_query(spark, documents):
     assert check_packing(rows, [(r.doc_id, r.text) for r in documents.collect()]) > 0.95
 
 
+def test_pieces_without_id_are_dealt_over_tasks(spark):
+    made = spark.range(6000).selectExpr("cast(null as long) as doc_id", "0L as start", "pmod(id, 300) + 1 as length", "'kept' as offset", "'kept' as place", "'kept' as _place")
+    rows = packing.pack(made, per_task=500).collect()
+    tasks = defaultdict(list)
+    for r in rows:
+        tasks[r.sequence_id // packing.PER_TASK].append(r)
+    assert len(rows) == 6000 and len(tasks) == packing.tasks_for(6000, 8, 500) == 12 and max(map(len, tasks.values())) < 700
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    for spans in places.values():
+        spans.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and spans[0][0] == 0 and sum(spans[-1]) <= packing.WINDOW
+    assert {(r.place, r["_place"]) for r in rows} == {("kept", "kept")}
+    assert [packing.tasks_for(n, 200, 200_000) for n in (0, 3_999, 8_000, 1_000_000, 10**9)] == [1, 1, 2, 200, 5_000]
+
+
 def test_packing_of_odd_rows(odd, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     unique = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
