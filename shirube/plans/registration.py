@@ -8,7 +8,7 @@ from ..functions.evidence import is_absent
 from ..operators import versions
 from ..operators.ordered import newest
 from ..session import cut_lineage
-from .adoption import KEYS, Store, updated
+from .adoption import Store, updated
 from .store import _id, register
 
 PURCHASE = "purchase_important_explanation"
@@ -33,7 +33,7 @@ def _typed(text: Column, kind: T.DataType) -> Column:
 def _attributes(rows: DataFrame, master: DataFrame, table: str) -> DataFrame:
     """rows(incoming_id, ids) with the sure values of the request that made them, one column for each attribute of the table."""
     fields = [f for f in T.StructType.fromDDL(schemas.STORE[table]) if f.name not in ("unit_id", "building_id", "updated_at")]
-    wide = master.filter(~is_absent(F.col("value_json"))).groupBy("incoming_id").agg(*[F.max(F.when(F.col("field_code") == f.name, F.col("value_json"))).alias(f.name) for f in fields])
+    wide = master.filter(F.col("field_code").isin(*[f.name for f in fields]) & ~is_absent(F.col("value_json"))).groupBy("incoming_id").agg(*[F.max(F.when(F.col("field_code") == f.name, F.col("value_json"))).alias(f.name) for f in fields])
     joined = rows.join(wide, "incoming_id", "left")
     return joined.select(*rows.columns, *[_typed(F.col(f.name), f.dataType).alias(f.name) for f in fields])
 
@@ -83,38 +83,32 @@ def register_batch(requests: DataFrame, matched: DataFrame, values: DataFrame, m
 
     Arguments as for ``register``; ``requests`` also has requested_at. Of requests for one new master the earliest gives its attributes.
     A change names the version its old value was read from, approved and newer ones first. Purchase documents give a case that has
-    none its first pointers; afterwards every registered case gets the changes of its pointers, once.
+    none its first pointers; afterwards every registered case gets the changes of its pointers, once. The decisions are written once
+    (``register``); tables of changes follow from them when they are read.
     """
-    asked = cut_lineage(requests)
-    order = F.concat_ws(" ", F.date_format("requested_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "incoming_id")  # requests of a batch count by time
-    renamed = {"incoming_id": "_incoming"}
-    names = cut_lineage(asked.select("incoming_id", order.alias("_order"), "requested_at"))
-    by_time = lambda df: df.join(names.select("incoming_id", "_order"), "incoming_id").withColumn("incoming_id", F.col("_order")).drop("_order")
-    out = register(by_time(asked.drop("requested_at")), by_time(matched), by_time(values), by_time(master), store, document_type)
-    out = {name: cut_lineage(rows) for name, rows in out.items()}
-    back = names.select(F.col("_order").alias("incoming_id"), F.col("incoming_id").alias("_incoming"), "requested_at")
-    results = out["results"].join(back, "incoming_id").drop("incoming_id", "requested_at").withColumnsRenamed({v: k for k, v in renamed.items()})
-    when = lambda df: df.join(back, "incoming_id").drop("_incoming")
-    own_master = by_time(master)
-    read_by = out["values"].groupBy("document_version_id").agg(F.min("incoming_id").alias("incoming_id"))
-    made = when(out["versions"].join(read_by, "document_version_id", "left"))
+    out = register(requests, matched, values, master, store, document_type)
+    results = out["results"]
     held = store["values"].join(store["versions"].select("document_version_id", "document_id"), "document_version_id").join(store["documents"].select("document_id", F.col("unit_id").alias("_u")), "document_id")
-    place = out["diffs"].join(out["documents"].select("document_id", "unit_id").unionByName(store["documents"].select("document_id", "unit_id")).distinct(), "document_id")
     bare = F.regexp_replace("value_json", '^"|"$', "")
     source = held.select("_u", F.col("field_code").alias("_f"), bare.alias("_v"), F.col("document_version_id").alias("_old"), "approved", "created_at")
-    old = place.join(source, (F.col("unit_id") == F.col("_u")) & (F.col("field_code") == F.col("_f")) & F.col("_v").eqNullSafe(F.col("old_value_json")), "left")
+    old = out["diffs"].join(source, (F.col("unit_id") == F.col("_u")) & (F.col("field_code") == F.col("_f")) & F.col("_v").eqNullSafe(F.col("old_value_json")), "left")
     old = newest(old, ["diff_id"], [F.desc_nulls_last("approved"), F.desc_nulls_last("created_at"), F.asc("_old")])
+    at = F.col("requested_at")
     changes = {
-        "buildings": _fit(_attributes(out["buildings"], own_master, "buildings"), "buildings"),
-        "units": _fit(when(_attributes(out["units"], own_master, "units")), "units", updated_at=F.col("requested_at")),
+        "buildings": _fit(_attributes(out["buildings"], master, "buildings"), "buildings"),
+        "units": _fit(_attributes(out["units"], master, "units"), "units", updated_at=at),
         "cases": _fit(out["cases"], "cases"), "documents": _fit(out["documents"], "documents"),
-        "versions": _fit(made, "versions", uploaded_at=F.col("requested_at"), is_current=F.lit(False)),
-        "values": _fit(when(out["values"]), "values", created_at=F.col("requested_at"), approved=F.lit(False), reviewed=F.lit(False)),
+        "versions": _fit(out["versions"], "versions", uploaded_at=at, is_current=F.lit(False)),
+        "values": _fit(out["values"], "values", created_at=at, approved=F.lit(False), reviewed=F.lit(False)),
         "diffs": _fit(old, "diffs", old_version_id=F.col("_old")),
-        "imports": _fit(when(out["imports"]), "imports", created_at=F.col("requested_at"))}
+        "imports": _fit(out["imports"], "imports", created_at=at)}
+    done = results.filter("outcome = 'registered'").select("case_id", "unit_id")
+    pointed = updated({"cases": store["cases"]}, {"cases": changes["cases"]})["cases"].filter("purchase_values is not null").join(done.select("case_id"), "case_id", "left_semi")
+    if document_type != PURCHASE and pointed.isEmpty():  # no case points to anything, so no pointer has changed
+        return results, changes
     changes = {name: cut_lineage(rows) for name, rows in changes.items()}
-    done = cut_lineage(results.filter("outcome = 'registered'").select("case_id", "unit_id"))
-    now = updated({**store}, {n: rows for n, rows in changes.items() if n in KEYS} | {"documents": changes["documents"], "imports": changes["imports"]})
+    done = cut_lineage(done)
+    now = updated({**store}, changes)
     if document_type == PURCHASE:
         started = cut_lineage(start_pointers(now, done, changes["versions"].select(F.col("document_version_id").alias("version_id"))))
         changes["cases"] = cut_lineage(updated({"cases": changes["cases"]}, {"cases": started})["cases"])

@@ -1,10 +1,12 @@
 """Registration that writes attributes, old versions, first pointers and pointer changes."""
 import datetime as dt
+import os
 
 from test_adoption import frame
 
 from shirube import schemas
 from shirube.plans import adoption, registration as R
+from shirube.session import cut_lineage
 
 at = lambda m: dt.datetime(2026, 3, 1) + dt.timedelta(minutes=m)
 REQUEST = "incoming_id string, request_key string, expected_status string, expected_unit_id string, expected_building_id string, case_mode string, resume_case_id string, requested_at timestamp"
@@ -58,3 +60,18 @@ def test_registered_batch(spark):
     assert R.sync_pointers(after, after["cases"]).count() == 0
     again, more = R.register_batch(bought, match, values, master, after, R.PURCHASE)
     assert [r.outcome for r in again.collect()] == ["reused"] and all(rows.count() == 0 for rows in more.values())
+
+
+def test_registration_writes_its_decisions_once(spark):
+    store = {n: frame(spark, n, []) for n in schemas.STORE}
+    requests = spark.createDataFrame([("a", "k1", "new", None, None, "new", None, at(2)), ("b", "k1", "new", None, None, "new", None, at(1)), ("c", "k1", "new", None, None, "new", None, None)], REQUEST)
+    matched = spark.createDataFrame([(i, "new", None, None) for i in "abc"], MATCH)
+    values, master = read(spark, [(i, "f", "current_owner_name", f'"{i}"') for i in "abc"])
+    cut_lineage(requests)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    results, changes = R.register_batch(requests, matched, values, master, store)
+    new = set(os.listdir(folder)) - before
+    assert len(new) == 2 and all(any(f.endswith(".zstd.parquet") for f in os.listdir(f"{folder}/{n}")) for n in new)  # requests; requests and files
+    assert {r.incoming_id: r.outcome for r in results.collect()} == {"a": "reused", "b": "registered", "c": "reused"}
+    assert [(r.current_owner_name, r.updated_at) for r in changes["units"].collect()] == [("b", at(1))] and changes["diffs"].count() == 0
