@@ -43,12 +43,16 @@ def updated(store: Store, changes: Store) -> Store:
     return out
 
 
-def _new_side(store: Store) -> DataFrame:
-    """Values with their document, under the names the policies use."""
+def _with_new_side(asked: DataFrame, store: Store) -> DataFrame:
+    """``asked`` (new_version_id, field_code) with the value it is about and the value's document, under the names the policies use.
+
+    Values move once; documents of versions are looked up for what was asked.
+    """
     v = store["values"].select(F.col("document_version_id").alias("new_version_id"), "field_code", F.col("extracted_value_id").alias("value_id"), "value_json", "confidence", "page_no",
                                "source_text", "needs_review", F.coalesce("approved", F.lit(False)).alias("approved"), "value_as_of_date")
-    versions = store["versions"].select(F.col("document_version_id").alias("new_version_id"), F.col("document_id").alias("new_document_id"))
-    return v.join(versions, "new_version_id", "left")
+    versions = store["versions"].select(F.col("document_version_id").alias("_version"), F.col("document_id").alias("new_document_id"))
+    read = asked.join(v, ["new_version_id", "field_code"], "left")
+    return read.join(versions, F.when(F.col("value_id").isNotNull(), F.col("new_version_id")) == F.col("_version"), "left").drop("_version")
 
 
 def _documents(store: Store) -> DataFrame:
@@ -58,7 +62,7 @@ def _documents(store: Store) -> DataFrame:
 def _diff_requests(requests: DataFrame, store: Store) -> DataFrame:
     """Requests about diffs, with the diff, its new value and the document."""
     diffs = store["diffs"].select("diff_id", "document_id", "old_version_id", "new_version_id", "field_code", "old_value_json", "new_value_json", "review_status", "affected_field")
-    return (requests.join(diffs, "diff_id", "left").join(_new_side(store), ["new_version_id", "field_code"], "left").join(_documents(store), "document_id", "left"))
+    return _with_new_side(requests.join(diffs, "diff_id", "left"), store).join(_documents(store), "document_id", "left")
 
 
 def _gate(default_review: bool) -> Column:
@@ -163,7 +167,7 @@ def approve_report(requests: DataFrame, store: Store) -> Adoption:
     applies with all its fields or with none. The value approved before is no longer; open diffs to the new value are applied; a
     version is current while it holds an approved value. ``store`` also has baselines (``BASELINES``).
     """
-    asked = requests.withColumnRenamed("document_version_id", "new_version_id").join(_new_side(store), ["new_version_id", "field_code"], "left")
+    asked = _with_new_side(requests.withColumnRenamed("document_version_id", "new_version_id"), store)
     asked = asked.join(_documents(store).withColumnRenamed("document_id", "new_document_id"), "new_document_id", "left")
     staged = _report_stage(asked, store).withColumnRenamed("report_stage", "stage")
     decided = _decide(staged, F.struct("new_document_id", "field_code"), "Review is stale")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shirube import schemas
 from shirube.operators.settle import settle
 from shirube.plans import adoption as A
+from shirube.workload import adoption as workload_adoption
 from shirube.sources import commits
 
 DAY = dt.date(2026, 1, 1)
@@ -178,3 +179,12 @@ def test_commits_compare_and_set(spark, tmp_path):
     assert commits.commit(spark, root, {n: now[n] for n in tables}, base, whole=True) == 3
     assert commits.open_store(spark, root, tables, A.KEYS)[0]["diffs"].count() == store["diffs"].count()
     assert commits.head(spark, str(tmp_path / "nothing")) == 0 and commits.open_store(spark, str(tmp_path / "nothing"), tables, A.KEYS)[0]["values"].count() == 0
+
+
+def test_changes_are_written_once_and_versions_looked_up_after_the_values(spark):
+    store = workload_adoption._store(spark, "/root/testdata/sf0.001")
+    for name in ("diffs", "documents"):  # policies read them several times
+        assert not any(word in store[name]._jdf.queryExecution().optimizedPlan().toString() for word in ("Window", "Aggregate", "Join"))
+    asked = spark.createDataFrame([(-1, "management_fee", "r")], "new_version_id long, field_code string, request_id string")
+    (row,) = A._with_new_side(asked, store).collect()
+    assert row.request_id == "r" and row.value_id is None and row.new_document_id is None
