@@ -1,6 +1,10 @@
 """Near-duplicate documents: SimHash fingerprints with a covering LSH find candidates, shared word shingles decide.
 
-Every row has min-wise values of its five-word shingles: ``BANDS`` fingerprints of ``ROWS`` values each, from one hash family per
+Every row has the SimHash fingerprint of its five-word shingles. Rows whose fingerprints differ in at most ``RADIUS`` bits are
+candidates: they share a bucket of one of the covering masks (``simhash``), and only pairs of a bucket within the radius are compared.
+
+SimHash alone would miss most pairs at J 0.8, so it has a helper that only adds candidates. Every row also has min-wise values of
+its five-word shingles: ``BANDS`` fingerprints of ``ROWS`` values each, from one hash family per
 value. Two texts agree in one value with a probability equal to their Jaccard similarity J, wherever and however they differ:
 scattered words, a passage added, cut or replaced. They share a fingerprint with probability 1 - (1 - J^ROWS)^BANDS, which is
 99.8 % at J 0.8 and more above. Whether a pair is a link is then decided on the whole texts: Jaccard similarity of their sets of
@@ -18,17 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_prefix, stored
 from .components import components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, fingerprint, masks, shingle_hashes
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS = 20
 ROWS = 6
+RADIUS = 2
 AT_ONCE = 8
 _FILTER_WORDS = 1 << 16
 _AT_A_TIME = 1024  # shingles; bounds the memory of the table of hashed shingles
@@ -56,30 +61,42 @@ def min_prints(hashes: np.ndarray, families: tuple[np.ndarray, np.ndarray, np.nd
 
 
 def shingle_prints(docs: DataFrame, row_col: str, text_col: str, bands: int, rows_each: int) -> DataFrame:
-    """_row, d1, d2 (a 128-bit hash of the word sequence), fps (min-wise fingerprints of the shingles)."""
+    """_row, d1, d2 (a 128-bit hash of the word sequence), sim (SimHash fingerprint), fps (min-wise fingerprints of the shingles)."""
     rows = docs.select(docs[row_col].alias("_row"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families = _families(bands, rows_each)
         for batch in batches:
-            sums, fps = [], []
+            sums, sims, fps = [], [], []
             for text in batch.column(1):
                 text = text.as_py() or ""
                 sums.append(xxhash.xxh3_128_digest(b" ".join(text.encode().lower().split())))
-                fps.append(min_prints(shingle_hashes(text, SHINGLE), families))
+                hashes = shingle_hashes(text, SHINGLE)
+                sims.append(fingerprint(hashes))
+                fps.append(min_prints(hashes, families))
             halves = np.frombuffer(b"".join(sums), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), pa.array(fps, pa.list_(pa.int64()))], names=["_row", "d1", "d2", "fps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), pa.array(sims, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["_row", "d1", "d2", "sim", "fps"])
+
+    return rows.mapInArrow(run, "_row long, d1 long, d2 long, sim long, fps array<long>")
 
-    return rows.mapInArrow(run, "_row long, d1 long, d2 long, fps array<long>")
 
+def buckets(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """nodes(node, sim, fps) to (key, node, sim, n, lead) of the buckets that more than one node shares.
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """nodes(node, fps) to (key, node, n, lead) of the buckets that more than one node shares."""
-    table = nodes.select("node", F.posexplode("fps").alias("band", "fp")).select("node", F.xxhash64("band", "fp").alias("key"))
-    shared = table.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node"))["node"].alias("lead")).where("n > 1").select(F.col("key").bitwiseXOR(F.lit(0)).alias("k"), "n", "lead")
+    Buckets of the covering masks keep ``sim``, as their pairs count only within the radius (``_within``); in the others it is null.
+    """
+    covered = F.transform(F.array(*[F.lit(m) for m in masks(radius)]), lambda m, i: F.struct(F.xxhash64(F.lit("mask"), i, F.col("sim").bitwiseAND(m)).alias("key"), F.col("sim").alias("sim")))
+    banded = F.transform("fps", lambda fp, i: F.struct(F.xxhash64(i, fp).alias("key"), F.lit(None).cast("long").alias("sim")))
+    table = nodes.select("node", F.explode(F.concat(covered, banded)).alias("b")).select("node", "b.key", "b.sim")
+    shared = table.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "sim")).alias("lead")).where("n > 1").select(F.col("key").bitwiseXOR(F.lit(0)).alias("k"), "n", F.col("lead.node").alias("lead"), F.col("lead.sim").alias("lead_sim"))
     return table.join(shared, F.col("key") == F.col("k")).drop("k")
 
 
+def _within(one: str, other: str, radius: int = RADIUS) -> Column:
+    """Pairs of a min-wise bucket, and pairs of a mask's bucket at most ``radius`` bits apart."""
+    return F.col(one).isNull() | (F.bit_count(F.col(one).bitwiseXOR(F.col(other))) <= radius)
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -123,19 +140,19 @@ def verified(pairs: DataFrame, grams: DataFrame, similar: float) -> DataFrame:
 def groups(docs: DataFrame, row_col: str, text_col: str = "text", similar: float = SIMILAR, bands: int = BANDS, rows_each: int = ROWS, at_once: int = AT_ONCE) -> DataFrame:
     """_row, root for every row: rows with one root are near-duplicates of each other, over a chain of links."""
     rows = stored(shingle_prints(docs, row_col, text_col, bands, rows_each))
-    nodes = stored(rows.groupBy("d1", "d2").agg(F.min("_row").alias("node"), F.first("fps").alias("fps")))
+    nodes = stored(rows.groupBy("d1", "d2").agg(F.min("_row").alias("node"), F.first("sim").alias("sim"), F.first("fps").alias("fps")))
     shared = stored(buckets(nodes))
-    small, large = shared.where(F.col("n") <= at_once).select("key", "node"), shared.where(F.col("n") > at_once)
-    in_small = small.select("key", F.col("node").alias("a")).join(small.select(F.col("key").alias("k"), F.col("node").alias("b")), F.col("key") == F.col("k")).where("a < b").select("a", "b")
-    begun = stored(_ordered(in_small.union(large.select(F.col("node").alias("a"), F.col("lead").alias("b")))))
+    small, large = shared.where(F.col("n") <= at_once).select("key", "node", "sim"), shared.where(F.col("n") > at_once)
+    in_small = small.select("key", F.col("node").alias("a"), "sim").join(small.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("sim").alias("sb")), F.col("key") == F.col("k")).where("a < b").where(_within("sim", "sb")).select("a", "b")
+    begun = stored(_ordered(in_small.union(large.where(_within("sim", "lead_sim")).select(F.col("node").alias("a"), F.col("lead").alias("b")))))
     grams = stored(shingle_sets(docs, shared, row_col, text_col))
     edges = stored(verified(begun, grams, similar))
     roots = components(edges)
     if not large.isEmpty():
-        placed = stored(large.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+        placed = stored(large.join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select("key", "node", "sim", F.coalesce("root", "node").alias("root")))
         main = placed.groupBy("key").agg(F.mode("root").alias("main")).select(F.col("key").bitwiseXOR(F.lit(0)).alias("k"), "main")
-        apart = placed.join(main, F.col("key") == F.col("k")).where("root <> main").select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("root").alias("ra"))
-        rest = apart.join(placed, F.col("k") == F.col("key")).where("ra <> root").select("a", F.col("node").alias("b"))
+        apart = placed.join(main, F.col("key") == F.col("k")).where("root <> main").select(F.col("key").alias("k"), F.col("node").alias("a"), F.col("sim").alias("sa"), F.col("root").alias("ra"))
+        rest = apart.join(placed, F.col("k") == F.col("key")).where("ra <> root").where(_within("sa", "sim")).select("a", F.col("node").alias("b"))
         rest = stored(_ordered(rest).join(begun, ["a", "b"], "left_anti"))
         roots = components(edges.union(verified(rest, grams, similar)))
     of_node = nodes.select("d1", "d2", "node").join(roots.withColumnRenamed("node", "r"), F.col("node") == F.col("r"), "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("root", "node").alias("root"))

@@ -258,3 +258,20 @@ def test_copies_with_a_passage_more_or_less_go(spark):
         assert all(jaccard(texts[g * 10], texts[g * 10 + c]) >= 0.8 for c in (1, 2, 3))
     kept = near_dedup.drop_near_copies(spark.createDataFrame(rows(*texts.items()), SCHEMA))
     assert sorted(r.doc_id for r in kept.collect()) == [g * 10 for g in range(20)]
+
+
+@pytest.mark.parametrize("at_once", [8, 1])
+def test_simhash_finds_candidates_by_itself(spark, at_once):
+    """Without min-wise fingerprints the pairs within two bits of SimHash are still found and verified, and no others."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(3000)]
+    fp = lambda ws: simhash.fingerprint(simhash.shingle_hashes(" ".join(ws), near_dedup.SHINGLE))
+    apart = lambda ws: bin((fp(ws) ^ fp(words)) & (1 << 64) - 1).count("1")
+    changed = [words[:i] + ["changed"] + words[i + 1:] for i in range(100, 2900, 200)]
+    near = next(ws for ws in changed if 1 <= apart(ws) <= 2)
+    far = words[:2500]  # Jaccard 0.83, more than two bits
+    assert apart(far) > 2
+    texts = {0: words, 1: near, 2: far}
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in texts.items()], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.drop_near_copies(docs, bands=0, at_once=at_once).collect()) == [0, 2]
+    assert [r.doc_id for r in near_dedup.drop_near_copies(docs, at_once=at_once).collect()] == [0]
