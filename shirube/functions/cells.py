@@ -3,13 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import let, strip_ideographic
+from .text import let
 
 RULE_CHARS = "┃┏┓┗┛┠┨├┤━─┯┷┬┴┼┳┻│┝┥┿"
 
 
 def is_table_line(text: Column) -> Column:
-    return strip_ideographic(text).rlike("^[┃┏┠┗]")
+    return text.rlike("^[　 ]*[┃┏┠┗]")
 
 
 def is_rule_line(text: Column) -> Column:

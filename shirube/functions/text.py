@@ -40,10 +40,14 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
+# Anything but ASCII, ruling, kana and unified ideographs: characters of these ranges are their own NFKC form and compose with none of each other.
+UNSETTLED = r"[^\x00-\x7F\x{2500}-\x{257F}\x{3001}-\x{3003}\x{3005}-\x{301B}\x{3041}-\x{3096}\x{30A1}-\x{30FE}\x{4E00}-\x{9FFF}]"
+
+
 def nfkc(col: Column) -> Column:
-    """NFKC form. Texts that are ASCII only are passed to Python as null, so only the others are copied and folded."""
-    ascii_only = col.rlike(r"^[\x00-\x7F]*$")
-    return F.coalesce(F.when(ascii_only, col), _nfkc(F.when(~ascii_only, col)))
+    """NFKC form. Texts that are in that form already are passed to Python as null, so only the others are copied and folded."""
+    settled = ~col.rlike(UNSETTLED)
+    return F.coalesce(F.when(settled, col), _nfkc(F.when(~settled, col)))
 
 
 def strip_spaces(col: Column) -> Column:
@@ -51,8 +55,9 @@ def strip_spaces(col: Column) -> Column:
 
 
 def nfkc_compact(col: Column) -> Column:
-    """SC-1: NFKC form with every whitespace character removed."""
-    return strip_spaces(nfkc(col))
+    """SC-1: NFKC form with every whitespace character removed. Spaces of any width are dropped before Python is asked."""
+    settled = let(strip_spaces(col), lambda dense: F.when(~dense.rlike(UNSETTLED), dense))
+    return F.coalesce(settled, strip_spaces(_nfkc(F.when(settled.isNull(), col))))
 
 
 def match_text(col: Column) -> Column:
@@ -166,11 +171,10 @@ def clean_label(col: Column) -> Column:
 def format_height(kind: Column, limit: Column) -> Column:
     """SC-13: height-district text: limit first, then the kind without its suffix."""
     short = F.coalesce(half_width(F.regexp_replace(clean_label(kind), "高度地区$", "")), F.lit(""))
-    metres = half_width(clean_label(limit))
-    metres = F.when(metres.rlike("(?i)m$"), metres).otherwise(F.concat(metres, F.lit("m")))
-    return (F.when(short.rlike(r"(?i)^\d+(?:\.\d+)?m$"), short)
-            .when(F.coalesce(limit, F.lit("")) != "", F.concat(metres, short))
-            .otherwise(F.nullif(short, F.lit(""))))
+    metres = let(half_width(clean_label(limit)), lambda m: F.when(m.rlike("(?i)m$"), m).otherwise(F.concat(m, F.lit("m"))))
+    return let(short, lambda s: F.when(s.rlike(r"(?i)^\d+(?:\.\d+)?m$"), s)
+               .when(F.coalesce(limit, F.lit("")) != "", F.concat(metres, s))
+               .otherwise(F.nullif(s, F.lit(""))))
 
 
 def room_key(col: Column) -> Column:

@@ -5,8 +5,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cells import current_text, is_rule_line, is_table_line, split_cells
-from ..functions.text import nfkc_compact, strip_ideographic
-from ..session import cut_lineage
+from ..functions.text import let, nfkc_compact, strip_ideographic
+from ..session import cut_lineage, spread
 from .ordered import Last, Running, scan
 
 # ---- fixed values: headings of a ledger and the section each one opens, in order -----------------
@@ -46,16 +46,18 @@ def segment_records(lines: DataFrame) -> DataFrame:
     """WIN-6: table lines with their record number and section.
 
     A rule line, a heading or another number of cells starts a record; the section is carried
-    forward over page breaks. ``lines``: file_hash, page_no, line_no, text, flags.
+    forward over page breaks. ``lines``: file_hash, page_no, line_no, text, flags. Lines are dealt out before they are cut into cells.
     """
-    table = lines.filter(is_table_line(F.col("text"))).withColumn("is_rule", is_rule_line(F.col("text")))
+    table = spread(lines, "file_hash", *LINE_ORDER).filter(is_table_line(F.col("text"))).withColumn("is_rule", is_rule_line(F.col("text")))
     table = table.withColumn("cells", F.when(~F.col("is_rule"), split_cells(F.col("text"), F.col("flags"))))
-    table = table.filter(F.col("is_rule") | (F.size("cells") > 0))
+    # two bars hold a cell; a filter on the cells themselves would move below and cut each line again
+    table = table.filter(F.col("is_rule") | F.col("text").rlike("(?s)[┃│].*[┃│]"))
     folded = nfkc_compact(F.array_join(F.transform(F.coalesce("cells", F.array().cast("array<struct<text:string,flags:array<boolean>>>")), lambda c: c["text"]), ""))
-    table = table.withColumn("_opens", F.when(~F.col("is_rule"), _heading_section(folded))).withColumn("heading", F.col("_opens").isNotNull())
+    table = table.withColumn("_opens", F.when(~F.col("is_rule"), let(folded, _heading_section))).withColumn("heading", F.col("_opens").isNotNull())
     shape = F.struct(F.col("is_rule").alias("rule"), F.col("heading").alias("heading"), F.coalesce(F.size("cells"), F.lit(0)).alias("width"))
-    # Checkpointed, since the second scan reads it twice.
-    before = cut_lineage(scan(table, ["file_hash"], F.col("page_no"), LINE_ORDER, {"_before": Last(shape, inclusive=False)}))
+    # Both written once, since each scan reads its rows twice and would cut and fold every line again.
+    table = cut_lineage(table.withColumn("_shape", shape))
+    before = cut_lineage(scan(table, ["file_hash"], F.col("page_no"), LINE_ORDER, {"_before": Last(F.col("_shape"), inclusive=False)}).drop("_shape"))
     starts = ~F.col("is_rule") & (F.col("heading") | F.col("_before").isNull() | F.col("_before.rule") | F.col("_before.heading")
                                   | (F.col("_before.width") != F.size("cells")))
     rows = before.withColumn("_start", F.when(starts, 1).otherwise(0)).filter(~F.col("is_rule"))
