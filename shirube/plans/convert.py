@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import nfkc
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 # ---- fixed values: paths of the older form, the columns they fill and the words in their values ------------
 TOWN, LOT, BRANCH, MORE = "一棟の建物.所在_市区町村町名", "一棟の建物.所在_番", "一棟の建物.所在_枝番", "一棟の建物.所在_追加"
@@ -114,7 +114,8 @@ def convert_legacy(docs: DataFrame, mapping: list[tuple] = LEGACY, key: str = "f
     the form its transform asks for. Rights of land are columns only where all parcels agree. ``values``: key, field_code, value, path.
     """
     form = _Form(F.col("_doc"))
-    parsed = docs.select(key, F.nullif(F.trim(nfkc(F.col("house_number"))), F.lit("")).alias("house_number"), F.try_parse_json("document").alias("_doc"))
+    # dealt out first: documents of one file are otherwise parsed by one task
+    parsed = spread(docs.select(key, "house_number", "document"), key).select(key, F.nullif(F.trim(nfkc(F.col("house_number"))), F.lit("")).alias("house_number"), F.try_parse_json("document").alias("_doc"))
     made = {column: TRANSFORMS[transform](form, path) for path, _, column, transform in mapping}
     whole = F.coalesce(form.get("敷地権", "boolean"), F.lit(False))
     rights = {}

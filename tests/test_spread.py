@@ -42,3 +42,11 @@ def test_folding_agrees_with_python(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.nfkc(F.col("t")).alias("a"), T.nfkc_compact(F.col("t")).alias("b"), T.strip_spaces(F.col("a")).alias("c")).collect()
     assert all(r.a == unicodedata.normalize("NFKC", r.t) for r in got)
     assert all(r.b == r.c for r in got)
+
+
+def test_legacy_documents_of_one_partition_are_parsed_by_several_tasks(spark):
+    from shirube.plans import convert
+    docs = spark.range(64).coalesce(1).select(F.col("id").alias("file_hash"), F.lit("12の3").alias("house_number"), F.lit('{"専有部分":{"家屋番号_枝番":"3"}}').alias("document"))
+    _, units, values, rejects = convert.convert_legacy(docs)
+    assert units.count() == 64 and values.filter("field_code = 'house_number'").count() == 64 and rejects.count() == 0
+    assert len(units.inputFiles()) > 1
