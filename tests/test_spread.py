@@ -50,3 +50,14 @@ def test_legacy_documents_of_one_partition_are_parsed_by_several_tasks(spark):
     _, units, values, rejects = convert.convert_legacy(docs)
     assert units.count() == 64 and values.filter("field_code = 'house_number'").count() == 64 and rejects.count() == 0
     assert len(units.inputFiles()) > 1
+
+
+def test_shares_are_matched_by_one_pass_of_the_pattern(spark):
+    from shirube.functions import shares
+    rows = [("1万2345分の5,678", ("5678", "12345")), ("3億分の1億2万3", ("100020003", "300000000")), ("3/4", ("3", "4")), ("5/4", None), ("0/4", None), ("分の", None), ("1分の", None), ("x1分の1", None),
+            ("1分の1/2", None), ("12345678901234567890分の1", ("1", "12345678901234567890")), ("123456789012345678901分の1", None), ("", None), (None, None), ("２分の１", ("1", "2"))]
+    made = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").select("i", shares.parse_share(F.col("t")).alias("p"))
+    got = {r.i: r.p and (str(r.p.n), str(r.p.d)) for r in made.collect()}
+    assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
+    plan = spark.range(1).select(F.lit("1分の1").alias("t")).select(shares.parse_share(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract(") == 0  # one replace gives all six groups, where each group matched the whole text again
