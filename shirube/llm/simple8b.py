@@ -19,6 +19,8 @@ _LOW60 = np.uint64((1 << 60) - 1)
 
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs, 1 at least."""
+    if values.size and values.max() < 1 << 53:  # the exponent of such a number as a double
+        return np.maximum(np.frexp(values.astype(np.float64))[1], 1).astype(np.uint8)
     out = np.ones(values.shape, dtype=np.uint8)
     for bits in range(1, 64):
         over = values >> np.uint64(bits)
@@ -45,14 +47,16 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         w[:, :-size] = np.maximum(w[:, :-size], longest[size][:, size:])
         longest[2 * size] = w
         size *= 2
-    selector = np.zeros(width.shape, dtype=np.uint8)
-    for s in range(len(COUNTS) - 1, 0, -1):  # more values in a word win
+    fitting = np.zeros(width.shape, dtype=np.uint8)  # a word of fewer, wider values fits wherever one of more values does
+    for s in range(1, len(COUNTS)):
         count = int(COUNTS[s])
         base = 1 << (count.bit_length() - 1)
-        w = longest[base].copy()
+        w = longest[base]
         if count > base:
+            w = w.copy()
             w[:, :-(count - base)] = np.maximum(w[:, :-(count - base)], longest[base][:, count - base:])
-        selector[w <= BITS[s]] = s
+        fitting += w <= BITS[s].astype(np.uint8)
+    selector = np.where(fitting > 0, len(COUNTS) - fitting, ESCAPE)  # more values in a word win
     lengths = np.full(blocks, BLOCK, dtype=np.int64)
     if blocks:
         lengths[-1] = n - BLOCK * (blocks - 1)

@@ -20,6 +20,8 @@ from . import simple8b
 from .tokens import encoded
 
 FRAME_IDS = 1 << 18
+#: Words that an encoder remembers here, where a task holds one frame and nothing else of size.
+WORDS = 1_000_000
 FRAMES = "shard int, frame int, ids_before long, n_ids long, doc_ids array<long>, doc_lengths array<long>, words binary, block_offsets binary, escapes binary"
 
 
@@ -45,7 +47,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
             return pa.RecordBatch.from_pydict(row, schema=_FRAME_SCHEMA)
 
         for batch in batches:
-            for doc_id, coded in zip(batch.column(0).to_pylist(), encoded(batch.column(1), tokenizer, end_id)):
+            for doc_id, coded in zip(batch.column(0).to_pylist(), encoded(batch.column(1), tokenizer, end_id, WORDS)):
                 ids.append(doc_id)
                 held.append(coded)
                 size += len(coded)

@@ -33,6 +33,16 @@ def test_word_encoder_is_the_tokenizer(name, documents):
         assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts] + [[]]
 
 
+def test_word_encoder_keeps_the_words_that_come_again():
+    encoder = tokens.WordEncoder(public_tokenizers.path(NAMES[1]), 60)
+    texts = [" often.", " often. once", " " + " ".join(f"new{i}" for i in range(57)), " often. then"]
+    for text in texts:
+        (got,) = encoder.encode_texts(pa.array([text]))
+        assert got.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.index) <= 62 and " often." in encoder.index
+    assert " once" not in encoder.index
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from([" ", "\n", "a", "Word", "'s", "'", ".", ",", "\t", "é", "12", " ", "<|endoftext|>", "_", "ß"]), max_size=12))
 def test_word_encoder_on_odd_mixes(parts):
