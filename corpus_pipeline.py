@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shirube.llm import decontaminate, line_dedup, near_dedup, packing, resampling
-from shirube.llm.common import drop_stored, stored, stored_so_far, table
+from shirube.llm.common import drop_stored, small_batches, stored, stored_so_far, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling: documents that are not drawn go."""
+    small_batches(spark)
     return resampling.keep_sampled(docs, table(spark, sf_dir, "labels"))
 
 
@@ -28,16 +29,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    small_batches(spark)
     return near_dedup.drop_near_copies(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return decontaminate.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(packing.cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
 

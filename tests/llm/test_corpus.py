@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 import corpus_pipeline
@@ -262,3 +263,18 @@ def test_forms_around_a_page_are_not_asides():
         assert html_text.main_text(page, tree) == text, tag
     assert html_text.main_text(f"<body><article><p>{text}</p></article><form><p>{text}</p></form></body>", tree) == text
     assert html_text.main_text(f"<body><div><p>{text}</p></div><form><p>Write to us by this form, we answer soon</p></form></body>", tree) == text
+
+
+def test_stages_send_texts_to_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    docs = spark.range(0, 9000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 400) AS text")
+    corpus_pipeline.packed(spark, docs.limit(0), "/root/testdata/sf0.001")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+    spark.conf.unset(name)
+    assert sum(r["rows"] for r in got) == 9000 and max(r["bytes"] for r in got) <= 5 << 20
