@@ -5,11 +5,17 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, quotes, resolve, segment, versions, views
 from ..operators.ordered import Last, Running, scan
+from ..session import spread
 from .adapter import table
 
 BLANKS = "[ \n\t\r]+"
 
 
+def _dealt(spark, sf_dir):
+    """Documents dealt over the shuffle partitions once; their pages and claims stay where they are."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _pages(spark, sf_dir):
     """Every line of a document is a page; text is folded once."""
     docs = table(spark, sf_dir, "documents")
@@ -17,9 +23,14 @@ def _pages(spark, sf_dir):
     return lines.select("doc_id", "source", "lang", (F.col("_i") + 1).alias("page_no"), "text", F.regexp_replace("text", BLANKS, "").alias("folded"))
 
 
+def _folded_lines(spark, sf_dir):
+    lines = _dealt(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("_i", "text"))
+    return lines.select("doc_id", (F.col("_i") + 1).alias("page_no"), F.regexp_replace("text", BLANKS, "").alias("folded"))
+
+
 def _claims(spark, sf_dir):
     """Every sentence claims to stand on some page of its document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _dealt(spark, sf_dir)
     lines = docs.select("doc_id", F.size(F.split("text", "\n")).alias("_n"), F.posexplode(F.split("text", "\n")).alias("_i", "_line"))
     sentences = lines.select("doc_id", "_n", "_i", F.posexplode(F.split("_line", "\\. ")).alias("_s", "_quote"))
     return sentences.select("doc_id", (F.col("_i") + 1).alias("line_no"), F.col("_s").alias("sentence_no"),
@@ -35,13 +46,13 @@ claims AS (SELECT doc_id, line_no, sentence_no, ((line_no - 1) + (line_no - 1) *
 
 def quote_check(spark, sf_dir):
     """Does every sentence stand on the page it names?"""
-    found = quotes.check_quotes(_claims(spark, sf_dir), _pages(spark, sf_dir).select("doc_id", "page_no", "folded"), ["doc_id"])
+    found = quotes.check_quotes(_claims(spark, sf_dir), _folded_lines(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", "line_no", "sentence_no", "page_no", "on_page")
 
 
 def page_correction(spark, sf_dir):
     """A sentence that is not on its page moves to the one other page that has it, else it needs review."""
-    found = quotes.correct_pages(_claims(spark, sf_dir), _pages(spark, sf_dir).select("doc_id", "page_no", "folded"), ["doc_id"])
+    found = quotes.correct_pages(_claims(spark, sf_dir), _folded_lines(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", "line_no", "sentence_no", "page_no", "on_page", F.coalesce("found_pages", F.lit(-1)).alias("found_pages"),
                         F.col("corrected_page").cast("string").alias("corrected_page"), "needs_review")
 

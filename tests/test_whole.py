@@ -67,3 +67,26 @@ def test_results_share_folders(spark, tmp_path):
     assert len([p for p in (tmp_path / "out").iterdir() if p.is_dir()]) == 4
     back = spark.read.json(str(tmp_path / "out"))
     assert back.count() == 500 and back.filter(F.col("bucket") != F.pmod(F.xxhash64("case_id"), F.lit(4))).count() == 0
+
+
+def test_quotes_of_small_files_are_found_without_grams(spark, monkeypatch):
+    """A file's quotes are held against its pages at once; only files of more pairs than the bound are located by grams, with the same rows."""
+    pages = spark.createDataFrame([(d, p, f"page{p}of{d}text" + "あ" * p) for d in ("a", "b") for p in range(1, 6)] + [(None, 1, "page1ofatext")], "doc string, page_no int, folded string")
+    wanted = spark.createDataFrame([(i, d, 1, q) for d in ("a", "b", None) for i, q in enumerate(["page1", "page3of", "あああああ", "text", "", None, "あ", "ofz", "page3of"])], "id int, doc string, page_no int, folded string")
+    columns = ["doc", "id", "folded", "on_page", "found_pages", "corrected_page", "needs_review"]
+
+    def got(large=None):
+        found = quotes.standing(wanted, pages, ["doc"], large).collect() if large is not None else quotes.correct_pages(wanted, pages, ["doc"]).select(*columns).collect()
+        return sorted((tuple(r) for r in found), key=str)
+
+    none = spark.createDataFrame([], "doc string")
+    by_grams = got(spark.createDataFrame([("a",), ("b",)], "doc string"))
+    assert got(spark.createDataFrame([("a",)], "doc string")) == by_grams
+    assert [(r.doc) for r in quotes.large_files(wanted.filter("doc = 'a'"), pages, ["doc"], 44).collect()] == ["a"] and quotes.large_files(wanted, pages, ["doc"], 45).isEmpty()
+
+    def no_grams(*_):
+        raise AssertionError("grams")
+
+    monkeypatch.setattr(quotes, "locate", no_grams)
+    assert got(none) == by_grams and len(by_grams) == 2 * (1 + 1 + 1 + 5 + 5)
+    assert {(r[0], r[1]): r[4:] for r in got()}[("a", 1)] == (1, 3, False)
