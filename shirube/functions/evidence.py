@@ -46,16 +46,16 @@ def clean_confidence(col: Column) -> Column:
     return F.when(~F.isnan(number) & number.between(0.0, 1.0), number)
 
 
-def quote_numbers(quote: Column) -> Column:
-    """Decimal numbers printed in a quote; separators dropped, ":" between digits is a point."""
-    text = F.regexp_replace(F.replace(nfkc_compact(quote), F.lit(","), F.lit("")), r"(?<=\d):(?=\d)", ".")
+def quote_numbers(quote: Column, folded: bool = False) -> Column:
+    """Decimal numbers printed in a quote; separators dropped, ":" between digits is a point. ``folded``: ``nfkc_compact`` was used already."""
+    text = F.regexp_replace(F.replace(quote if folded else nfkc_compact(quote), F.lit(","), F.lit("")), r"(?<=\d):(?=\d)", ".")
     found = F.regexp_extract_all(text, F.lit(r"(?<![\d.])(-?\d+(?:\.\d+)?)(?![\d.])"), 1)
     return F.transform(found, lambda x: x.try_cast("decimal(38,10)"))
 
 
-def number_in_quote(value: Column, quote: Column) -> Column:
+def number_in_quote(value: Column, quote: Column, folded: bool = False) -> Column:
     """SC-17: the number must be among the numbers of its quote."""
-    return F.coalesce(F.array_contains(quote_numbers(quote), value.cast("decimal(38,10)")), F.lit(False))
+    return F.coalesce(F.array_contains(quote_numbers(quote, folded), value.cast("decimal(38,10)")), F.lit(False))
 
 
 def lines_in_quotes(value: Column, quotes: Column) -> Column:

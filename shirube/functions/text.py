@@ -182,9 +182,10 @@ def room_key(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, r"(?U)\s*号室$", ""))
 
 
-def to_number(col: Column, units: str = NUMBER_UNITS["report"]) -> Column:
-    """SC-15: amount with separators and an optional unit to DECIMAL; other text gives null."""
-    token = F.regexp_replace(F.regexp_replace(nfkc_compact(col), "[,，]", ""), f"(?:{units})$", "")
+def to_number(col: Column, units: str = NUMBER_UNITS["report"], folded: bool = False) -> Column:
+    """SC-15: amount with separators and an optional unit to DECIMAL; other text gives null. ``folded``: the text is in NFKC form already."""
+    dense = strip_spaces(col) if folded else nfkc_compact(col)
+    token = F.regexp_replace(F.regexp_replace(dense, "[,，]", ""), f"(?:{units})$", "")
     return F.when(token.rlike(r"^\d+(?:\.\d+)?$"), token).try_cast("decimal(38,10)")
 
 

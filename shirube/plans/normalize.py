@@ -14,6 +14,7 @@ from ..functions.text import NUMBER_UNITS, nfkc, nfkc_compact, to_number
 from ..operators.aggregates import complete_fields, dedupe_fields
 from ..operators.ordered import newest
 from ..operators.quotes import check_quotes, correct_pages, page_forms
+from ..session import cut_lineage
 
 # ---- fixed values: review reasons --------------------------------------------------------------------
 R_NUMBER, R_DATE, R_ASOF = "数値・月額の確認が必要", "年月日の確認が必要", "基準日の確認が必要"
@@ -59,12 +60,12 @@ def normalize_report(items: DataFrame, pages: DataFrame, catalog: DataFrame) ->
     """JOB-8: report values typed and checked against their pages; as-of dates are per field, never filled in.
 
     A quote that stands on exactly one other text page corrects the page. ``review_reasons`` an item
-    already carries are kept. ``catalog``: field_code, data_type.
+    already carries are kept. ``catalog``: field_code, data_type; a small list of fixed size. Items and pages are folded and written once.
     """
-    typed = items.join(catalog.select("field_code", "data_type"), "field_code")
+    typed = items.join(F.broadcast(catalog.select("field_code", "data_type")), "field_code")  # a fixed list; items of one code would else meet it in a product that works them out again for each of its partitions
     text = F.nullif(F.trim(nfkc(F.col("value"))), F.lit(""))
-    number, is_number, is_date = to_number(text, NUMBER_UNITS["report"]), F.col("data_type") == "number", F.col("data_type") == "date"
-    typed = (typed.withColumn("_text", text).withColumn("_number", F.when(is_number, to_number(F.col("_text"))))
+    is_number, is_date = F.col("data_type") == "number", F.col("data_type") == "date"
+    typed = (typed.withColumn("_text", text).withColumn("_number", F.when(is_number, to_number(F.col("_text"), folded=True)))
              .withColumn("_date", F.when(is_date, iso_date(F.col("_text")))))
     value = F.when(is_number & F.col("_number").isNotNull(), canonical_number(F.col("_number"))).when(is_date, F.col("_date").cast("string")).otherwise(F.col("_text"))
     asof = F.col("value_as_of_date")
@@ -74,11 +75,11 @@ def normalize_report(items: DataFrame, pages: DataFrame, catalog: DataFrame) ->
                                              (is_date & F.col("_text").isNotNull() & F.col("_date").isNull(), R_DATE), (F.col("_asof_bad"), R_ASOF))))
     staged = _with_pages(staged, pages).withColumn("_page_ok", _page_ok(False)).withColumn("folded", nfkc_compact(F.coalesce("source_text", F.lit(""))))
     asked = (F.col("_mode") == "text") & (F.col("folded") != "") & F.col("_page_ok")
-    staged = staged.withColumn("_quote", F.when(asked, _quote_key()))
-    placed = correct_pages(_asked_quotes(staged), _folded_pages(pages), ["file_hash"]).select(_quote_key().alias("_quote"), "corrected_page", F.col("needs_review").alias("_nowhere"))
+    staged = cut_lineage(staged.withColumn("_quote", F.when(asked, _quote_key())))  # folded once, as the quotes are asked for and come back to it
+    placed = correct_pages(_asked_quotes(staged), cut_lineage(_folded_pages(pages)), ["file_hash"]).select(_quote_key().alias("_quote"), "corrected_page", F.col("needs_review").alias("_nowhere"))
     joined = staged.join(placed, "_quote", "left")
     has_value, has_quote = F.col("_value").isNotNull(), F.coalesce("source_text", F.lit("")) != ""
-    quoted = number_in_quote(F.col("_number"), F.col("source_text"))
+    quoted = number_in_quote(F.col("_number"), F.col("folded"), folded=True)
     late = _reasons((F.col("confidence").isNull() | (F.col("confidence") < TRUST_LEVEL), R_READING), (~F.col("_page_ok"), R_PAGE), (~has_quote, R_QUOTE),
                     (has_quote & F.col("_page_ok") & (F.col("_mode") == "scan"), R_SCAN), (F.col("_nowhere"), R_MATCH),
                     (F.col("_number").isNotNull() & has_quote & ~quoted, R_NUMBER_MATCH))

@@ -134,3 +134,15 @@ def test_equal_items_stay_one_row_each(spark):
     assert len([r for r in got if r[:2] == ("f", "management_fee")]) == len(rows)
     assert [r for r in got if r[1] == "pet_restrictions" or r[0] == "g"] == [("f", "pet_restrictions", (normalize.R_MISSING,)), ("g", "management_fee", (normalize.R_MISSING,)), ("g", "pet_restrictions", (normalize.R_MISSING,))]
     assert sum(r[2] == (normalize.R_MATCH,) for r in got) == 2 and sum(r[2] == () for r in got) == 1
+
+
+def test_report_folds_each_text_once(spark):
+    """Items of one code do not meet the catalog in a product, and no text goes to Python in what is left once items and pages are written."""
+    from shirube.workload import all_queries
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = all_queries()["report_checks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "ArrowEvalPython" not in plan and "CartesianProduct" not in plan
