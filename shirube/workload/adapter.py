@@ -5,16 +5,24 @@ with three readings, and an order's key decides page, quote, document type and a
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EAV readings: three fields per order."""
+def order_values(spark: SparkSession, sf_dir: str, deal: Column | None = None) -> DataFrame:
+    """EAV readings: three fields per order.
+
+    ``deal``: a key, added as ``_dealt``, by which orders are dealt out before they become three rows each; steps by that key do not
+    move them again.
+    """
     orders = table(spark, sf_dir, "orders")
+    if deal is not None:
+        orders = spread(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", deal.alias("_dealt")), "_dealt")
     priority = F.col("o_orderpriority")
     confidence = (F.when(priority == "1-URGENT", 0.99).when(priority == "2-HIGH", 0.95)
                   .when(priority == "3-MEDIUM", 0.90).when(priority == "5-LOW", 0.50))
@@ -28,8 +36,11 @@ def order_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("boolean").alias("needs_review"), (F.col("o_orderstatus") == "F").alias("approved"),
         F.col("o_orderstatus").alias("current_owner_name"),
         F.when(priority == "4-NOT SPECIFIED", "null").otherwise(priority).alias("pet_restrictions"),
-        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("management_fee"))
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("management_fee"), *([] if deal is None else ["_dealt"]))
     fields = ["current_owner_name", "pet_restrictions", "management_fee"]
+    if deal is not None:  # unpivot forgets how its rows are dealt
+        rows = F.explode(F.array(*[F.struct(F.lit(f).alias("field_code"), F.col(f).alias("value_json")) for f in fields]))
+        return wide.withColumn("_row", rows).select(*[c for c in wide.columns if c not in fields], "_row.*")
     return wide.unpivot([c for c in wide.columns if c not in fields], fields, "field_code", "value_json")
 
 

@@ -1,15 +1,18 @@
 """Adoption as store updates, against a writer that takes requests one by one."""
 import datetime as dt
 import random
+import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from shirube import schemas
 from shirube.operators.settle import settle
 from shirube.plans import adoption as A
 from shirube.workload import adoption as workload_adoption
+from shirube.session import FREE_SHUFFLES, cut_lineage
 from shirube.sources import commits
+from shirube.workload.adapter import order_values
 
 DAY = dt.date(2026, 1, 1)
 at = lambda m: dt.datetime(2026, 3, 1) + dt.timedelta(minutes=m)
@@ -188,3 +191,45 @@ def test_changes_are_written_once_and_versions_looked_up_after_the_values(spark)
     asked = spark.createDataFrame([(-1, "management_fee", "r")], "new_version_id long, field_code string, request_id string")
     (row,) = A._with_new_side(asked, store).collect()
     assert row.request_id == "r" and row.value_id is None and row.new_document_id is None
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    rows = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    deadline = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < deadline:  # they go in the background
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before and rows.count() == 7
+    assert spark.conf.get(FREE_SHUFFLES, None) is None
+
+
+def test_decided_requests_leave_wide_columns_behind(spark):
+    rows = [("q", "x", "a", at(1), "n", "ok"), ("q", "x", "a", at(1), "n", "ok"), ("r", "y", "a", at(2), "m", "ok"), ("s", "z", "b", at(3), "o", "held")]
+    staged = spark.createDataFrame(rows, "request_id string, diff_id string, field_code string, requested_at timestamp, value_id string, stage string").withColumn("wide", F.lit("x" * 99))
+    got = A._decide(staged, F.struct("field_code"), "stale", "wide")
+    assert "wide" in got.columns and "wide" not in A._decide(staged, F.struct("field_code"), "stale").columns
+    assert sorted((r.request_id, r.decision, r.reason, r.fresh) for r in got.collect()) == [
+        ("q", "applied", None, True), ("q", "applied", None, True), ("r", "refused", "stale", False), ("s", "held", None, False)]  # one row each
+
+
+def test_store_moves_its_readings_once(spark):
+    store = workload_adoption._store(spark, "/root/testdata/sf0.001")
+    for name in ("values", "diffs", "baselines"):
+        assert not any(word in store[name]._jdf.queryExecution().optimizedPlan().toString() for word in ("Window", "Aggregate", "Join", "Repartition"))
+    deal = order_values(spark, "/root/testdata/sf0.001", F.col("o_custkey") % 5)
+    assert sorted(map(str, deal.drop("_dealt").collect())) == sorted(map(str, order_values(spark, "/root/testdata/sf0.001").collect()))
+    ranked = deal.withColumn("n", F.row_number().over(Window.partitionBy("_dealt", "field_code").orderBy("version_id")))
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_pointer_of_a_case_that_is_there_twice(spark):
+    store = report_store(spark)
+    store["cases"] = store["cases"].unionByName(frame(spark, "cases", [dict(case_id="k", unit_id="u", purchase_values={"pet_restrictions": "gone"})]))
+    rows = A._pointed(store).filter("case_id = 'k'").collect()
+    assert [sorted(n.now_id for n in r._now) for r in rows] == [["g7", "r4"]] * 2
+    assert len(A._pointed(store).collect()) == 3
