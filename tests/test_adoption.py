@@ -233,3 +233,34 @@ def test_pointer_of_a_case_that_is_there_twice(spark):
     rows = A._pointed(store).filter("case_id = 'k'").collect()
     assert [sorted(n.now_id for n in r._now) for r in rows] == [["g7", "r4"]] * 2
     assert len(A._pointed(store).collect()) == 3
+
+
+def _shuffled(spark):
+    """Rows written for shuffles by stage."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return {s.stageId(): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+@pytest.mark.parametrize("name, most", [("adopt_pointer", 25), ("adopt_rules", 30)])
+def test_rows_moved_for_an_order(spark, name, most):
+    """Where no join is broadcast: 18 and 22 rows; 33 and 57 while each lookup of the store moved its tables."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffled(spark)
+        workload_adoption.QUERIES[name][0](spark, "/root/testdata/sf0.001").collect()
+        moved = sum(n for stage, n in _shuffled(spark).items() if stage > max(before, default=-1))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < moved < most * spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
+def test_best_rules_leave_out_any_one_version(spark):
+    store = report_store(spark)
+    value = dict(confidence=0.95, page_no=1, source_text="quote", approved=False)
+    more = [{**value, "extracted_value_id": i, "document_version_id": v, "field_code": f, "value_json": j, **kw} for i, v, f, j, kw in [
+        ("s4", "v4", "pet_restrictions", '"also"', {}), ("t6", "v6", "only", "1", {}), ("u5", "v5", "none_approved", "5", dict(approved=None)), ("u6", "v6", "none_approved", "6", {}), ("w1", "v1", "pet_restrictions", '"report"', {})]]
+    store["values"] = store["values"].unionByName(frame(spark, "values", more))
+    got = {r._bf: (r._bd, r._bv, r._bj, r._sj) for r in A._best_rules(store).collect()}
+    assert got == {"pet_restrictions": ("m", "v4", '"no"', '"some"'), "only": ("m", "v6", "1", None), "none_approved": ("m", "v6", "6", "5")}
